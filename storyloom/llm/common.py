@@ -51,6 +51,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the map that screened() broadcasts: 4 MB at most, however many values are wanted.
+SCREEN = 1 << 25
+
+
+def screened(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose `column` may be among the values of wanted's only column; a bitmap of fixed size tells which may.
+
+    A semi or inner join has still to follow; it moves fewer rows then.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SCREEN))
+    held = wanted.select(slot(F.col(wanted.columns[0])).alias("slot"))
+    maps = held.groupBy(F.bitmap_bucket_number("slot").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
+    byte = "cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_slot) div 8 as int) + 1, 1)), 16, 10) as int)"
+    out = rows.withColumn("_slot", slot(F.col(column))).join(F.broadcast(maps), F.bitmap_bucket_number("_slot") == F.col("_part"))
+    return out.where(f"shiftright({byte}, cast(bitmap_bit_position(_slot) % 8 as int)) & 1 = 1").select(rows.columns)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table that written() or a run index made, by the file system of its path."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,8 +4,9 @@ One pass over the texts gives each document its number of distinct word shingles
 set and the hashes of its signature's bands. Documents with the same set are one class at once. Class
 representatives that share a band are candidates. They are compared on their full sets in rounds: first with the
 smallest id of their bucket, then with ever more of the bucket's members, and only where the two are not yet in the
-same component. The rounds end when every pair in every bucket is compared or joined, so no bucket is capped and
-no group is expanded into all its pairs. Components come from star contraction over the verified links.
+same component and a prefix filter can't rule out, exactly, that a set has a link to another one. The rounds end when
+every pair in every bucket is compared, joined or ruled out, so no bucket is capped and no group is expanded into all
+its pairs. Components come from star contraction over the verified links.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import by_bytes, mix64, shipped, written
+from storyloom.llm.common import by_bytes, mix64, screened, shipped, written
 
 #: Elements whose permutations are held at once, while a signature is made.
 ELEMENTS, SETS = 40_000, 1_000
@@ -171,10 +172,32 @@ def components(links: DataFrame, at_most: int = 60) -> DataFrame:
     return stars.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 
 
-def _pairs(members: DataFrame, leaders: DataFrame, percent: int, extra: str = "true") -> DataFrame:
-    """Distinct pairs of a bucket's leader with its members whose set sizes allow a link."""
-    near = f"least(n, ln) * 100 >= greatest(n, ln) * {percent} and id <> lid and {extra}"
-    return members.join(leaders, "key").where(near).select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).distinct()
+def _near(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of rows' members and leaders whose set sizes allow a link."""
+    rows = rows.where(f"least(n, ln) * 100 >= greatest(n, ln) * {percent} and id <> lid")
+    return rows.select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).distinct()
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component."""
+    state = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    return written(members.join(state, "key", "left_semi"), "open")
+
+
+def _linkable(live: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Ids of live (id, label) that can have a link to another label at all.
+
+    With shingles ordered by how many live sets hold them, two sets of the needed similarity share one of their first
+    n - ceil(n * percent / 100) + 1 shingles each. Who shares none of these with another label is out, exactly.
+    """
+    held = full.join(live, "id").select("id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = held.groupBy("shingle").agg(F.count("*").alias("often"))
+    order = F.array_sort(F.collect_list(F.struct("often", "shingle")))
+    prefix = held.join(often, "shingle").groupBy("id", "label", "n").agg(order.alias("order"))
+    length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    prefix = written(prefix.select("id", "label", F.explode(F.slice("order", F.lit(1), length)).alias("s")).select("id", "label", "s.shingle"), "prefixes")
+    shared = prefix.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle")
+    return written(prefix.join(shared, "shingle", "left_semi").select("id").distinct(), "linkable")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,11 +230,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     classes = written(some.groupBy("fa", "fb", "n").agg(F.min("id").alias("rep"), F.count("*").alias("c")), "classes")
     reps = some.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
     keyed = written(reps.select("id", "n", F.explode("bands").alias("key")), "keys")
-    buckets = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    buckets = written(buckets.select("key", "c", F.col("first.id").alias("lid"), F.col("first.n").alias("ln")), "buckets")
-    members = written(keyed.join(buckets.select("key", "c"), "key"), "members")
-    wanted = members.select("id").distinct()
-    full = written(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id long, shingles array<long>"), "sets")
+    buckets = keyed.groupBy("key").agg(F.min("id").alias("lid"), F.count("*").alias("c")).where("c > 1")
+    buckets = written(buckets, "buckets")
+    members = written(screened(keyed, "key", buckets.select("key")).join(buckets, "key"), "members")
+    wanted = written(members.select("id").distinct(), "wanted")
+    full = screened(texts, "id", wanted).join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    full = written(full.mapInArrow(sets, "id long, shingles array<long>"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         one = full.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
@@ -219,23 +243,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
         both = F.size(F.array_intersect("sa", "sb"))
         return pairs.join(two, "b").join(one, "a").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
-    tested = written(_pairs(members, buckets.drop("c"), percent), "pairs")
+    sizes = members.select(F.col("id").alias("lid"), F.col("n").alias("ln")).distinct()
+    firsts = members.select("lid", F.col("id"), "n").distinct().join(sizes, "lid")
+    tested = written(_near(firsts, percent), "pairs")
     links = written(verified(tested), "verified")
     done, reach = 0.0, 8.0
     while True:
         labels = written(components(links), "labels")
         labelled = members.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         # A bucket is open while its members are in several components and some of them have not led it yet.
-        state = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        open_ = written(labelled.where(F.col("c") > 2).where(F.col("c") > F.lit(done)).join(state, "key", "left_semi"), "open")
+        open_ = _open(labelled.where(F.col("c") > 2).where(F.col("c") > F.lit(done)))
+        if not open_.isEmpty():
+            open_ = _open(open_.join(_linkable(open_.select("id", "label").distinct(), full, percent), "id", "left_semi"))
         if open_.isEmpty():
             break
         # Which members lead is drawn by hash: about `reach` of each bucket in this round, eight times more in the next.
         draw = (F.xxhash64("id", F.lit(17)) / F.lit(2.0**64) + 0.5) * F.col("c")
         leads = open_.where((draw >= done) & (draw < reach)) if done else open_.where(draw < reach)
         leads = leads.select("key", F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("label").alias("llabel"))
-        fresh = _pairs(open_, leads, percent, "label <> llabel").join(tested, ["a", "b"], "left_anti")
-        fresh = written(fresh, "pairs")
+        fresh = _near(open_.drop("lid").join(leads, "key").where("label <> llabel"), percent)
+        fresh = written(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(fresh)
         links = links.unionByName(written(verified(fresh), "verified"))
         done, reach = reach, reach * 8
