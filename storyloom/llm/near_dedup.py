@@ -2,11 +2,10 @@
 
 One pass over the texts gives each document its number of distinct word shingles, a fingerprint of the whole
 set and the hashes of its signature's bands. Documents with the same set are one class at once. Class
-representatives that share a band are candidates. They are compared on their full sets in rounds: first with the
-smallest id of their bucket, then with ever more of the bucket's members, and only where the two are not yet in the
-same component and a prefix filter can't rule out, exactly, that a set has a link to another one. The rounds end when
-every pair in every bucket is compared, joined or ruled out, so no bucket is capped and no group is expanded into all
-its pairs. Components come from star contraction over the verified links.
+representatives that share a band are candidates. They are compared on their full sets with the smallest id of their
+bucket, then with two more leaders from other components. Pairs that are in different components even then are
+compared unless their differences from the leader rule out, exactly, that they are linked. So every pair in every bucket is
+compared, joined or ruled out; no bucket is capped and no group is expanded into all its pairs. Components come from star contraction over the verified links.
 """
 
 from __future__ import annotations
@@ -25,6 +24,8 @@ from storyloom.llm.common import by_bytes, mix64, screened, shipped, written
 
 #: Elements whose permutations are held at once, while a signature is made.
 ELEMENTS, SETS = 40_000, 1_000
+#: Leaders that the members of a hub are compared with before pairs across components are sought.
+LEADERS = 3
 
 
 def shingle_sets(text: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -174,30 +175,44 @@ def components(links: DataFrame, at_most: int = 60) -> DataFrame:
 
 def _near(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of rows' members and leaders whose set sizes allow a link."""
-    rows = rows.where(f"least(n, ln) * 100 >= greatest(n, ln) * {percent} and id <> lid")
-    return rows.select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).distinct()
+    rows = rows.where(f"least(n, ln) * 100 >= greatest(n, ln) * {percent} and id <> lead")
+    return rows.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
 
 
-def _open(members: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component."""
-    state = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    return written(members.join(state, "key", "left_semi"), "open")
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows of the hubs whose members are in more than one component."""
+    state = rows.groupBy("lid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("lid")
+    return written(rows.join(state, "lid", "left_semi"), "open")
 
 
-def _linkable(live: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Ids of live (id, label) that can have a link to another label at all.
+def _across(live: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one hub's members in two components that may be linked; all others are ruled out, exactly.
 
-    With shingles ordered by how many live sets hold them, two sets of the needed similarity share one of their first
-    n - ceil(n * percent / 100) + 1 shingles each. Who shares none of these with another label is out, exactly.
+    Let D(x) be the shingles in which x differs from its hub. Two sets of sizes m, n are linked when they differ in at most
+    k * (m + n) shingles, k = (100 - percent) / (100 + percent), and they differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|. So
+    a link needs |D(x) & D(y)| >= (|D(x)| + |D(y)| - k * (m + n)) / 2, which is more than nothing unless both are linked to
+    the hub. With D ordered from the rarest shingle on, sets that share that many share one of the first few: only
+    members that do so, at places which leave enough to share, are paired.
     """
-    held = full.join(live, "id").select("id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    often = held.groupBy("shingle").agg(F.count("*").alias("often"))
-    order = F.array_sort(F.collect_list(F.struct("often", "shingle")))
-    prefix = held.join(often, "shingle").groupBy("id", "label", "n").agg(order.alias("order"))
-    length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    prefix = written(prefix.select("id", "label", F.explode(F.slice("order", F.lit(1), length)).alias("s")).select("id", "label", "s.shingle"), "prefixes")
-    shared = prefix.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle")
-    return written(prefix.join(shared, "shingle", "left_semi").select("id").distinct(), "linkable")
+    k = (100 - percent) / (100 + percent)
+    hub = full.select(F.col("id").alias("lid"), F.col("shingles").alias("theirs"))
+    sets = live.join(full, "id").join(hub, "lid")
+    differ = F.concat(F.array_except("shingles", "theirs"), F.array_except("theirs", "shingles"))
+    sets = sets.select("lid", "id", "label", "n", differ.alias("d")).withColumn("dn", F.size("d"))
+    held = written(sets.select("lid", "id", "label", "n", "dn", F.explode("d").alias("shingle")), "differences")
+    often = held.groupBy("lid", "shingle").agg(F.count("*").alias("often"), (F.min("label") < F.max("label")).alias("shared"))
+    most = held.groupBy("lid").agg(F.min(F.col("dn") - k * F.col("n")).alias("least_w"), F.max("n").alias("most_n"))
+    one = held.join(often, ["lid", "shingle"]).groupBy("lid", "id", "label", "n", "dn").agg(F.array_sort(F.collect_list(F.struct("often", "shingle", "shared"))).alias("order"))
+    w = F.col("dn") - k * F.col("n")
+    partner = F.greatest("least_w", F.col("dn") - k * (F.col("n") + 2 * F.col("most_n")))
+    need = F.greatest(F.lit(1), F.ceil((w + partner) / 2 - 1e-9))
+    first = F.slice("order", F.lit(1), F.greatest(F.lit(0), F.col("dn") - need + 1).cast("int"))
+    first = one.join(most, "lid").select("lid", "id", "label", "dn", w.alias("w"), F.posexplode(first).alias("at", "s"))
+    first = written(first.where("s.shared").select("lid", "id", "label", "dn", "w", "at", F.col("s.shingle").alias("shingle")), "prefixes")
+    x, y = first.alias("x"), first.alias("y")
+    enough = F.least(F.col("x.dn") - F.col("x.at"), F.col("y.dn") - F.col("y.at")) >= (F.col("x.w") + F.col("y.w")) / 2 - 1e-9
+    both = x.join(y, (F.col("x.lid") == F.col("y.lid")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & enough)
+    return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,29 +258,32 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
         both = F.size(F.array_intersect("sa", "sb"))
         return pairs.join(two, "b").join(one, "a").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
-    sizes = members.select(F.col("id").alias("lid"), F.col("n").alias("ln")).distinct()
-    firsts = members.select("lid", F.col("id"), "n").distinct().join(sizes, "lid")
-    tested = written(_near(firsts, percent), "pairs")
-    links = written(verified(tested), "verified")
-    done, reach = 0.0, 8.0
-    while True:
+    # All buckets with one leader are one hub: what shares a bucket shares a hub.
+    hubs = written(members.select("lid", "id", "n").distinct(), "hubs")
+    sizes = hubs.select(F.col("id").alias("lead"), F.col("n").alias("ln")).distinct()
+    leads = hubs.select("lid", F.col("lid").alias("lead")).distinct()
+    tested, links, fresh = None, None, hubs.join(leads, "lid").join(sizes, "lead")
+    for turn in range(LEADERS + 1):
+        pairs = fresh if turn == LEADERS else _near(fresh, percent)
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = written(verified(pairs), "verified")
+        tested, links = (pairs, found) if tested is None else (tested.unionByName(pairs), links.unionByName(found))
         labels = written(components(links), "labels")
-        labelled = members.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        # A bucket is open while its members are in several components and some of them have not led it yet.
-        open_ = _open(labelled.where(F.col("c") > 2).where(F.col("c") > F.lit(done)))
-        if not open_.isEmpty():
-            open_ = _open(open_.join(_linkable(open_.select("id", "label").distinct(), full, percent), "id", "left_semi"))
-        if open_.isEmpty():
+        label = labels.select(F.col("node").alias("id"), "label")
+        if turn == LEADERS:
             break
-        # Which members lead is drawn by hash: about `reach` of each bucket in this round, eight times more in the next.
-        draw = (F.xxhash64("id", F.lit(17)) / F.lit(2.0**64) + 0.5) * F.col("c")
-        leads = open_.where((draw >= done) & (draw < reach)) if done else open_.where(draw < reach)
-        leads = leads.select("key", F.col("id").alias("lid"), F.col("n").alias("ln"), F.col("label").alias("llabel"))
-        fresh = _near(open_.drop("lid").join(leads, "key").where("label <> llabel"), percent)
-        fresh = written(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(fresh)
-        links = links.unionByName(written(verified(fresh), "verified"))
-        done, reach = reach, reach * 8
+        live = _open(hubs.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
+        if live.isEmpty():
+            break
+        if turn == LEADERS - 1:
+            fresh = _across(live, full, percent)
+            continue
+        # The next leader of a hub: the smallest id that is in none of its leaders' components.
+        led = leads.join(live.select("lid", F.col("id").alias("lead"), "label"), ["lid", "lead"]).select("lid", "label").distinct()
+        new = written(live.join(led, ["lid", "label"], "left_anti").groupBy("lid").agg(F.min("id").alias("lead")), "leads")
+        leads = leads.unionByName(new)
+        mine = live.select(F.col("id").alias("lead"), "lid", F.col("label").alias("llabel"))
+        fresh = live.join(new.join(mine, ["lid", "lead"]), "lid").where("label <> llabel").join(sizes, "lead")
     group = classes.select("fa", "fb", "n", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     group = group.select("fa", "fb", "n", F.coalesce("label", "rep").alias("label"))
     # Rows that repeat an id with other texts belong to one node: its smallest component.
