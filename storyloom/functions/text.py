@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,11 @@ PREFIX_CHARS, SHINGLE_WORDS, NGRAM_WORDS, MIN_SENTENCE_WORDS = 200, 5, 8, 6
 MASK = "[MASK]"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def nfc_rows(df: DataFrame, column: str) -> DataFrame:
     """df with a column in NFC. Only rows that hold combining marks or decomposable characters pass through Python."""
 
@@ -54,15 +60,24 @@ def words(text: Column) -> Column:
 
 def ngrams(word_array: Column, n: int) -> Column:
     """All runs of n words as 64-bit hashes; none for a shorter array."""
-    start = F.sequence(F.lit(1), F.size(word_array) - n + 1)
-    runs = F.transform(start, lambda i: F.xxhash64(*[F.element_at(word_array, (i + k).cast("int")) for k in range(n)]))
-    return F.when(F.size(word_array) >= n, runs).otherwise(F.array().cast("array<bigint>"))
+
+    def of(w: Column) -> Column:
+        start = F.sequence(F.lit(1), F.size(w) - n + 1)
+        runs = F.transform(start, lambda i: F.xxhash64(*[F.element_at(w, (i + k).cast("int")) for k in range(n)]))
+        return F.when(F.size(w) >= n, runs).otherwise(F.array().cast("array<bigint>"))
+
+    return once(word_array, of)
 
 
 def shingles(word_array: Column, n: int = SHINGLE_WORDS) -> Column:
     """Distinct hashes of runs of n words; fewer words are one run, no words none."""
-    short = F.when(F.size(word_array) > 0, F.array(F.xxhash64(F.lit("short"), F.array_join(word_array, " "))))
-    return F.when(F.size(word_array) >= n, F.array_distinct(ngrams(word_array, n))).otherwise(F.coalesce(short, F.array().cast("array<bigint>")))
+
+
+    def of(w: Column) -> Column:
+        short = F.when(F.size(w) > 0, F.array(F.xxhash64(F.lit("short"), F.array_join(w, " "))))
+        return F.when(F.size(w) >= n, F.array_distinct(ngrams(w, n))).otherwise(F.coalesce(short, F.array().cast("array<bigint>")))
+
+    return once(word_array, of)
 
 
 def sentences(text: Column, least: int = MIN_SENTENCE_WORDS) -> Column:
@@ -79,7 +94,7 @@ def loader_lines(text: Column) -> Column:
 def paragraphs(text: Column) -> Column:
     """Parts between blank lines if there is one, else lines; stripped, empty ones dropped."""
     plain = F.btrim(F.regexp_replace(text, r"\r\n|\r", "\n"), F.lit(" \t\n\x0b\x0c\r"))
-    parts = F.when(plain.rlike(r"\n\s*\n"), F.split(plain, r"\n\s*\n")).otherwise(F.split(plain, "\n"))
+    parts = once(plain, lambda t: F.when(t.rlike(r"\n\s*\n"), F.split(t, r"\n\s*\n")).otherwise(F.split(t, "\n")))
     return F.filter(F.transform(parts, F.trim), lambda p: p != "")
 
 
@@ -89,13 +104,15 @@ ENDINGS, STEM_LETTERS = ("ing", "est", "ed", "er", "es", "ly", "s"), 3
 
 def stem(word: Column) -> Column:
     """A word folded and without a common English ending: -ies is -y, a double last letter counts once, a last e goes."""
-    w = casefold(word)
     without = lambda c, n: F.substring(c, F.lit(1), F.length(c) - n)
-    fits = lambda e: w.endswith(e) & (F.length(w) - len(e) >= STEM_LETTERS) & (~w.endswith("ss") if e == "s" else F.lit(True))
-    cut = F.coalesce(*[F.when(fits(e), without(w, len(e))) for e in ENDINGS])
-    single = F.when((F.length(cut) >= STEM_LETTERS) & (F.substring(cut, -1, 1) == F.substring(cut, -2, 1)), without(cut, 1)).otherwise(cut)
-    out = F.when((F.length(w) > 4) & w.endswith("ies"), F.concat(without(w, 3), F.lit("y"))).otherwise(F.coalesce(single, w))
-    return F.when((F.length(out) > 3) & out.endswith("e"), without(out, 1)).otherwise(out)
+    fits = lambda w, e: w.endswith(e) & (F.length(w) - len(e) >= STEM_LETTERS) & (~w.endswith("ss") if e == "s" else F.lit(True))
+    single = lambda c: F.when((F.length(c) >= STEM_LETTERS) & (F.substring(c, -1, 1) == F.substring(c, -2, 1)), without(c, 1)).otherwise(c)
+
+    def of(w: Column) -> Column:
+        cut = once(F.coalesce(*[F.when(fits(w, e), without(w, len(e))) for e in ENDINGS]), single)
+        return F.when((F.length(w) > 4) & w.endswith("ies"), F.concat(without(w, 3), F.lit("y"))).otherwise(F.coalesce(cut, w))
+
+    return once(once(casefold(word), of), lambda x: F.when((F.length(x) > 3) & x.endswith("e"), without(x, 1)).otherwise(x))
 
 
 def related(a: Column, b: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.functions import text as T
+
 #: The bytes a model knows and its smoothing.
 VOCABULARY, SMOOTHING = 256, 1.0
 
@@ -12,10 +14,10 @@ VOCABULARY, SMOOTHING = 256, 1.0
 def bigrams(texts: DataFrame, key: list[str], column: str) -> DataFrame:
     """(key, pos, prev, next) for each byte of a text, the end token (00) before the first; bytes in hexadecimal."""
     h = F.concat(F.lit("00"), F.hex(F.encode(F.replace(F.col(column), F.lit("\0"), F.lit("")), "UTF-8")))
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("h") / 2 - 1).cast("int"))
-    rows = texts.select(*key, h.alias("h")).where(F.length("h") > 2).select(*key, "h", F.explode(at).alias("pos"))
-    pair = F.substring(F.col("h"), F.col("pos") * 2 - 1, F.lit(4))
-    return rows.select(*key, "pos", F.substring(pair, 1, 2).alias("prev"), F.substring(pair, 3, 2).alias("next"))
+    pairs = T.once(F.regexp_extract_all(h, F.lit("(..)")), lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda i: F.struct(F.element_at(x, i).alias("prev"), F.element_at(x, i + 1).alias("next"))))
+    some = F.length(F.replace(F.col(column), F.lit("\0"), F.lit(""))) > 0
+    rows = texts.where(some).select(*key, F.posexplode(pairs).alias("at", "p"))
+    return rows.select(*key, (F.col("at") + 1).alias("pos"), "p.prev", "p.next")
 
 
 def bigram_model(texts: DataFrame, column: str, k: float = SMOOTHING) -> DataFrame:
