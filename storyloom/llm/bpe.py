@@ -275,7 +275,7 @@ def encode_digests(docs: DataFrame, path: str | None = None, pattern: str | None
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(*rank_file.value)
         for batch in batches:
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, "text", 6 << 20):  # the more words, the fewer of them new
                 n, ids, text = _joined(codec, part.column("text"))
                 hexes = [[hashlib.sha256(x).hexdigest() for x in y] for y in (ids, text)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n.astype(np.int64)), *map(pa.array, hexes)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
