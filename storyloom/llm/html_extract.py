@@ -30,6 +30,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that an opening tag of a kind closes if they are the ones open.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that by their meaning hold nothing of the article, whatever their class says.
+ASIDE = frozenset(f"in {x}" for x in ("nav", "aside", "footer", "form", "dialog", "menu"))
 #: Weight of the squares of the weights in fitting.
 RIDGE = 0.5
 #: A token: how many words (0: a tag), its features, its block and its text.
@@ -132,7 +134,8 @@ def extract(page: str | None) -> str:
         p = known.get(features)
         if p is None:
             total = by[kind] + sum(by.get(f, 0.0) for f in features)
-            p = known[features] = 1 / (1 + np.exp(-total)) - 0.5
+            p = 1 / (1 + np.exp(-total)) - 0.5
+            p = known[features] = p if ASIDE.isdisjoint(features) else min(p, -0.25)
         # A tag never scores for content, it only parts or joins.
         runs.append((words * p if kind == "word" else min(p, 0.0) * 0.5 - 0.05, p, kind, block, text))
     best, now, first, region = 0.0, 0.0, 0, (0, 0)

@@ -9,6 +9,10 @@ MORE = "nobody had seen the old bridge since the flood took it down and the town
 MENU = "".join(f'<li><a href="/{x}">{x}</a></li>' for x in ("home", "news", "sport", "about", "contact"))
 BODY = f"<h1>The mill by the river</h1><p>{WORDS}.</p><p>{MORE}, <a href='/b'>as written</a> before.</p><h2>After the flood</h2><p>{WORDS}</p>"
 
+#: Classes of what is no article.
+NOISE = ("ad", "ads", "advert", "advertisement", "banner", "sponsored", "promo", "notice", "alert", "cookie", "consent", "sidebar", "menu", "navigation", "header", "footer", "breadcrumbs", "share", "social", "related", "newsletter", "subscribe", "comments", "comment", "popup", "widget")
+TAGS = ("div", "section", "p")
+
 LABELLED = (
     f"<html><head><title>x</title></head><body><nav><ul>{MENU}</ul></nav><div class='ad'>buy this now cheap offer today only</div><x-main><article>{BODY}</article></x-main><footer>copyright example all rights reserved by the owner</footer></body></html>",
     f"<body><header class='site-header'><a href='/'>example site</a><nav class='menu'><ul>{MENU}</ul></nav></header><x-main><main><article><header><h1>The mill</h1></header><p>{WORDS}</p><x-off><aside class='related'><h3>related stories</h3><ul>{MENU}</ul></aside></x-off><p>{MORE}</p><x-off><div class='advert banner'>sponsored offer buy now and save on the best deals</div></x-off><p>{WORDS}</p></article></main></x-main><section class='comments'><h3>comments</h3><div class='comment'><p>{MORE}</p></div><div class='comment reply'><p>{WORDS}</p></div></section><footer><p>copyright {MENU}</p></footer></body>",
@@ -22,4 +26,7 @@ LABELLED = (
     f"<body><div id='app'><div class='nav'>{MENU}</div><div class='x1 k2'><x-main><div class='q7'><h1>The mill</h1><p>{WORDS}</p><p>{MORE}</p><x-off><div class='ad ads'>{MORE}</div></x-off><p>{MORE}</p></div></x-main></div><div class='comments'><div class='x1'><p>{WORDS}</p></div></div></div></body>",
     f"<body><header><p>{MORE}</p></header><x-main><article><header><h1>The mill by the river</h1><p>{MORE}</p></header><div>{WORDS}</div><section><h2>After</h2><p>{WORDS}</p></section></article></x-main><footer><div>{MORE}</div></footer></body>",
     f"<body><article class='post'><x-main><h1>The mill</h1><p>{WORDS}</p><p>{MORE}</p></x-main><section class='comments'><h2>comments</h2><p>{MORE}</p><div class='comment'><p>{WORDS}</p></div><p>{WORDS}</p></section></article><section class='comments'><p>{MORE}</p></section></body>",
+    *(f"<body><x-main><article><h1>The mill</h1><p>{WORDS}</p><x-off><{tag} class='{kind}'>{MORE}</{tag}></x-off><p>{MORE}</p></article></x-main></body>" for kind, tag in zip(NOISE, TAGS * 9)),
+    *(f"<body><{tag} class='{kind}'>{MORE}</{tag}><x-main><div><div><p>{WORDS}</p><x-off><{other}>{MORE}</{other}></x-off><div>{MORE}</div></div></div></x-main><section id='{kind}'><p>{WORDS}</p></section></body>" for kind, tag, other in zip(NOISE, TAGS * 9, ("aside", "form", "nav") * 9)),
+    *(f"<x-main>{WORDS} {MORE}</x-main>", f"<body><x-main>{WORDS}<p>{MORE}</p>{MORE}</x-main></body>") * 4,
 )
