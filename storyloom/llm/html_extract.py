@@ -32,6 +32,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that by their meaning hold nothing of the article, whatever their class says.
 ASIDE = frozenset(f"in {x}" for x in ("nav", "aside", "footer", "form", "dialog", "menu"))
+#: What a run of words takes off the sum at most: an advert between two paragraphs doesn't part them, however long.
+LEAST = -4.0
 #: Weight of the squares of the weights in fitting.
 RIDGE = 0.5
 #: A token: how many words (0: a tag), its features, its block and its text.
@@ -137,7 +139,7 @@ def extract(page: str | None) -> str:
             p = 1 / (1 + np.exp(-total)) - 0.5
             p = known[features] = p if ASIDE.isdisjoint(features) else min(p, -0.25)
         # A tag never scores for content, it only parts or joins.
-        runs.append((words * p if kind == "word" else min(p, 0.0) * 0.5 - 0.05, p, kind, block, text))
+        runs.append((max(words * p, LEAST) if kind == "word" else min(p, 0.0) * 0.5 - 0.05, p, kind, block, text))
     best, now, first, region = 0.0, 0.0, 0, (0, 0)
     for i, run in enumerate(runs):
         if now <= 0:
