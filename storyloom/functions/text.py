@@ -95,7 +95,7 @@ def paragraphs(text: Column) -> Column:
     """Parts between blank lines if there is one, else lines; stripped, empty ones dropped."""
     plain = F.btrim(F.regexp_replace(text, r"\r\n|\r", "\n"), F.lit(" \t\n\x0b\x0c\r"))
     parts = once(plain, lambda t: F.when(t.rlike(r"\n\s*\n"), F.split(t, r"\n\s*\n")).otherwise(F.split(t, "\n")))
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda p: F.btrim(p, F.lit(" \t\n\x0b\x0c\r"))), lambda p: p != "")
 
 
 #: Endings that a stem loses, the first that fits, and the letters that must remain.

@@ -27,7 +27,7 @@ def stories(spark: SparkSession, folder: str, phases: list[int] | None = None, n
     files = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = files.select("path", F.posexplode(T.loader_lines(F.col("value"))).alias("lineno", "line")).where(F.trim("line") != "")
     parsed = F.from_json("line", f"{STORY}, corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"})
-    out = lines.select("path", phase_of(F.col("path")).alias("file_phase"), (F.col("lineno") + 1).cast("long").alias("lineno"), parsed.alias("r"))
+    out = lines.select("path", "line", phase_of(F.col("path")).alias("file_phase"), (F.col("lineno") + 1).cast("long").alias("lineno"), parsed.alias("r"))
     return out.select("path", "lineno", F.coalesce("r.phase", "file_phase").alias("phase"), F.coalesce("r.prompt_hash", "r.id").alias("id"), "r.prompt_hash", "r.tier", "r.story", "r.model", "r.timestamp", "r.split", "r.corrupt", F.startswith("line", F.lit("﻿")).alias("has_bom"))
 
 
