@@ -24,7 +24,7 @@ def phase_of(path: Column) -> Column:
 def stories(spark: SparkSession, folder: str, phases: list[int] | None = None, name: str = "train") -> DataFrame:
     """Stories of {name}_phase_{k}.jsonl by line, with lineno, and `corrupt` where a line is no JSON; undeclared phases are not opened."""
     paths = [f"{folder}/{name}_phase_{k}.jsonl" for k in phases] if phases is not None else f"{folder}/{name}_phase_*.jsonl"
-    files = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = files.select("path", F.posexplode(T.loader_lines(F.col("value"))).alias("lineno", "line")).where(F.trim("line") != "")
     parsed = F.from_json("line", f"{STORY}, corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"})
     out = lines.select("path", "line", phase_of(F.col("path")).alias("file_phase"), (F.col("lineno") + 1).cast("long").alias("lineno"), parsed.alias("r"))
@@ -52,7 +52,7 @@ def readable(spark: SparkSession, folder: str) -> DataFrame:
 
 def run_folders(spark: SparkSession, folder: str) -> DataFrame:
     """(run_id, commit_txt, matrix, timings, config): the four files of each folder below, null where one is missing."""
-    files = spark.read.option("wholetext", True).text(f"{folder}/*/*").select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(f"{folder}/*/*", wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     parts = files.withColumn("run_id", F.element_at(F.split("path", "/"), -2)).withColumn("name", F.element_at(F.split("path", "/"), -1))
     names = ["commit.txt", "matrix.json", "timings.json", "config.json"]
     wide = parts.where(F.col("name").isin(*names)).groupBy("run_id").pivot("name", names).agg(F.first("value"))
