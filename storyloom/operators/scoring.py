@@ -16,8 +16,8 @@ def bigrams(texts: DataFrame, key: list[str], column: str) -> DataFrame:
     h = F.concat(F.lit("00"), F.hex(F.encode(F.replace(F.col(column), F.lit("\0"), F.lit("")), "UTF-8")))
     pairs = T.once(F.regexp_extract_all(h, F.lit("(..)")), lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda i: F.struct(F.element_at(x, i).alias("prev"), F.element_at(x, i + 1).alias("next"))))
     some = F.length(F.replace(F.col(column), F.lit("\0"), F.lit(""))) > 0
-    rows = texts.where(some).select(*key, F.posexplode(pairs).alias("at", "p"))
-    return rows.select(*key, (F.col("at") + 1).alias("pos"), "p.prev", "p.next")
+    rows = texts.where(some).select(*key, F.posexplode(pairs).alias("_at", "p"))
+    return rows.select(*key, (F.col("_at") + 1).alias("pos"), "p.prev", "p.next")
 
 
 def bigram_model(texts: DataFrame, column: str, k: float = SMOOTHING) -> DataFrame:
@@ -55,12 +55,11 @@ def option_scores(items: DataFrame, model: DataFrame) -> DataFrame:
 
     A bigram sees of the prefix its last byte only, so the two differ in the option's first byte.
     """
-    rows = items.select("phase", "story_id", F.substring(F.col("prefix"), -1, 1).alias("last"), F.posexplode("options").alias("at", "option"))
+    rows = items.select("phase", "story_id", F.substring(F.hex(F.encode("prefix", "UTF-8")), -2, 2).alias("last"), F.posexplode("options").alias("at", "option"))
     key = ["phase", "story_id", "at"]
     pairs = bigrams(rows, [*key, "last"], "option")
-    tail = F.hex(F.encode(F.concat(F.lit("\n")), "UTF-8"))
     alone = scored(pairs, model).groupBy(*key).agg(F.sum("logp").alias("baseline"))
-    after = pairs.withColumn("prev", F.when(F.col("pos") == 1, tail).otherwise(F.col("prev")))
+    after = pairs.withColumn("prev", F.when(F.col("pos") == 1, F.col("last")).otherwise(F.col("prev")))
     after = scored(after, model).groupBy(*key).agg(F.sum("logp").alias("conditional"))
     return after.join(alone, key).select(*key, F.round("conditional", 9).alias("conditional"), F.round("baseline", 9).alias("baseline"))
 

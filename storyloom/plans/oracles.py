@@ -155,13 +155,13 @@ ORACLES["giveaway_report"] = f"""WITH {_TRAIN}, {_ITEMS}, x AS (SELECT phase, an
 SELECT phase, count(*)::BIGINT AS n, (count(*) FILTER (WHERE a = 0))::BIGINT AS slot_0, (count(*) FILTER (WHERE a = 1))::BIGINT AS slot_1, (count(*) FILTER (WHERE a = 2))::BIGINT AS slot_2, (count(*) FILTER (WHERE a = 3))::BIGINT AS slot_3,
     round_even(avg(m / o), 6) AS length_ratio, round_even(avg((m > top)::INTEGER::DOUBLE), 6) AS longest_share FROM x GROUP BY phase"""
 ORACLES["continuation_pmi"] = f"""WITH {_TRAIN}, {_EXAM}, {_ITEMS}, grams AS ({_unnested("", "story", "exam")}), {_MODEL},
-o0 AS (SELECT phase, story_id, answer_index, unnest(range(4)) AS at, unnest(options) AS opt FROM cont),
-b AS ({_unnested("phase, story_id, answer_index, at, ", "opt", "o0")}),
-l AS (SELECT b.phase, b.story_id, b.answer_index, b.at, round(sum({_LOGP}), 9) AS base, round(sum({_LOGP.replace("m.c", "m2.c").replace("o.t", "o2.t")}), 9) AS cond
+o0 AS (SELECT phase, story_id, answer_index, right(hex(encode(prefix)), 2) AS tail, unnest(range(4)) AS nr, unnest(options) AS opt FROM cont),
+b AS ({_unnested("phase, story_id, answer_index, nr, tail, ", "opt", "o0")}),
+l AS (SELECT b.phase, b.story_id, b.answer_index, b.nr, round(sum({_LOGP}), 9) AS base, round(sum({_LOGP.replace("m.c", "m2.c").replace("o.t", "o2.t")}), 9) AS cond
     FROM b LEFT JOIN counts m ON m.prev = b.prev AND m.next = b.next LEFT JOIN totals o ON o.prev = b.prev
-    LEFT JOIN counts m2 ON m2.prev = CASE WHEN b.pos = 1 THEN '0A' ELSE b.prev END AND m2.next = b.next LEFT JOIN totals o2 ON o2.prev = CASE WHEN b.pos = 1 THEN '0A' ELSE b.prev END GROUP BY ALL),
+    LEFT JOIN counts m2 ON m2.prev = CASE WHEN b.pos = 1 THEN b.tail ELSE b.prev END AND m2.next = b.next LEFT JOIN totals o2 ON o2.prev = CASE WHEN b.pos = 1 THEN b.tail ELSE b.prev END GROUP BY ALL),
 v AS (SELECT *, round(cond - base, 6) AS pmi, round(cond, 6) AS s FROM l),
-r AS (SELECT phase, story_id, max(pmi) FILTER (WHERE at = answer_index) > max(pmi) FILTER (WHERE at <> answer_index) AS p, max(s) FILTER (WHERE at = answer_index) > max(s) FILTER (WHERE at <> answer_index) AS q FROM v GROUP BY ALL)
+r AS (SELECT phase, story_id, max(pmi) FILTER (WHERE nr = answer_index) > max(pmi) FILTER (WHERE nr <> answer_index) AS p, max(s) FILTER (WHERE nr = answer_index) > max(s) FILTER (WHERE nr <> answer_index) AS q FROM v GROUP BY ALL)
 SELECT phase, count(*)::BIGINT AS n, (count(*) FILTER (WHERE p))::BIGINT AS n_pmi, (count(*) FILTER (WHERE q))::BIGINT AS n_summed FROM r GROUP BY phase"""
 
 _CELLS = """cells AS (SELECT (user_id % 21)::INTEGER AS run, ((event_id % 8) - 1)::INTEGER AS i, ((event_id // 8) % 7)::INTEGER AS j, sum(floor(value * 100)::BIGINT) / count(value) / 100 AS value FROM events GROUP BY ALL),
