@@ -98,6 +98,12 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: F.btrim(p, F.lit(" \t\n\x0b\x0c\r"))), lambda p: p != "")
 
 
+def paragraph_separator(text: Column) -> Column:
+    """What parts a text's paragraphs: a blank line if there is one, else a line end."""
+    plain = F.btrim(F.regexp_replace(text, r"\r\n|\r", "\n"), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(plain.rlike(r"\n\s*\n"), "\n\n").otherwise("\n")
+
+
 #: Endings that a stem loses, the first that fits, and the letters that must remain.
 ENDINGS, STEM_LETTERS = ("ing", "est", "ed", "er", "es", "ly", "s"), 3
 

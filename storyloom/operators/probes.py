@@ -9,6 +9,8 @@ from storyloom.functions import text as T
 
 #: Candidates of a cloze item, options of a continuation item, and their length by the answer's.
 N_CANDIDATES, N_OPTIONS, LENGTH_LOW, LENGTH_HIGH = 20, 4, 0.5, 2.0
+#: Fixed value: places drawn in the length band for each item; items that these do not fill look at the whole phase.
+DRAWS = 24
 
 
 def deduped_lexicon(lexicon: DataFrame) -> DataFrame:
@@ -55,10 +57,10 @@ def cloze_items(stories: DataFrame, lexicon: DataFrame, seed: int, per_phase: in
 
 
 def continuation_items(stories: DataFrame, seed: int) -> DataFrame:
-    """(phase, story_id, prefix, answer, options, answer_index): the last paragraph against paragraphs of three other stories.
+    """(phase, story_id, prefix, answer, options, answer_index): the last paragraph against the last ones of three other stories.
 
-    Of each other story of the phase one paragraph is considered, in the band of lengths first, then by seeded hash; of these
-    the first three. Stories are paired through hash buckets of a phase, so no phase is joined with itself whole.
+    Only the next 12 stories in the seeded order are looked at, in the band of lengths first, then by seeded hash; a story for
+    which fewer than three of them differ is left out. drawn_items() does the whole job.
     """
     parts = stories.select("phase", F.col("id").alias("story_id"), T.paragraphs(F.col("story")).alias("p")).where(F.size("p") >= 2)
     items = parts.select("phase", "story_id", F.array_join(F.slice("p", F.lit(1), F.size("p") - 1), "\n").alias("prefix"), F.element_at("p", -1).alias("answer"))
@@ -80,6 +82,78 @@ def continuation_items(stories: DataFrame, seed: int) -> DataFrame:
     return items.join(three, ["phase", "story_id"]).select("phase", "story_id", "prefix", "answer", options.alias("options"), slot.alias("answer_index"))
 
 
+def ranked(df: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+    """df with the rank from 0 in each group by a hexadecimal hash: counts of its prefixes, then ranks below each prefix."""
+    rows = df.withColumn("_head", F.substring(order, 1, 3))
+    heads = rows.groupBy(*by, "_head").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy(*by, "_head").orderBy(order)) - 1
+    out = rows.withColumn("_within", within).join(heads.withColumn("_before", before).drop("_n"), [*by, "_head"])
+    return out.withColumn(name, F.col("_before") + F.col("_within")).drop("_head", "_within", "_before")
+
+
+def drawn_items(stories: DataFrame, seed: int) -> DataFrame:
+    """(phase, story_id, prefix, answer, answer_index, options, option_sources, distractor_phases) of each story of two paragraphs or more.
+
+    The split point is drawn. Distractors are non-opening paragraphs of three other stories of the phase, in the band of lengths
+    while there are any, of different texts; options are null for a story whose phase holds no such three. Paragraphs have places
+    in the order of length, so a band is a run of places and a draw is an equi join; an item that DRAWS draws do not fill is
+    compared with all paragraphs of its phase.
+    """
+    parts = stories.select("phase", F.col("id").alias("story_id"), T.story_sha256(F.col("story")).alias("sha"), T.paragraphs(F.col("story")).alias("p"), T.paragraph_separator(F.col("story")).alias("sep")).where(F.size("p") >= 2).persist()
+    cut = parts.withColumn("cut", T.draw_index(F.greatest(F.size("p") - 1, F.lit(1)), seed, "continuation-cut", F.col("phase"), F.col("story_id")).cast("int") + 1)
+    items = cut.select("phase", "story_id", "sha", F.concat(F.array_join(F.slice("p", F.lit(1), F.col("cut")), "\x00"), F.lit("\x00")).alias("prefix"), "sep", F.get("p", F.col("cut")).alias("answer"), T.draw(seed, "continuation-order", F.col("phase"), F.col("story_id")).alias("_order"))
+    items = items.withColumn("prefix", F.replace("prefix", F.lit("\x00"), F.col("sep"))).drop("sep")
+    items = ranked(items, ["phase"], "_order", "_turn").withColumn("answer_index", (F.col("_turn") % N_OPTIONS).cast("int")).drop("_turn", "_order").persist()
+    pool = parts.select("phase", F.col("story_id").alias("other"), F.col("sha").alias("other_sha"), F.posexplode("p").alias("at", "option")).where("at > 0")
+    pool = pool.withColumn("len", F.length("option")).withColumn("_order", T.draw(seed, "continuation-pool", F.col("phase"), F.col("other"), F.col("at")))
+    slim = pool.select("phase", "other", "at", "len", F.sha2("option", 256).alias("text"), "_order").persist()
+
+    # Paragraphs of the phase up to each length, those of the bands' ends among them.
+    goal = items.select("phase", "story_id", F.sha2("answer", 256).alias("answer_text"), F.length("answer").alias("n"))
+    goal = goal.withColumn("below", F.floor((F.col("n") - 1) / 2).cast("int")).withColumn("top", F.col("n") * 2)
+    lengths = slim.groupBy("phase", "len").agg(F.count("*").alias("c"))
+    ends = goal.select("phase", F.explode(F.array("below", "top")).alias("len"), F.lit(0).cast("long").alias("c")).distinct()
+    upto = lengths.unionByName(ends).groupBy("phase", "len").agg(F.sum("c").alias("c")).withColumn("upto", F.sum("c").over(Window.partitionBy("phase").orderBy("len")))
+    placed = ranked(slim, ["phase", "len"], "_order", "_in").join(upto, ["phase", "len"]).withColumn("place", F.col("upto") - F.col("c") + F.col("_in"))
+    goal = goal.join(upto.select("phase", F.col("len").alias("below"), F.col("upto").alias("low")), ["phase", "below"]).join(upto.select("phase", F.col("len").alias("top"), F.col("upto").alias("high")), ["phase", "top"]).persist()
+
+    tries = goal.withColumn("nr", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
+    tries = tries.withColumn("place", F.col("low") + T.draw_index(F.greatest(F.col("high") - F.col("low"), F.lit(1)), seed, "distractor", F.col("phase"), F.col("story_id"), F.col("nr")))
+    found = tries.join(placed.select("phase", "place", "other", "at", "text"), ["phase", "place"]).where("other <> story_id and text <> answer_text")
+    key = ["phase", "story_id"]
+    found = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("nr", "other", "at", "text"))).alias("d"))
+    unlike = lambda a: lambda x: (x["other"] != F.col(a)["other"]) & (x["text"] != F.col(a)["text"])
+    found = found.withColumn("x", F.get("d", F.lit(0))).withColumn("d", F.filter("d", unlike("x"))).withColumn("y", F.get("d", F.lit(0))).withColumn("z", F.get(F.filter("d", unlike("y")), F.lit(0))).where("z is not null")
+    places = lambda df: df.select(*key, F.array(*[F.struct(F.col(c)["other"].alias("other"), F.col(c)["at"].alias("at")) for c in "xyz"]).alias("picks"))
+    filled = places(found).persist()
+
+    # The rest, dealt by the first digit of the paragraphs' hashes: one pass for each distractor.
+    rest = goal.join(filled, key, "left_anti").withColumn("digit", F.explode(F.split(F.lit("0 1 2 3 4 5 6 7 8 9 a b c d e f"), " ")))
+    rest = rest.join(slim.withColumn("digit", F.substring("_order", 1, 1)), ["phase", "digit"]).where("other <> story_id and text <> answer_text")
+    outside = F.when((F.col("len") > F.col("below")) & (F.col("len") <= F.col("top")), 0).otherwise(1)
+    rest = rest.select(*key, F.struct(outside.alias("outside"), T.draw(seed, "distractor-rest", F.col("story_id"), F.col("other"), F.col("at")).alias("h"), "other", "at", "text").alias("c")).persist()
+    late = rest.groupBy(*key).agg(F.min("c").alias("x"))
+    for old, name in (("x", "y"), ("y", "z")):
+        left = rest.join(late, key)
+        for a in "xyz"[: "xyz".index(old) + 1]:
+            left = left.where((F.col("c")["other"] != F.col(a)["other"]) & (F.col("c")["text"] != F.col(a)["text"]))
+        late = late.join(left.groupBy(*key).agg(F.min("c").alias(name)), key)
+    picks = filled.unionByName(places(late)).select(*key, F.posexplode("picks").alias("nr", "pick")).select(*key, "nr", "pick.other", "pick.at")
+    source = F.struct(F.col("other").alias("story_id"), F.col("other_sha").alias("story_sha256"), F.col("phase"))
+    texts = picks.join(pool.select("phase", "other", "at", "option", "other_sha"), ["phase", "other", "at"])
+    texts = texts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("nr", "option", source.alias("source")))).alias("d"))
+    out = items.join(texts, key, "left")
+    around = lambda x, mine: F.concat(F.slice(x, F.lit(1), F.col("answer_index")), F.array(mine), F.slice(x, F.col("answer_index") + 1, F.lit(N_OPTIONS)))
+    own = F.struct("story_id", F.col("sha").alias("story_sha256"), "phase")
+    return out.select(
+        *key, "prefix", "answer", "answer_index",
+        around(F.transform("d", lambda x: x["option"]), F.col("answer")).alias("options"),
+        around(F.transform("d", lambda x: x["source"]), own).alias("option_sources"),
+        F.transform("d", lambda x: x["source"]["phase"]).alias("distractor_phases"),
+    )
+
+
 def cloze_violations(items: DataFrame) -> DataFrame:
     """Rules of cloze items: one mask, the count of candidates, the answer among them, none twice, none related, answer unseen."""
     masks = (F.length("text_with_mask") - F.length(F.replace("text_with_mask", F.lit(T.MASK), F.lit("")))) / len(T.MASK)

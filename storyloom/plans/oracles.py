@@ -164,6 +164,30 @@ v AS (SELECT *, round(cond - base, 6) AS pmi, round(cond, 6) AS s FROM l),
 r AS (SELECT phase, story_id, max(pmi) FILTER (WHERE nr = answer_index) > max(pmi) FILTER (WHERE nr <> answer_index) AS p, max(s) FILTER (WHERE nr = answer_index) > max(s) FILTER (WHERE nr <> answer_index) AS q FROM v GROUP BY ALL)
 SELECT phase, count(*)::BIGINT AS n, (count(*) FILTER (WHERE p))::BIGINT AS n_pmi, (count(*) FILTER (WHERE q))::BIGINT AS n_summed FROM r GROUP BY phase"""
 
+_PARTS = _ITEMS.split("items AS")[0].replace("SELECT phase, story_id, list_filter", "SELECT phase, story_id, CASE WHEN regexp_matches(t, '\\n\\s*\\n') THEN chr(10) || chr(10) ELSE chr(10) END AS sep, list_filter")
+_DRAWN = _PARTS + f"""cuts AS (SELECT *, (('0x' || substr({_DRAW.format('continuation-cut', 'phase, story_id')}, 1, 15))::BIGINT % (len(p) - 1) + 1)::INTEGER AS cut FROM parts WHERE len(p) >= 2),
+items AS (SELECT phase, story_id, CASE WHEN length(sep) = 2 THEN array_to_string(p[:cut], chr(10) || chr(10)) ELSE array_to_string(p[:cut], chr(10)) END || sep AS prefix, p[cut + 1] AS answer, length(p[cut + 1]) AS l, ((row_number() OVER (PARTITION BY phase ORDER BY {_DRAW.format('continuation-order', 'phase, story_id')}) - 1) % 4)::INTEGER AS answer_index FROM cuts),
+pool0 AS (SELECT phase, story_id, k, p[k + 1] AS text FROM (SELECT *, unnest(range(1, len(p))) AS k FROM cuts)),
+pool AS (SELECT *, length(text) AS l, row_number() OVER (PARTITION BY phase ORDER BY length(text), {_DRAW.format('continuation-pool', 'phase, story_id, k')}) - 1 AS place FROM pool0),
+band AS (SELECT i.phase, i.story_id, count(*) FILTER (WHERE q.l * 2 < i.l) AS low, count(*) FILTER (WHERE q.l <= i.l * 2) AS high FROM items i JOIN pool q ON q.phase = i.phase GROUP BY ALL),
+tries AS (SELECT phase, story_id, nr, low + ('0x' || substr({_DRAW.format('distractor', 'phase, story_id, nr')}, 1, 15))::BIGINT % (high - low) AS place FROM band, range(24) r(nr)),
+drawn AS (SELECT i.phase, i.story_id, 0 AS late, t.nr::VARCHAR AS h, t.nr, q.story_id AS other, q.text FROM tries t JOIN items i USING (phase, story_id) JOIN pool q ON q.phase = t.phase AND q.place = t.place WHERE q.story_id <> i.story_id AND q.text <> i.answer),
+lists AS (SELECT phase, story_id, list({{'o': other, 't': text}} ORDER BY nr) AS d FROM drawn GROUP BY ALL),
+early AS (SELECT phase, story_id, d[1] AS x, list_filter(d, lambda c: c.o <> d[1].o AND c.t <> d[1].t) AS d2 FROM lists),
+early2 AS (SELECT phase, story_id, x, d2[1] AS y, list_filter(d2, lambda c: c.o <> d2[1].o AND c.t <> d2[1].t)[1] AS z FROM early),
+full1 AS (SELECT phase, story_id, x, y, z FROM early2 WHERE z IS NOT NULL),
+lists2 AS (SELECT i.phase, i.story_id, list({{'o': q.story_id, 't': q.text}} ORDER BY CASE WHEN q.l * 2 >= i.l AND q.l <= i.l * 2 THEN 0 ELSE 1 END, {_DRAW.format('distractor-rest', 'i.story_id, q.story_id, q.k')}) AS d
+    FROM (SELECT * FROM items ANTI JOIN full1 USING (phase, story_id)) i JOIN pool q ON q.phase = i.phase AND q.story_id <> i.story_id AND q.text <> i.answer GROUP BY ALL),
+late AS (SELECT phase, story_id, d[1] AS x, list_filter(d, lambda c: c.o <> d[1].o AND c.t <> d[1].t) AS d2 FROM lists2),
+late2 AS (SELECT phase, story_id, x, d2[1] AS y, list_filter(d2, lambda c: c.o <> d2[1].o AND c.t <> d2[1].t)[1] AS z FROM late),
+picked AS (FROM full1 UNION ALL SELECT * FROM late2 WHERE z IS NOT NULL),
+every AS (SELECT i.*, CASE WHEN x IS NULL THEN NULL ELSE [x.t, y.t, z.t] END AS d FROM items i LEFT JOIN picked USING (phase, story_id)),
+cont AS (SELECT *, CASE answer_index WHEN 0 THEN [answer, d[1], d[2], d[3]] WHEN 1 THEN [d[1], answer, d[2], d[3]] WHEN 2 THEN [d[1], d[2], answer, d[3]] ELSE [d[1], d[2], d[3], answer] END AS options FROM every WHERE d IS NOT NULL)"""
+ORACLES["continuation_items_drawn"] = f"""WITH {_TRAIN}, {_DRAWN} SELECT i.phase, i.story_id, i.answer_index, sha256(i.prefix) AS prefix_sha256, sha256(array_to_string(c.options, chr(10))) AS options_sha256
+FROM items i LEFT JOIN cont c ON c.phase = i.phase AND c.story_id = i.story_id"""
+for _name in ("giveaway_report", "continuation_pmi"):
+    ORACLES[f"{_name}_drawn"] = ORACLES[_name].replace(_ITEMS, _DRAWN)
+
 _CELLS = """cells AS (SELECT (user_id % 21)::INTEGER AS run, ((event_id % 8) - 1)::INTEGER AS i, ((event_id // 8) % 7)::INTEGER AS j, sum(floor(value * 100)::BIGINT) / count(value) / 100 AS value FROM events GROUP BY ALL),
 m AS (SELECT run, CASE WHEN run % 2 = 0 THEN 'continuation' ELSE 'perplexity' END AS exam, i, j, value FROM cells), s AS (SELECT *, CASE WHEN exam = 'perplexity' THEN -value ELSE value END AS score FROM m)"""
 _ACCURACY = "acc AS (SELECT run, exam, avg(score) AS value FROM s WHERE i = (SELECT max(t.i) FROM s t WHERE t.run = s.run AND t.exam = s.exam) GROUP BY run, exam)"

@@ -188,9 +188,7 @@ def continuation_items(spark: SparkSession, sf: str) -> DataFrame:
     return items.select("phase", "story_id", "answer_index", F.sha2("prefix", 256).alias("prefix_sha256"), F.sha2(F.array_join("options", "\n"), 256).alias("options_sha256"))
 
 
-@query
-def continuation_pmi(spark: SparkSession, sf: str) -> DataFrame:
-    items = probes.continuation_items(V.train(spark, sf), V.SEED)
+def _pmi(spark: SparkSession, sf: str, items: DataFrame) -> DataFrame:
     scores = scoring.option_scores(items, scoring.bigram_model(V.exam(spark, sf), "story")).join(items.select("phase", "story_id", "answer_index"), ["phase", "story_id"])
     key = ["phase", "story_id"]
     pmi = scoring.rank_one(scores, key, "at", F.round(F.col("conditional") - F.col("baseline"), 6), "answer_index")
@@ -199,11 +197,36 @@ def continuation_pmi(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("phase").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_pmi"), F.count_if("summed").alias("n_summed"))
 
 
+@query
+def continuation_pmi(spark: SparkSession, sf: str) -> DataFrame:
+    return _pmi(spark, sf, probes.continuation_items(V.train(spark, sf), V.SEED))
+
+
 @query
 def giveaway_report(spark: SparkSession, sf: str) -> DataFrame:
     return probes.giveaway_report(probes.continuation_items(V.train(spark, sf), V.SEED))
 
 
+def _drawn(spark: SparkSession, sf: str) -> DataFrame:
+    return probes.drawn_items(V.train(spark, sf), V.SEED)
+
+
+@query
+def continuation_items_drawn(spark: SparkSession, sf: str) -> DataFrame:
+    """Every story of two paragraphs or more; without a hash of options where its phase has no three distractors."""
+    return _drawn(spark, sf).select("phase", "story_id", "answer_index", F.sha2("prefix", 256).alias("prefix_sha256"), F.sha2(F.array_join("options", "\n"), 256).alias("options_sha256"))
+
+
+@query
+def giveaway_report_drawn(spark: SparkSession, sf: str) -> DataFrame:
+    return probes.giveaway_report(_drawn(spark, sf).where("options is not null"))
+
+
+@query
+def continuation_pmi_drawn(spark: SparkSession, sf: str) -> DataFrame:
+    return _pmi(spark, sf, _drawn(spark, sf).where("options is not null"))
+
+
 @query
 def matrix_incomplete(spark: SparkSession, sf: str) -> DataFrame:
     return matrix.incomplete(V.matrix(spark, sf).where("run < 14 or j <> 3"))

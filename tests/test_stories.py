@@ -152,3 +152,24 @@ def test_entry_without_the_corpus_operators(monkeypatch):
     with pytest.raises(ModuleNotFoundError):
         import corpus_pipeline  # noqa: F401
     assert set(importlib.import_module("__spark_entry__").queries()) >= set(plans.QUERIES)
+
+
+def test_distractors_come_from_the_whole_phase(spark):
+    # The first paragraph of each story opens it; the only one of the answer's length is no story's last paragraph.
+    rows = [(i, 0, f"open {i}\n\n{'m' * 40}{i:03d}\n\n{'z' * 400}{i:03d}") for i in range(40)] + [(90, 1, "alone\n\nhere")]
+    items = {r["story_id"]: r for r in probes.drawn_items(stories(spark, rows), 1).collect()}
+    assert len(items) == 41 and items[90]["options"] is None
+    assert {len(items[i]["answer"]) for i in range(40)} == {43, 403}
+    for i in range(40):
+        r = items[i]
+        assert r["options"][r["answer_index"]] == r["answer"] and {len(o) for o in r["options"]} == {len(r["answer"])} and len(set(r["options"])) == 4
+        assert len({s["story_id"] for s in r["option_sources"]}) == 4 and r["option_sources"][r["answer_index"]]["story_id"] == i
+        assert r["prefix"].startswith(f"open {i}\n\n") and r["prefix"].endswith("\n\n")
+    assert sorted(items[i]["answer_index"] for i in range(40)) == [k for k in range(4) for _ in range(10)]
+
+
+def test_distractors_outside_the_band_where_the_phase_has_none(spark):
+    rows = [(1, 0, "a\n\n" + "x" * 100), (2, 0, "b\n\nshort"), (3, 0, "c\n\nshort"), (4, 0, "d\n\nbrief"), (5, 0, "e\n\nwee")]
+    items = {r["story_id"]: r for r in probes.drawn_items(stories(spark, rows), 1).collect()}
+    assert set(items[1]["options"]) == {"x" * 100, "short", "brief", "wee"}
+    assert items[2]["options"] is not None and len(set(items[2]["options"])) == 4
