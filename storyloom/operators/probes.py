@@ -27,6 +27,14 @@ def band_lexicon(stories: DataFrame, low: int, high: int, letters: int = 5) -> D
     return df.where(F.col("count").between(low, high)).select("phase", "word")
 
 
+def share_lexicon(stories: DataFrame, low: int, percent: int, letters: int = 5) -> DataFrame:
+    """As band_lexicon, but the upper bound is a share of the phase's stories, so that it means the same at any size."""
+    words = F.filter(F.array_distinct(F.regexp_extract_all("story", F.lit(f"({T.WORD})"))), lambda w: (F.length(w) >= letters) & (w == F.lower(w)))
+    df = stories.select("phase", F.explode(words).alias("word")).groupBy("phase", "word").agg(F.count("*").alias("c"))
+    n = stories.groupBy("phase").agg(F.count("*").alias("n"))
+    return df.join(n, "phase").where((F.col("c") >= low) & (F.col("c") * 100 <= F.col("n") * percent)).select("phase", "word")
+
+
 def cloze_items(stories: DataFrame, lexicon: DataFrame, seed: int, per_phase: int | None = None) -> DataFrame:
     """(phase, item, story_id, answer, text_with_mask, candidates) of stories that hold a lexicon word exactly once.
 

@@ -143,6 +143,10 @@ FROM chosen c JOIN train t ON t.id = c.story_id"""
 ORACLES["probe_violations"] = f"""WITH {_TRAIN}, {_LEXICON}, bad AS (SELECT c.story_id FROM cands c GROUP BY ALL HAVING count(*) <> 20 OR count(DISTINCT {_FOLD.format("word")}) <> 20)
 SELECT 'candidate count' AS rule, count(*)::BIGINT AS n FROM bad HAVING count(*) > 0"""
 
+_LEXICON_ALL = _LEXICON.replace(" WHERE item <= 40", "").replace("SELECT phase, word FROM seenw WHERE length(word) >= 5 AND word = lower(word) GROUP BY ALL HAVING count(*) BETWEEN 2 AND 40", "SELECT phase, word FROM (SELECT phase, word, count(*) AS c FROM seenw WHERE length(word) >= 5 AND word = lower(word) GROUP BY ALL) JOIN (SELECT phase, count(*) AS n FROM train GROUP BY phase) USING (phase) WHERE c >= 2 AND c * 100 <= n * 28")
+for _name in ("cloze_items", "probe_violations"):
+    ORACLES[f"{_name}_all"] = ORACLES[_name].replace(_LEXICON, _LEXICON_ALL)
+
 _ITEMS = rf"""plain AS (SELECT phase, id AS story_id, trim(regexp_replace(story, '\r\n|\r', chr(10), 'g'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM train),
 parts AS (SELECT phase, story_id, list_filter(list_transform(CASE WHEN regexp_matches(t, '\n\s*\n') THEN regexp_split_to_array(t, '\n\s*\n') ELSE regexp_split_to_array(t, '\n') END, lambda x: trim(x)), lambda x: x <> '') AS p FROM plain),
 items AS (SELECT phase, story_id, array_to_string(p[:-2], chr(10)) AS prefix, p[-1] AS answer, row_number() OVER (PARTITION BY phase ORDER BY {_DRAW.format('continuation', 'phase, story_id')}) AS turn, count(*) OVER (PARTITION BY phase) AS n FROM parts WHERE len(p) >= 2),

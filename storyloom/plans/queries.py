@@ -207,6 +207,22 @@ def giveaway_report(spark: SparkSession, sf: str) -> DataFrame:
     return probes.giveaway_report(probes.continuation_items(V.train(spark, sf), V.SEED))
 
 
+def _cloze_all(spark: SparkSession, sf: str) -> DataFrame:
+    stories = V.train(spark, sf)
+    return probes.cloze_items(stories, probes.share_lexicon(stories, 2, 28), V.SEED)
+
+
+@query
+def cloze_items_all(spark: SparkSession, sf: str) -> DataFrame:
+    """One item for each usable story."""
+    return _cloze_all(spark, sf).select("phase", "item", "story_id", "answer", F.sha2("text_with_mask", 256).alias("text_sha256"), F.array_join("candidates", ",").alias("candidates"))
+
+
+@query
+def probe_violations_all(spark: SparkSession, sf: str) -> DataFrame:
+    return probes.cloze_violations(_cloze_all(spark, sf)).groupBy("rule").agg(F.count("*").alias("n"))
+
+
 def _drawn(spark: SparkSession, sf: str) -> DataFrame:
     return probes.drawn_items(V.train(spark, sf), V.SEED)
 

@@ -173,3 +173,12 @@ def test_distractors_outside_the_band_where_the_phase_has_none(spark):
     items = {r["story_id"]: r for r in probes.drawn_items(stories(spark, rows), 1).collect()}
     assert set(items[1]["options"]) == {"x" * 100, "short", "brief", "wee"}
     assert items[2]["options"] is not None and len(set(items[2]["options"])) == 4
+
+
+def test_every_usable_story_has_a_cloze_item(spark):
+    rows = spark.createDataFrame([(i, f"common rareword{chr(97 + i % 26)}x others{chr(97 + i // 26)}y tail") for i in range(104)], "id long, story string").withColumn("phase", F.lit(0))
+    lexicon = probes.share_lexicon(rows, 2, 28)
+    assert lexicon.where("word = 'common'").count() == 0 and lexicon.count() == 30
+    assert probes.share_lexicon(rows.unionByName(rows.withColumn("id", F.col("id") + 1000)), 2, 28).exceptAll(lexicon).count() == 0
+    assert probes.cloze_items(rows, lexicon, 7).count() == 104
+    assert {"cloze_items_all", "probe_violations_all"} <= set(plans.QUERIES)
