@@ -41,6 +41,8 @@ _FLAGGED = """SELECT exam_id, exam_phase, train_id, train_phase, CASE WHEN by_pr
     round_even(containment, 4) AS containment, round_even(jaccard, 4) AS jaccard FROM flagged"""
 ORACLES["near_duplicate_pairs"] = f"WITH {_TRAIN}, {_EXAM}, {_sides(64)} {_FLAGGED}"
 ORACLES["near_duplicate_pairs_rare"] = f"WITH {_TRAIN0}, {_PAIR}, {_sides(4)} {_FLAGGED}"
+ORACLES["near_duplicate_pairs_by_source"] = f"WITH {_TRAIN0}, {_PAIR}, {_sides(64)} {_FLAGGED}"
+ORACLES["near_duplicate_pairs_uncapped"] = f"WITH {_TRAIN0}, {_PAIR}, {_sides(2**62)} {_FLAGGED}"
 ORACLES["near_duplicate_by_phase"] = f"""WITH {_TRAIN0}, {_PAIR}, {_sides(64)}
 SELECT e.phase, count(*)::BIGINT AS n_stories, any_value(coalesce(d.n, 0))::BIGINT AS n_dropped, any_value(round_even(coalesce(m.top, 0.0), 4)) AS max_containment
 FROM exam e LEFT JOIN (SELECT exam_phase, count(DISTINCT exam_id) AS n FROM flagged GROUP BY 1) d ON d.exam_phase = e.phase

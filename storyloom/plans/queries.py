@@ -31,6 +31,18 @@ def near_duplicate_pairs_rare(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(*V.by_language(spark, sf), max_postings=4)
 
 
+@query
+def near_duplicate_pairs_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs of near_duplicate_pairs_rare's view under the reference's rule of 64."""
+    return neardup.near_duplicates(*V.by_language(spark, sf))
+
+
+@query
+def near_duplicate_pairs_uncapped(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of the view, however many exam stories hold a shingle."""
+    return neardup.near_duplicates(*V.by_language(spark, sf), max_postings=None)
+
+
 @query
 def near_duplicate_by_phase(spark: SparkSession, sf: str) -> DataFrame:
     exam, train = V.by_language(spark, sf)

@@ -182,3 +182,14 @@ def test_every_usable_story_has_a_cloze_item(spark):
     assert probes.share_lexicon(rows.unionByName(rows.withColumn("id", F.col("id") + 1000)), 2, 28).exceptAll(lexicon).count() == 0
     assert probes.cloze_items(rows, lexicon, 7).count() == 104
     assert {"cloze_items_all", "probe_violations_all"} <= set(plans.QUERIES)
+
+
+def test_pairs_of_groups_beyond_the_posting_cap(spark, tmp_path):
+    body = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"opening{i} " * 30 + body + f" {body} end{i}", "en", "src1" if i < 70 else "src9") for i in range(71)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert plans.near_duplicate_pairs_by_source(spark, str(tmp_path)).count() == 0
+    assert plans.near_duplicate_pairs_uncapped(spark, str(tmp_path)).count() == 70
+    fewer = spark.createDataFrame(rows[60:], "doc_id long, text string, lang string, source string")
+    fewer.write.parquet(f"{tmp_path}/few/documents.parquet")
+    assert plans.near_duplicate_pairs_by_source(spark, f"{tmp_path}/few").count() == 10
