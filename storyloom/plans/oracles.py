@@ -79,6 +79,11 @@ d AS (SELECT sha, count(*) AS n, min(phase) AS a, max(phase) AS b FROM x WHERE m
 m AS (SELECT sha, arg_max(CASE WHEN tier = 'fr' THEN phase + 1 ELSE phase END, id) AS phase FROM x WHERE model <> 'src3' GROUP BY sha),
 j AS (SELECT coalesce(d.sha, m.sha) AS sha, d.n, CASE WHEN m.phase IS NULL THEN 'not in manifest' WHEN d.n IS NULL THEN 'missing' WHEN d.n > 1 THEN 'duplicate' WHEN d.a <> m.phase OR d.b <> m.phase THEN 'wrong phase' END AS problem FROM d FULL JOIN m ON d.sha = m.sha)
 SELECT sha, problem, coalesce(n, 0)::BIGINT AS n FROM j WHERE problem IS NOT NULL"""
+ORACLES["manifest_story_reconcile_all"] = f"""WITH {_TRAIN}, x AS (SELECT *, {_STORY} AS sha FROM train),
+d AS (SELECT sha, count(*) AS n, min(phase) AS a, max(phase) AS b FROM x WHERE coalesce(id % 11, 0) <> 4 GROUP BY sha),
+m AS (SELECT sha, arg_max(CASE WHEN id % 13 = 5 THEN phase + 1 ELSE phase END, id) AS phase FROM x WHERE coalesce(id % 17, 0) <> 3 GROUP BY sha),
+j AS (SELECT coalesce(d.sha, m.sha) AS sha, d.n, CASE WHEN m.phase IS NULL THEN 'not in manifest' WHEN d.n IS NULL THEN 'missing' WHEN d.n > 1 THEN 'duplicate' WHEN d.a <> m.phase OR d.b <> m.phase THEN 'wrong phase' END AS problem FROM d FULL JOIN m ON d.sha = m.sha)
+SELECT sha, problem, coalesce(n, 0)::BIGINT AS n FROM j WHERE problem IS NOT NULL"""
 ORACLES["provenance_violations"] = f"""WITH {_TRAIN}, p AS (SELECT phase, list_sort(list(DISTINCT model)) AS m FROM train GROUP BY phase), w AS (SELECT list_sort(list(DISTINCT model)) AS m FROM train)
 SELECT 'phase_models' AS rule, phase::VARCHAR AS entity, array_to_string(m, ',') AS detail FROM p WHERE len(m) <> 1
 UNION ALL SELECT 'models', 'all', array_to_string(m, ',') FROM w WHERE len(m) <> 1

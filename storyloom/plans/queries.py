@@ -86,6 +86,14 @@ def manifest_story_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     return guard.reconcile(exam.where("model <> 'src1'"), listed)
 
 
+@query
+def manifest_story_reconcile_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document: each 17th id not listed, each eleventh not on disk, the phase of each thirteenth moved in the manifest."""
+    docs = V.train(spark, sf)
+    moved = docs.where("id % 17 <> 3 or id is null").withColumn("phase", F.when(F.col("id") % 13 == 5, F.col("phase") + 1).otherwise(F.col("phase")))
+    return guard.reconcile(docs.where("id % 11 <> 4 or id is null"), guard.manifest_of(moved))
+
+
 @query
 def provenance_violations(spark: SparkSession, sf: str) -> DataFrame:
     return guard.provenance_violations(V.train(spark, sf), "src0")

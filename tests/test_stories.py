@@ -193,3 +193,12 @@ def test_pairs_of_groups_beyond_the_posting_cap(spark, tmp_path):
     fewer = spark.createDataFrame(rows[60:], "doc_id long, text string, lang string, source string")
     fewer.write.parquet(f"{tmp_path}/few/documents.parquet")
     assert plans.near_duplicate_pairs_by_source(spark, f"{tmp_path}/few").count() == 10
+
+
+def test_reconcile_reads_every_source(spark, tmp_path):
+    rows = [(i, f"story {i}", "en", f"src{i % 20}") for i in range(1, 101)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["problem"]: r["n"] for r in plans.manifest_story_reconcile_all(spark, str(tmp_path)).groupBy("problem").agg(F.count("*").alias("n")).collect()}
+    off, gone = {i for i in range(1, 101) if i % 17 == 3}, {i for i in range(1, 101) if i % 11 == 4}
+    moved = {i for i in range(1, 101) if i % 13 == 5}
+    assert got == {"not in manifest": len(off - gone), "missing": len(gone - off), "wrong phase": len(moved - off - gone)}
