@@ -360,3 +360,11 @@ def test_pipeline(spark):
 
 def test_queries_and_oracles_name_each_other():
     assert set(queries.ORACLE) <= set(queries.QUERIES) and [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_long_secrets_are_replaced(spark):
+    secret = "0123456789abcdef" * 8
+    docs = spark.createDataFrame([(1, f"key {secret} end"), (2, secret[:96])], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.pseudonymised(docs).collect()}
+    assert out[1]["n_replaced"] == out[2]["n_replaced"] == 1 and secret not in out[1]["text"] and len(out[1]["text"]) == 136
+    assert {r["text"] for r in pii.pseudonymised(pii.pseudonymised(docs), undo=True).collect()} == {f"key {secret} end", secret[:96]}
