@@ -152,7 +152,7 @@ def components(links: DataFrame, at_most: int = 60) -> DataFrame:
     """Connected components of links (a, b): node and label, the smallest node reachable, for each node with a link.
 
     Large-star and small-star steps in turn, each a grouped minimum and a join, until the stars no longer change;
-    each round is a written table.
+    each round is a written table. Raises if at_most rounds do not settle them.
     """
     stars = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     last = None
@@ -169,6 +169,8 @@ def components(links: DataFrame, at_most: int = 60) -> DataFrame:
         if seen == last:
             break
         last = seen
+    else:
+        raise RuntimeError(f"components not settled after {at_most} rounds")
     roots = stars.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return stars.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 

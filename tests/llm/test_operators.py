@@ -368,3 +368,10 @@ def test_long_secrets_are_replaced(spark):
     out = {r["doc_id"]: r for r in pii.pseudonymised(docs).collect()}
     assert out[1]["n_replaced"] == out[2]["n_replaced"] == 1 and secret not in out[1]["text"] and len(out[1]["text"]) == 136
     assert {r["text"] for r in pii.pseudonymised(pii.pseudonymised(docs), undo=True).collect()} == {f"key {secret} end", secret[:96]}
+
+
+def test_unsettled_components_are_an_error(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not settled"):
+        near_dedup.components(links, at_most=1)
+    assert near_dedup.components(links).select("label").distinct().count() == 1
