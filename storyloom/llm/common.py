@@ -12,7 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts name it, [\x20\x09-\x0D].
@@ -46,10 +46,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder, which cuts its lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Tables(df.sparkSession).write(df, label)
+
+
+class Tables:
+    """Parquet tables of one run in the shared folder, deleted when the run has no more use for them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def counted(self, df: DataFrame, label: str) -> tuple[DataFrame, int]:
+        """The table, and how many rows it has, without another pass."""
+        seen = Observation()
+        out = self.write(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+        return out, seen.get["n"]
+
+    def drop(self, *keep: DataFrame) -> None:
+        """Deletes all tables but those that a result still reads."""
+        kept = {id(t) for t in keep}
+        for k in [k for k in self.paths if k not in kept]:
+            remove(self.spark, self.paths.pop(k)[1])
 
 
 #: Bits of the map that screened() broadcasts: 4 MB at most, however many values are wanted.

@@ -5,7 +5,8 @@ set and the hashes of its signature's bands. Documents with the same set are one
 representatives that share a band are candidates. They are compared on their full sets with the smallest id of their
 bucket, then with two more leaders from other components. Pairs that are in different components even then are
 compared unless their differences from the leader rule out, exactly, that they are linked. So every pair in every bucket is
-compared, joined or ruled out; no bucket is capped and no group is expanded into all its pairs. Components come from star contraction over the verified links.
+compared, joined or ruled out; no bucket is capped and no group is expanded into all its pairs. Components are
+united link by link as in a union-find, by star contraction; later links only unite the components found so far.
 """
 
 from __future__ import annotations
@@ -17,15 +18,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import by_bytes, mix64, screened, shipped, written
+from storyloom.llm.common import Tables, by_bytes, mix64, screened, shipped
 
 #: Elements whose permutations are held at once, while a signature is made.
 ELEMENTS, SETS = 40_000, 1_000
 #: Leaders that the members of a hub are compared with before pairs across components are sought.
 LEADERS = 3
+#: Members of a bucket beyond which it is of the next level; a hub's rows of level n are dealt into 8 ** n parts.
+LEVELS = (128, 1024, 8192, 65536)
 
 
 def shingle_sets(text: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -148,46 +151,58 @@ def _signed(text: pa.Array, words: int, rows: int, bands: int) -> dict[str, pa.A
     }
 
 
-def components(links: DataFrame, at_most: int = 60) -> DataFrame:
+def components(links: DataFrame, tables: Tables | None = None, at_most: int = 60) -> DataFrame:
     """Connected components of links (a, b): node and label, the smallest node reachable, for each node with a link.
 
     Large-star and small-star steps in turn, each a grouped minimum and a join, until the stars no longer change;
     each round is a written table. Raises if at_most rounds do not settle them.
     """
-    stars = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    tables = tables or Tables(links.sparkSession)
+    low = lambda rows: rows.groupBy("u").agg(F.min("v").alias("low")).hint("merge")
+    stars = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     last = None
     for _ in range(at_most):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "low"), F.struct(F.col("u").alias("v"), "low"))).alias("e"))
+        large = both.join(low(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("low", "u").alias("v"))
+        large = large.distinct()
+        small = large.join(low(large), "u").select(F.explode(F.array(F.struct("v", "low"), F.struct(F.col("u").alias("v"), "low"))).alias("e"))
         small = small.select(F.col("e.v").alias("u"), F.col("e.low").alias("v")).where("u <> v").distinct()
-        stars = written(small, "stars")
-        seen = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if seen == last:
+        seen = Observation()
+        stars = tables.write(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum")), "stars")
+        if seen.get == last:
             break
-        last = seen
+        last = seen.get
     else:
         raise RuntimeError(f"components not settled after {at_most} rounds")
     roots = stars.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return stars.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 
 
-def _near(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of rows' members and leaders whose set sizes allow a link."""
-    rows = rows.where(f"least(n, ln) * 100 >= greatest(n, ln) * {percent} and id <> lead")
-    return rows.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+def _relabelled(labels: DataFrame | None, links: DataFrame, tables: Tables) -> DataFrame:
+    """Labels of all nodes with a link, after more links; only links between components found so far are looked at."""
+    if labels is None:
+        return tables.write(components(links, tables), "labels")
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")).hint("merge")
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = between.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    moved = components(between, tables).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    out = labels.select("node", F.col("label").alias("old")).join(moved.hint("merge"), "old", "full_outer")
+    # A node without a link so far is a label of its own.
+    return tables.write(out.select(F.coalesce("node", "old").alias("node"), F.coalesce("new", "old").alias("label")), "labels")
 
 
-def _open(rows: DataFrame) -> DataFrame:
-    """Rows of the hubs whose members are in more than one component."""
-    state = rows.groupBy("lid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("lid")
-    return written(rows.join(state, "lid", "left_semi"), "open")
+def _part(level: Column) -> Column:
+    """What member rows of a level are dealt by beside their hub."""
+    return F.pmod(F.xxhash64("id"), F.pow(F.lit(8), level).cast("long"))
 
 
-def _across(live: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def _to_members(rows: DataFrame, hubs: DataFrame, levels: DataFrame) -> DataFrame:
+    """Member rows (lid, id, level) joined with one row of each hub, which is dealt to every part of the hub's levels."""
+    dealt = hubs.join(levels, "lid").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(8), F.col("level")).cast("long") - 1)))
+    return rows.withColumn("part", _part(F.col("level"))).join(dealt, ["lid", "level", "part"]).drop("part")
+
+
+def _across(live: DataFrame, levels: DataFrame, full: DataFrame, percent: int, tables: Tables) -> DataFrame:
     """Pairs (a, b) of one hub's members in two components that may be linked; all others are ruled out, exactly.
 
     Let D(x) be the shingles in which x differs from its hub. Two sets of sizes m, n are linked when they differ in at most
@@ -197,11 +212,11 @@ def _across(live: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     members that do so, at places which leave enough to share, are paired.
     """
     k = (100 - percent) / (100 + percent)
-    hub = full.select(F.col("id").alias("lid"), F.col("shingles").alias("theirs"))
-    sets = live.join(full, "id").join(hub, "lid")
+    hub = full.select(F.col("id").alias("lid"), F.col("shingles").alias("theirs")).join(live.select("lid").distinct(), "lid")
+    sets = _to_members(live.join(full, "id"), hub, levels)
     differ = F.concat(F.array_except("shingles", "theirs"), F.array_except("theirs", "shingles"))
     sets = sets.select("lid", "id", "label", "n", differ.alias("d")).withColumn("dn", F.size("d"))
-    held = written(sets.select("lid", "id", "label", "n", "dn", F.explode("d").alias("shingle")), "differences")
+    held = tables.write(sets.select("lid", "id", "label", "n", "dn", F.explode("d").alias("shingle")), "differences")
     often = held.groupBy("lid", "shingle").agg(F.count("*").alias("often"), (F.min("label") < F.max("label")).alias("shared"))
     most = held.groupBy("lid").agg(F.min(F.col("dn") - k * F.col("n")).alias("least_w"), F.max("n").alias("most_n"))
     one = held.join(often, ["lid", "shingle"]).groupBy("lid", "id", "label", "n", "dn").agg(F.array_sort(F.collect_list(F.struct("often", "shingle", "shared"))).alias("order"))
@@ -210,7 +225,7 @@ def _across(live: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     need = F.greatest(F.lit(1), F.ceil((w + partner) / 2 - 1e-9))
     first = F.slice("order", F.lit(1), F.greatest(F.lit(0), F.col("dn") - need + 1).cast("int"))
     first = one.join(most, "lid").select("lid", "id", "label", "dn", w.alias("w"), F.posexplode(first).alias("at", "s"))
-    first = written(first.where("s.shared").select("lid", "id", "label", "dn", "w", "at", F.col("s.shingle").alias("shingle")), "prefixes")
+    first = tables.write(first.where("s.shared").select("lid", "id", "label", "dn", "w", "at", F.col("s.shingle").alias("shingle")), "prefixes")
     x, y = first.alias("x"), first.alias("y")
     enough = F.least(F.col("x.dn") - F.col("x.at"), F.col("y.dn") - F.col("y.at")) >= (F.col("x.w") + F.col("y.w")) / 2 - 1e-9
     both = x.join(y, (F.col("x.lid") == F.col("y.lid")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & enough)
@@ -221,11 +236,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     """Per row of docs: doc_id, n_shingles, component_id and kept (doc_id is its component's smallest).
 
     Documents are linked when 100 * |A & B| >= percent * |A | B| on their sets of distinct shingles. Rows with no
-    words are linked with nothing. Rows that repeat an id are one document; each comes out. A null id has a null
-    component and is kept. Columns beside id and text are not read. An empty table gives an empty result.
+    words are linked with nothing. Rows that repeat an id each come out, in the component of their own text; of several
+    texts under one id the least is compared. A null id has a null component and is kept. Columns beside id and text are not
+    read. An empty table gives an empty result.
     """
     shipped(docs.sparkSession)
-    spark = docs.sparkSession
+    tables = Tables(docs.sparkSession)
     rows, bands = banding(percent / 100)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,17 +258,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
                 yield pa.RecordBatch.from_arrays([part.column("id"), lists], names=["id", "shingles"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = written(texts.mapInArrow(sign, "id long, n long, fa long, fb long, bands array<long>"), "signed")
+    signed = tables.write(texts.mapInArrow(sign, "id long, n long, fa long, fb long, bands array<long>"), "signed")
     some = signed.where("n > 0 and id is not null")
-    classes = written(some.groupBy("fa", "fb", "n").agg(F.min("id").alias("rep"), F.count("*").alias("c")), "classes")
-    reps = some.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    keyed = written(reps.select("id", "n", F.explode("bands").alias("key")), "keys")
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("lid"), F.count("*").alias("c")).where("c > 1")
-    buckets = written(buckets, "buckets")
-    members = written(screened(keyed, "key", buckets.select("key")).join(buckets, "key"), "members")
-    wanted = written(members.select("id").distinct(), "wanted")
-    full = screened(texts, "id", wanted).join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    full = written(full.mapInArrow(sets, "id long, shingles array<long>"), "sets")
+    classes = tables.write(some.groupBy("fa", "fb", "n").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "classes")
+    keyed = tables.write(classes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key")), "keys")
+    buckets = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
+    buckets = tables.write(buckets.select("key", F.col("lead.id").alias("lid"), F.col("lead.n").alias("ln"), "c"), "buckets")
+    # All buckets with one leader are one hub: what shares a bucket shares a hub. Members of large buckets are of a higher level.
+    level = sum((F.when(F.col("c") > most, 1).otherwise(0) for most in LEVELS), F.lit(0))
+    hubs = screened(keyed, "key", buckets.select("key")).join(buckets, "key").groupBy("lid", "ln", "id", "n").agg(F.max(level).alias("level"))
+    hubs = tables.write(hubs, "hubs")
+    levels = tables.write(hubs.select("lid", "level").distinct(), "levels")
+    wanted = tables.write(hubs.select("id").distinct(), "wanted")
+    full = screened(texts, "id", wanted).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    full = tables.write(full.mapInArrow(sets, "id long, shingles array<long>"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         one = full.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
@@ -260,39 +279,33 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
         both = F.size(F.array_intersect("sa", "sb"))
         return pairs.join(two, "b").join(one, "a").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
-    # All buckets with one leader are one hub: what shares a bucket shares a hub.
-    hubs = written(members.select("lid", "id", "n").distinct(), "hubs")
-    sizes = hubs.select(F.col("id").alias("lead"), F.col("n").alias("ln")).distinct()
-    leads = hubs.select("lid", F.col("lid").alias("lead")).distinct()
-    tested, links, fresh = None, None, hubs.join(leads, "lid").join(sizes, "lead")
+    near = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    pairs = hubs.where((F.col("id") != F.col("lid")) & near("n", "ln")).select(F.col("lid").alias("a"), F.col("id").alias("b"))
+    live, tested, labels = hubs.withColumn("leads", F.array("lid")), None, None
     for turn in range(LEADERS + 1):
-        pairs = fresh if turn == LEADERS else _near(fresh, percent)
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = written(verified(pairs), "verified")
-        tested, links = (pairs, found) if tested is None else (tested.unionByName(pairs), links.unionByName(found))
-        labels = written(components(links), "labels")
-        label = labels.select(F.col("node").alias("id"), "label")
-        if turn == LEADERS:
-            break
-        live = _open(hubs.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
-        if live.isEmpty():
-            break
-        if turn == LEADERS - 1:
-            fresh = _across(live, full, percent)
-            continue
-        # The next leader of a hub: the smallest id that is in none of its leaders' components.
-        led = leads.join(live.select("lid", F.col("id").alias("lead"), "label"), ["lid", "lead"]).select("lid", "label").distinct()
-        new = written(live.join(led, ["lid", "label"], "left_anti").groupBy("lid").agg(F.min("id").alias("lead")), "leads")
-        leads = leads.unionByName(new)
-        mine = live.select(F.col("id").alias("lead"), "lid", F.col("label").alias("llabel"))
-        fresh = live.join(new.join(mine, ["lid", "lead"]), "lid").where("label <> llabel").join(sizes, "lead")
+        if turn:
+            label = labels.select(F.col("node").alias("id"), "label").hint("merge")
+            live = live.select("lid", "id", "n", "level", "leads").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+            groups = live.groupBy("lid", "label").agg(F.min(F.struct("id", "n")).alias("first"), F.max(F.array_contains("leads", F.col("id"))).alias("led"))
+            # The next leader of a hub: the smallest id that is in none of its leaders' components.
+            found = groups.groupBy("lid").agg(F.count("*").alias("c"), F.min(F.when(~F.col("led"), F.struct("first.id", "first.n", "label"))).alias("next"))
+            live, n = tables.counted(_to_members(live, found.where("c > 1").select("lid", "next"), levels), "open")
+            if not n:
+                break
+            if turn == LEADERS:
+                pairs = _across(live, levels, full, percent, tables)
+            else:
+                pairs = live.where((F.col("label") != F.col("next.label")) & near("n", "next.n"))
+                pairs = pairs.select(F.least("id", "next.id").alias("a"), F.greatest("id", "next.id").alias("b")).distinct()
+                live = live.withColumn("leads", F.when(F.col("next").isNull(), F.col("leads")).otherwise(F.array_append("leads", F.col("next.id"))))
+        pairs = tables.write(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        links, n = tables.counted(verified(pairs), "verified")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if n or labels is None:
+            labels = _relabelled(labels, links, tables)
     group = classes.select("fa", "fb", "n", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    group = group.select("fa", "fb", "n", F.coalesce("label", "rep").alias("label"))
-    # Rows that repeat an id with other texts belong to one node: its smallest component.
-    return _result(signed, group)
-
-
-def _result(signed: DataFrame, group: DataFrame) -> DataFrame:
+    group = tables.write(group.select("fa", "fb", "n", F.coalesce("label", "rep").alias("label")), "groups")
+    tables.drop(signed, group)
     out = signed.select("id", "n", "fa", "fb").join(group, ["fa", "fb", "n"], "left")
     out = out.withColumn("component_id", F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.coalesce("label", "id"))).otherwise(F.col("id")))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", (F.col("component_id").isNull() | F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"))

@@ -375,3 +375,20 @@ def test_unsettled_components_are_an_error(spark):
     with pytest.raises(RuntimeError, match="not settled"):
         near_dedup.components(links, at_most=1)
     assert near_dedup.components(links).select("label").distinct().count() == 1
+
+
+def test_later_links_unite_components(spark):
+    schema = "a long, b long"
+    tables = common.Tables(spark)
+    labels = near_dedup._relabelled(None, spark.createDataFrame([(1, 2), (3, 4), (8, 9)], schema), tables)
+    labels = near_dedup._relabelled(labels, spark.createDataFrame([(2, 4), (7, 9), (5, 6), (1, 2)], schema), tables)
+    assert {r["node"]: r["label"] for r in labels.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 7, 8: 7, 9: 7}
+    tables.drop(labels)
+    assert labels.count() == 9 and len(tables.paths) == 1
+
+
+def test_hub_rows_reach_members_of_all_levels(spark):
+    members = spark.createDataFrame([(1, i, i % 3) for i in range(90)] + [(2, 5, 0)], "lid long, id long, level int")
+    hubs = spark.createDataFrame([(1, "x"), (2, "y")], "lid long, mark string")
+    got = near_dedup._to_members(members, hubs, members.select("lid", "level").distinct())
+    assert sorted(map(tuple, got.select("lid", "id", "mark").collect())) == sorted((r["lid"], r["id"], "xy"[r["lid"] - 1]) for r in members.collect())
