@@ -36,9 +36,15 @@ def shipped(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, one machine), a new temporary one is set."""
+    """The folder of spark.checkpoint.dir; where it is unset on one machine, as in tests, a new temporary one is set.
+
+    On a cluster a folder of one machine would lose data, so an unset one is refused.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = getattr(spark, "_storyloom_folder", None) or tempfile.mkdtemp(prefix="storyloom-")
         spark._storyloom_folder = folder
     return folder.rstrip("/")
@@ -92,6 +98,17 @@ def screened(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return out.where(f"shiftright({byte}, cast(bitmap_bit_position(_slot) % 8 as int)) & 1 = 1").select(rows.columns)
 
 
+def set_aside(df: DataFrame, *names: str) -> DataFrame:
+    """df with columns of these names, which an operator is to add, renamed to end in _in (and as many _ as it takes)."""
+    for name in names:
+        if name in df.columns:
+            other = name + "_in"
+            while other in df.columns:
+                other += "_"
+            df = df.withColumnRenamed(name, other)
+    return df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table that written() or a run index made, by the file system of its path."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -69,6 +69,8 @@ class PivotTable:
         needed = needed[np.argsort(-best[needed], kind="stable")]
         for a in range(0, len(needed), STEP):
             at = needed[a : a + STEP]
+            if best[at[0]] < top.min():  # no bound left reaches any query's k-th score
+                break
             at = at[((bound[:, at] >= top.min(axis=1)[:, None]) & (bound[:, at] > -np.inf)).any(axis=0)]
             if not len(at):
                 continue

@@ -50,6 +50,15 @@ def best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.nd
     return order[np.arange(len(order)) - first < k]
 
 
+def without_copies(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Which rows, sorted by id, can be among anyone's k best: of equal vectors those of the k + 1 smallest ids."""
+    rows = np.ascontiguousarray(x + 0.0)  # no negative zeros
+    group = np.unique(rows.view(np.dtype((np.void, rows.shape[1] * 8)))[:, 0], return_inverse=True)[1]
+    order = np.argsort(group, kind="stable")
+    first = np.searchsorted(group[order], group[order])
+    return np.sort(order[np.arange(len(order)) - first <= k])
+
+
 def nearest(vectors: DataFrame, every: int, k: int, search: Search, score: str, id_col: str, vector_col: str) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best for each id divisible by `every`; rows that repeat count once.
 
@@ -72,6 +81,8 @@ def nearest(vectors: DataFrame, every: int, k: int, search: Search, score: str,
         if len(ids) and len(own):
             order = np.argsort(ids, kind="stable")
             ids, x, y = ids[order], matrix(candidates.column("v"))[order], matrix(queries.column("v"))
+            some = without_copies(ids, x, k)
+            ids, x = ids[some], x[some]
             nr, at = search(ids, x, own, y)
             differs = own[nr] != ids[at]
             nr, at = nr[differs], at[differs]
