@@ -12,22 +12,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import by_bytes, mix64, shipped, text_bytes
+from storyloom.llm.common import by_bytes, mix64, set_aside, shipped, text_bytes
 
 #: Words of a passage, and buckets of the histogram of words.
-PASSAGE, BUCKETS = 64, 16
-#: Character classes: 0 space, 1 line end, 2 a-z, 3 A-Z, 4 digit, 5 marks of sentences, 6 exclamation, 7 bar, 8 other marks, 9 beyond ASCII.
-CLASSES = np.full(256, 9, np.uint8)
-CLASSES[:128] = 8
+PASSAGE, BUCKETS = 64, 32
+#: Character classes: 0 space, 1 line end, 2 a-z, 3 A-Z, 4 digit, 5 marks of sentences, 6 other marks, 7 beyond ASCII.
+CLASSES = np.full(256, 7, np.uint8)
+CLASSES[:128] = 6
 CLASSES[[32, 9, 11, 12, 13]] = 0
 CLASSES[10] = 1
 CLASSES[97:123], CLASSES[65:91], CLASSES[48:58] = 2, 3, 4
-CLASSES[[ord(c) for c in ".,;:?'\"()-"]] = 5
-CLASSES[33], CLASSES[124] = 6, 7
-WIDTH = 10 + 6 + BUCKETS
+CLASSES[[ord(c) for c in ".,;:!?'\"()-"]] = 5
+KINDS = 8
+WIDTH = KINDS + 6 + BUCKETS
+#: Bytes of a word that are hashed eight at a time for all words together; the rest of a longer word is hashed on its own.
+STEPS = 64
+
+
+def word_hashes(body: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every byte of each word."""
+    value = mix64(length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    padded = np.append(body, np.zeros(8, np.uint8))
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(body) + 1,), (1,))
+    some = np.arange(len(at))
+    for k in range(0, STEPS, 8):
+        some = some[length[some] > k]
+        if not len(some):
+            return value
+        left = np.minimum(length[some] - k, 8)
+        part = eight[at[some] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (8 * (8 - left)).astype(np.uint64))
+        value[some] = mix64(value[some] ^ part)
+    for i in some[length[some] > STEPS]:
+        rest = xxhash.xxh64_intdigest(body[at[i] + STEPS : at[i] + length[i]].tobytes())
+        value[i] = mix64(value[i : i + 1] ^ np.uint64(rest))[0]
+    return value
 
 
 def passages(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,28 +83,25 @@ def passages(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     end = np.append(begin[1:], size)
     out = np.zeros((bounds[-1], WIDTH), np.float32)
     some = np.flatnonzero(end > begin)
-    for k in range(10 if len(some) else 0):
+    for k in range(KINDS if len(some) else 0):
         out[some, k] = np.add.reduceat(kind == k, begin[some], dtype=np.int32)
-    total = np.maximum(out[:, :10].sum(axis=1), 1)
-    out[:, :10] /= total[:, None]
+    total = np.maximum(out[:, :KINDS].sum(axis=1), 1)
+    out[:, :KINDS] /= total[:, None]
     if len(at):
-        padded = np.append(body, np.zeros(8, np.uint8))
-        head = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (size + 1,), (1,)) if size else np.zeros(1, np.uint64)
-        value = head[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (8 * (8 - np.minimum(length, 8))).astype(np.uint64))
-        value = mix64(value + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        value = word_hashes(body, at, length)
         words = np.maximum(np.bincount(passage, minlength=len(out)), 1)
         again = np.zeros(len(at), bool)
         again[1:] = (value[1:] == value[:-1]) & (doc[1:] == doc[:-1])
         sums = lambda x: np.bincount(passage, weights=x, minlength=len(out))
         mean = sums(length) / words
-        out[:, 10] = words / PASSAGE * (end > begin)
-        out[:, 11] = np.minimum(mean, 50) / 10
-        out[:, 12] = np.minimum(np.sqrt(np.maximum(sums(length.astype(float) ** 2) / words - mean**2, 0)), 50) / 10
-        out[:, 13] = sums(again) / words
-        out[:, 14] = sums(kind[at] == 3) / words
-        out[:, 15] = sums(kind[at] == 2) / words
+        out[:, KINDS + 0] = words / PASSAGE * (end > begin)
+        out[:, KINDS + 1] = np.minimum(mean, 50) / 10
+        out[:, KINDS + 2] = np.minimum(np.sqrt(np.maximum(sums(length.astype(float) ** 2) / words - mean**2, 0)), 50) / 10
+        out[:, KINDS + 3] = sums(again) / words
+        out[:, KINDS + 4] = sums(kind[at] == 3) / words
+        out[:, KINDS + 5] = sums(kind[at] == 2) / words
         bucket = (value % np.uint64(BUCKETS)).astype(np.int64)
-        out[:, 16:] = np.bincount(passage * BUCKETS + bucket, minlength=len(out) * BUCKETS).reshape(-1, BUCKETS) / words[:, None]
+        out[:, KINDS + 6 :] = np.bincount(passage * BUCKETS + bucket, minlength=len(out) * BUCKETS).reshape(-1, BUCKETS) / words[:, None]
     return out, bounds
 
 
@@ -118,7 +137,7 @@ class BagModel:
         dh = (dz[bag] * f["weight"][:, None] + dt @ p["v"].T + dg @ p["u"].T) * (1 - f["h"] ** 2)
         return {"w": f["x"].T @ dh, "b": dh.sum(axis=0), "v": f["h"].T @ dt, "u": f["h"].T @ dg, "a": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ ds, "d": np.array([ds.sum()])}
 
-    def fit(self, x: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int = 40, size: int = 128, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> BagModel:
+    def fit(self, x: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int = 40, size: int = 128, rate: float = 0.01, decay: float = 1.0, seed: int = 7) -> BagModel:
         self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
         x = np.clip((x - self.mean) / self.scale, -8, 8)
         rng, step = np.random.default_rng(seed), 0
@@ -141,7 +160,13 @@ class BagModel:
         """Scores of bags, from 0 to 1."""
         if len(bounds) < 2:
             return np.zeros(0)
-        return self._forward(np.clip((x - self.mean) / self.scale, -8, 8), bounds)["score"]
+        out, a = [], 0
+        while a < len(bounds) - 1:  # some bags at a time, whose passages are held in double precision
+            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + 4096, side="right")) - 1)
+            part = (x[bounds[a] : bounds[b]].astype(np.float64) - self.mean) / self.scale
+            out.append(self._forward(np.clip(part, -8, 8), bounds[a : b + 1] - bounds[a])["score"])
+            a = b
+        return np.concatenate(out)
 
 
 def learnable(doc_id: Column) -> Column:
@@ -149,9 +174,11 @@ def learnable(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 != 1, F.lit(False))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> BagModel | None:
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = 4000, bag: int = 32, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> BagModel | None:
     """A model fitted on the texts of at most `sample` labelled documents whose labels may be learned; None if there are none.
 
+    Of a document of more than `bag` passages, that many from its whole length are learned from; scores read all of them.
+
     Labels other than 0 and 1 are passed over, as are labels without a document; of several for an id the least counts.
     """
     shipped(docs.sparkSession)
@@ -162,7 +189,8 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str =
         for batch in batches:
             for part in by_bytes(batch, "text"):
                 x, bounds = passages(part.column("text"))
-                flat = pa.array([a.tobytes() for a in np.split(x, bounds[1:-1])], pa.binary())
+                bags = (a[np.linspace(0, len(a) - 1, min(len(a), bag)).astype(int)] for a in np.split(x, bounds[1:-1]))
+                flat = pa.array([a.tobytes() for a in bags], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), flat], names=["id", "label", "passages"])
 
     # `sample` rows at most are broadcast, and as many documents' features fetched.
@@ -174,13 +202,13 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str =
     return BagModel().fit(np.concatenate(bags).astype(np.float64), np.append(0, np.cumsum([len(b) for b in bags])), np.array([r["label"] for r in rows], float))
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", score_col: str = "score") -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, sample: int = 4000, bag: int = 32, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", score_col: str = "score") -> DataFrame:
     """docs with a score from 0 to 1 for every whole text; higher means that label 1 is likelier.
 
     Null and empty texts are scored as one passage without words. Without a label to learn from, every score is 0.5.
-    Rows that repeat score alike; other columns pass through.
+    Rows that repeat score alike; other columns pass through, one of the score's name as {name}_in.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample, id_col, text_col, label_col))
+    model = fitted(docs, labels, sample, bag, id_col, text_col, label_col)  # some thousand numbers, which go with the function
 
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -188,7 +216,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str =
             out = []
             for part in by_bytes(pa.RecordBatch.from_arrays([text], names=["text"]), "text"):
                 x, bounds = passages(part.column("text"))
-                out.append(model.value.score(x.astype(np.float64), bounds) if model.value else np.full(len(bounds) - 1, 0.5))
+                out.append(model.score(x, bounds) if model else np.full(len(bounds) - 1, 0.5))
             yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
-    return docs.withColumn(score_col, score(F.col(text_col)))
+    return set_aside(docs, score_col).withColumn(score_col, score(F.col(text_col)))
