@@ -17,10 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import ascii_words, shipped, written
+from storyloom.llm.common import Tables, ascii_words, shipped
 
-#: Units of a chunk, about; smaller than this a probability counts as 0, nearer than this to 1 as 1.
-CHUNK, TINY = 4000, 1e-9
+#: Units of a chunk, about; smaller than this a probability counts as 0, nearer than this to 1 as 1; sources of a mix at most.
+CHUNK, TINY, MOST_SOURCES = 4000, 1e-9, 100_000
 CYCLE = (1, 2, 3)
 
 
@@ -90,54 +90,79 @@ def _flown(seed: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return fly
 
 
+def _numbered(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """rows with a number from 0 among those alike in key: first inside a partition, then by what the partitions before hold."""
+    rows = rows.withColumn("_pid", F.spark_partition_id())
+    inside = F.row_number().over(Window.partitionBy(*key, "_pid").orderBy(F.lit(1))) - 1
+    sums = rows.groupBy(*key, "_pid").agg(F.count("*").alias("_n"))
+    before = sums.groupBy(*key).agg(F.count("*").alias("_c"), F.collect_list(F.struct("_pid", "_n")).alias("_all")).where("_c > 1")  # one entry for each partition
+    before = before.select(*key, F.explode("_all").alias("_e"), "_all")
+    before = before.select(*key, F.col("_e._pid").alias("_pid"), F.aggregate(F.filter("_all", lambda x: x["_pid"] < F.col("_e._pid")), F.lit(0).cast("long"), lambda a, x: a + x["_n"]).alias("_before"))
+    named = before.select(*(F.col(k).alias(f"{k}_b") for k in key), F.col("_pid").alias("_pid_b"), "_before")
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_b")) for k in [*key, "_pid"]]
+    out = rows.withColumn(name, inside).join(named, same, "left").withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
+    return out.drop("_pid", "_pid_b", "_before", *(f"{k}_b" for k in key))
+
+
 def mixed(docs: DataFrame, most: float = 3, cycle: tuple[float, ...] = CYCLE, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Rows of docs (id, source, other columns) with size, source_size, target and copies (how often the mix takes the row).
+    """Rows of docs (id, source) with size, source_size, target and copies (how often the mix takes the row).
 
     Null texts and texts without words have size 0, and are taken floor(r) times or drawn like others. A source without
-    words has the target 0 and copies 0. Null sources are one source, weighed last. Reruns agree: draws hang on ids and
-    sizes. Rows that repeat are units of their own. An empty table gives an empty result. One row for each source reaches
-    the driver.
+    words has the target 0 and copies 0. Null sources are one source, weighed last. Reruns agree: draws hang on ids, texts and
+    the number of a row among those alike in both. Rows that repeat are units of their own, dealt into chunks as any
+    others. An empty table gives an empty result. One row for each source reaches the driver; more than MOST_SOURCES
+    are refused.
     """
+    return _drawn(docs, most, cycle, seed, id_col, text_col, source_col).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies")
+
+
+def _drawn(docs: DataFrame, most: float, cycle: tuple[float, ...], seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     spark = docs.sparkSession
     shipped(spark)
-    rows = docs.withColumns({"size": ascii_words(F.col(text_col))})
-    slim = written(rows.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), "size"), "sizes")
-    sums = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    tables = Tables(spark)
+    key = ["id", "source", "size", "hash"]
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), ascii_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("hash"))
+    slim = tables.write(slim, "sizes")
+    sums = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(sums) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources to mix")
     due = targets([(r["source"], r["size"]) for r in sums], most, cycle)
     order = sorted(sums, key=lambda r: (r["source"] is None, r["source"] or ""))
     facts = [(r["source"], i, r["size"], float(due[r["source"]]), due[r["source"]] / r["size"] if r["size"] else 0.0, max(1, -(-r["n"] // CHUNK))) for i, r in enumerate(order)]
     facts = spark.createDataFrame(facts, "source string, source_nr int, source_size long, target double, ratio double, chunks int")
-    facts = F.broadcast(facts.withColumnRenamed("source", "own"))  # as many rows as sources
-    units = slim.join(facts, F.col("source").eqNullSafe(F.col("own")), "left").drop("own")
-    turn = F.xxhash64("id", "size", F.lit(seed))
+    facts = F.broadcast(facts.withColumnRenamed("source", "own"))  # MOST_SOURCES rows at most
+    units = _numbered(slim, key, "nr").join(facts, F.col("source").eqNullSafe(F.col("own")), "left").drop("own")
+    turn = F.xxhash64("id", "size", "hash", "nr", F.lit(seed))
     whole = F.least(F.floor("ratio"), F.lit(most)).cast("int")
-    units = units.withColumns({"turn": turn, "whole": whole, "p": F.col("ratio") - whole, "chunk": F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.col("chunks")).cast("int"), "unit": F.monotonically_increasing_id()})
-    units = written(units.select("id", "size", "source", "source_nr", "source_size", "target", "whole", "turn", "p", "chunk", "unit", "chunks"), "units")
-    schema = "id long, size long, source_nr int, turn long, p double, chunk int, unit long, chunks int"
+    units = units.withColumns({"turn": turn, "whole": whole, "p": F.col("ratio") - whole, "chunk": F.pmod(F.xxhash64("id", "hash", "nr", F.lit(seed + 1)), F.col("chunks")).cast("int"), "unit": F.monotonically_increasing_id()})
+    units = tables.write(units.select(*key, "nr", "source_nr", "source_size", "target", "whole", "turn", "p", "chunk", "unit"), "units")
+    schema = "id long, size long, source_nr int, turn long, p double, chunk int, unit long"
     slimmer = units.select(schema_names := [x.split()[0] for x in schema.split(", ")])
-    flown = written(slimmer.where((F.col("p") > TINY) & (F.col("p") < 1 - TINY)).groupBy("source_nr", "chunk").applyInPandas(_flown(seed, False), schema), "flown")
+    fly = lambda rows, last: rows.groupBy("source_nr", "chunk").applyInPandas(_flown(seed, last), schema)
+    flown = tables.write(fly(slimmer.where((F.col("p") > TINY) & (F.col("p") < 1 - TINY)), False), "flown")
     decided, left = flown.where("p = 0 or p = 1"), flown.where("p > 0 and p < 1")
     wide = max((r["n"] for r in sums), default=0) // CHUNK + 1
     while True:  # up the tree: two units of each of CHUNK / 2 chunks fly together
         wide = -(-wide // (CHUNK // 2))
         level = left.withColumn("chunk", F.pmod(F.col("chunk"), F.lit(wide)).cast("int")).select(schema_names)
-        level = written(level.groupBy("source_nr", "chunk").applyInPandas(_flown(seed, wide == 1), schema), "flown")
+        level = tables.write(fly(level, wide == 1), "flown")
         decided, left = decided.unionByName(level.where("p = 0 or p = 1")), level.where("p > 0 and p < 1")
         if wide == 1:
             break
     drawn = decided.where("p = 1").select("unit", F.lit(1).alias("drawn"))
     out = units.join(drawn, "unit", "left").withColumn("copies", F.col("whole") + F.coalesce("drawn", F.lit(0)) + F.when(F.col("p") >= 1 - TINY, 1).otherwise(0))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies")
-
-
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings: object) -> DataFrame:
-    """The mix itself: docs with each row as often as the mix takes it. Rows alike in id, source and size are dealt their copies by rank."""
-    key = ["_storyloom_id", "_storyloom_source", "_storyloom_size"]
-    turn = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))
-    named = lambda df, size: df.withColumns(dict(zip(key, (F.col(id_col).cast("long"), F.col(source_col), size), strict=True)))
-    taken = named(mixed(docs, id_col=id_col, text_col=text_col, source_col=source_col, **settings), F.col("size"))
-    taken = taken.withColumn("_storyloom_turn", turn).select(*(F.col(k).alias(k + "_b") for k in [*key, "_storyloom_turn"]), "copies")
-    out = named(docs, ascii_words(F.col(text_col))).withColumn("_storyloom_turn", turn)
-    same = [F.col(k).eqNullSafe(F.col(k + "_b")) for k in [*key, "_storyloom_turn"]]
-    out = out.join(taken.where("copies > 0").withColumnRenamed("copies", "_storyloom_copies"), same)
-    return out.withColumn("_storyloom_copy", F.explode(F.expr("sequence(1, _storyloom_copies)"))).select(docs.columns)
+    out = tables.write(out.select(*key, "nr", "source_size", "target", "copies"), "taken")
+    tables.drop(out)
+    return out
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = 3, cycle: tuple[float, ...] = CYCLE, seed: int = 11) -> DataFrame:
+    """The mix itself: docs with each row as often as the mix takes it. Rows alike in id, source and text are dealt their copies by number."""
+    key = ["id", "source", "size", "hash"]
+    taken = _drawn(docs, most, cycle, seed, id_col, text_col, source_col).where("copies > 0")
+    taken = taken.select(*(F.col(k).alias(f"_storyloom_{k}_b") for k in [*key, "nr"]), F.col("copies").alias("_storyloom_copies"))
+    own = dict(zip(key, (F.col(id_col).cast("long"), F.col(source_col), ascii_words(F.col(text_col)), F.xxhash64(text_col)), strict=True))
+    out = docs.withColumns({f"_storyloom_{k}": c for k, c in own.items()})
+    out = out.withColumn("_storyloom_nr", F.row_number().over(Window.partitionBy(*(f"_storyloom_{k}" for k in key)).orderBy(F.lit(1))) - 1)
+    same = [F.col(f"_storyloom_{k}").eqNullSafe(F.col(f"_storyloom_{k}_b")) for k in [*key, "nr"]]
+    return out.join(taken, same).withColumn("_storyloom_copy", F.explode(F.expr("sequence(1, _storyloom_copies)"))).select(docs.columns)
