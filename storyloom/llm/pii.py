@@ -3,7 +3,7 @@
 One pattern finds candidates in a text. Each is validated (Luhn, mod 97, octets, real dates, number ranges) and becomes an
 array of small numbers, each with the count of values it may take. A keyed Feistel network permutes the array: the
 numbers of one half are shifted, modulo their counts, by a keyed SHA-256 of the other half, in turn. Marks and lengths
-stay, check digits are computed anew, so a pseudonym is valid in its format, equal values stay equal across documents,
+stay, check digits are computed anew and ranges kept, so a pseudonym is valid in its format, equal values stay equal across documents,
 and who has the key can undo it. Nothing is shuffled.
 """
 
@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.llm.common import set_aside
+
 #: Patterns of candidates, in the order in which they are tried at a place. Dates of these years only.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
@@ -26,6 +28,10 @@ PATTERNS = {
     "date": r"(?<![A-Za-z0-9./-])(?:[0-9]{4}(?<first>[-/.])[0-9]{2}\k<first>[0-9]{2}|[0-9]{2}(?<last>[-/.])[0-9]{2}\k<last>[0-9]{4})(?![A-Za-z0-9]|[./-][0-9])",
 }
 FIRST_YEAR, LAST_YEAR = 1904, 2099
+#: Country calling codes of one digit and of two; all others have three.
+CALLING_CODES = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+#: How many area, group and serial numbers of a social security number are valid (666 isn't, nor is any part of zeros).
+SSN_COUNTS, SSN_GAP = (898, 99, 9999), 666
 ROUNDS = 8
 
 
@@ -70,6 +76,27 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
+def _ssn(m: Column, tweak: Column, undo: bool) -> Column:
+    """A valid number's place among the valid ones is permuted, part by part, so that all results are valid."""
+    area, group, serial = (F.substring(m, at, n).cast("int") for at, n in ((1, 3), (5, 2), (8, 4)))
+    places = F.array(area - 1 - F.when(area > SSN_GAP, 1).otherwise(0), group - 1, serial - 1)
+
+    def shown(x: Column) -> Column:
+        place = F.element_at(x, 1) + 1
+        parts = (place + F.when(place >= SSN_GAP, 1).otherwise(0), F.element_at(x, 2) + 1, F.element_at(x, 3) + 1)
+        return F.concat_ws("-", *(F.lpad(p.cast("string"), n, "0") for p, n in zip(parts, (3, 2, 4), strict=True)))
+
+    return _bound(permuted(places, F.array(*map(F.lit, SSN_COUNTS)), tweak, undo), shown)
+
+
+def _phone(m: Column, tweak: Column, undo: bool) -> Column:
+    """The digits after the country's code are permuted, however they are parted, in the places of the old ones."""
+    digits = _digits(m)
+    code = F.when(m.startswith("+"), F.coalesce(F.nullif(F.regexp_extract(digits, f"^(?:{CALLING_CODES})", 0), F.lit("")), F.substring(digits, 1, 3))).otherwise(F.lit(""))
+    rest = F.substring(digits, F.length(code) + 1, F.length(digits))
+    return _bound(F.concat(code, _characters(rest, F.concat_ws("|", tweak, code), 26, undo)), lambda x: _spaced(m, x))
+
+
 def _luhn(digits: Column) -> Column:
     """The check digit that makes digits plus it valid."""
     values = F.transform(F.reverse(F.filter(F.split(digits, ""), lambda c: c != "")), lambda c, i: _doubled(c.cast("int"), i % 2 == 0))
@@ -132,7 +159,6 @@ def pseudonym(m: Column, key: str, undo: bool = False) -> Column:
     octets = F.transform(F.split(m, "\\."), lambda x: x.cast("int"))
     ip = F.array_join(F.transform(permuted(octets, F.array(*[F.lit(256)] * 4), tweak("ip"), undo), lambda x: x.cast("string")), ".")
     at = F.instr(m, "@")
-    country = F.when(m.startswith("+"), F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0)).otherwise(F.lit(""))
     name, host = F.substring(m, F.lit(1), at - 1), F.substring(m, at, F.length(m))
     return (
         F.when(at > 0, F.concat(_characters(name, F.concat_ws("|", tweak("email"), host), 26, undo), host))
@@ -140,20 +166,24 @@ def pseudonym(m: Column, key: str, undo: bool = False) -> Column:
         .when(is_kind("iban") & (_mod97(F.concat(bank, F.substring(plain, 1, 4))) == 1), iban)
         .when(is_kind("date"), _date(m, tweak("date"), undo))
         .when(is_kind("ip") & F.forall(octets, lambda x: x < 256), ip)
-        .when(is_kind("ssn") & ~m.rlike("^(?:000|666|9..)|-00-|-0000$"), _characters(m, tweak("ssn"), 26, undo))
+        .when(is_kind("ssn") & ~m.rlike("^(?:000|666|9..)|-00-|-0000$"), _ssn(m, tweak("ssn"), undo))
         .when(is_kind("card") & (_luhn(body) == F.substring(digits, -1, 1)), card)
-        .when(is_kind("phone") & F.length(digits).between(7, 15), F.concat(country, _characters(F.substring(m, F.length(country) + 1, F.length(m)), tweak("phone"), 26, undo)))
+        .when(is_kind("phone") & F.length(digits).between(7, 15), _phone(m, tweak("phone"), undo))
         .otherwise(m)
     )
 
 
-def pseudonymised(docs: DataFrame, key: str = "storyloom", undo: bool = False, text_col: str = "text", count_col: str = "n_replaced") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, undo: bool = False, text_col: str = "text", count_col: str = "n_replaced") -> DataFrame:
     """docs with personal data in text replaced by pseudonyms, and how many were.
 
     All else in a text stays as it is. Null and empty texts stay; candidates that fail validation stay. Equal values
-    have equal pseudonyms under one key; undo gives the texts back (a card's or account's check digits must be right).
-    Other columns pass through; rows that repeat come out alike.
+    have equal pseudonyms under one key, phones also where they are written with other marks; undo gives the texts back (a
+    card's or account's check digits must be right). Who has the key can undo it: there is none by default. Other columns
+    pass through, one named like the count as {name}_in; rows that repeat come out alike.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    docs = set_aside(docs, count_col)
     text, every = F.col(text_col), "|".join(f"(?:{p})" for p in PATTERNS.values())
     work, found = "_storyloom_new", "_storyloom_found"
     # Most texts hold neither a digit nor an @: they are not split.

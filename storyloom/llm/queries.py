@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under the key of spark.storyloom.pii.key; where none is set, under one that is made for this run and thrown away."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymised(docs)
+    return pii.pseudonymised(docs, spark.conf.get("spark.storyloom.pii.key", None) or secrets.token_hex(32))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
