@@ -307,6 +307,9 @@ def test_html(spark):
         html_extract.extract(deep)
 
 
+KEY = "of these tests"
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
@@ -314,7 +317,7 @@ def luhn(d):
 def test_pii(spark):
     texts = ["a und.34@mail7.example.com x +1 (017) 555-7713 y 97.51.17.173 z 4111 1111 1111 1111 was", "DE89 3704 0044 0532 0130 00 and 123-45-6789 on 1990-02-28 and 31.12.1999", None, "", "clean 123456, version 3.0 of 300.1.2.3 on 1990-02-30, 4111111111111112", "again und.34@mail7.example.com und.34@mail7.example.com " + "word " * 30000]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_replaced int")
-    out = pii.pseudonymised(docs)
+    out = pii.pseudonymised(docs, KEY)
     got = [r["text"] for r in out.orderBy("doc_id").collect()]
     assert got[2:5] == texts[2:5] and [r["n_replaced"] for r in out.orderBy("doc_id").collect()] == [4, 4, 0, 0, 0, 2]
     for value in ("und.34@", "555-7713", "97.51.17.173", "4111 1111", "3704 0044", "123-45-6789", "1990-02-28", "31.12.1999"):
@@ -324,8 +327,8 @@ def test_pii(spark):
     card = "".join(got[0].split(" z ")[1].split()[:4])
     iban = got[1].split(" and ")[0].replace(" ", "")
     assert luhn(card) and len(card) == 16 and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
-    assert [r["text"] for r in pii.pseudonymised(out, undo=True).orderBy("doc_id").collect()] == texts
-    assert pii.pseudonymised(docs.limit(0)).count() == 0
+    assert [r["text"] for r in pii.pseudonymised(out, KEY, undo=True).orderBy("doc_id").collect()] == texts
+    assert pii.pseudonymised(docs.limit(0), KEY).count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
 
@@ -365,9 +368,9 @@ def test_queries_and_oracles_name_each_other():
 def test_long_secrets_are_replaced(spark):
     secret = "0123456789abcdef" * 8
     docs = spark.createDataFrame([(1, f"key {secret} end"), (2, secret[:96])], "doc_id long, text string")
-    out = {r["doc_id"]: r for r in pii.pseudonymised(docs).collect()}
+    out = {r["doc_id"]: r for r in pii.pseudonymised(docs, KEY).collect()}
     assert out[1]["n_replaced"] == out[2]["n_replaced"] == 1 and secret not in out[1]["text"] and len(out[1]["text"]) == 136
-    assert {r["text"] for r in pii.pseudonymised(pii.pseudonymised(docs), undo=True).collect()} == {f"key {secret} end", secret[:96]}
+    assert {r["text"] for r in pii.pseudonymised(pii.pseudonymised(docs, KEY), KEY, undo=True).collect()} == {f"key {secret} end", secret[:96]}
 
 
 def test_unsettled_components_are_an_error(spark):
@@ -392,3 +395,155 @@ def test_hub_rows_reach_members_of_all_levels(spark):
     hubs = spark.createDataFrame([(1, "x"), (2, "y")], "lid long, mark string")
     got = near_dedup._to_members(members, hubs, members.select("lid", "level").distinct())
     assert sorted(map(tuple, got.select("lid", "id", "mark").collect())) == sorted((r["lid"], r["id"], "xy"[r["lid"] - 1]) for r in members.collect())
+
+
+def twin_permuted(values, counts, tweak):
+    """The Feistel network over numbers, in plain Python."""
+    values = list(values)
+    half = len(values) // 2
+    for i in range(pii.ROUNDS):
+        moves = [(p < half) == (i % 2 == 0) for p in range(len(values))]
+        other = ",".join(str(x) for x, m in zip(values, moves, strict=True) if not m)
+        key = hashlib.sha256("|".join((tweak, str(i), other)).encode()).hexdigest()
+        for p, m in enumerate(moves):
+            if m:
+                at = p * 4 % 60
+                values[p] = (values[p] + int(key[at : at + 4], 16)) % counts[p]
+    return values
+
+
+def twin_digits(digits, tweak):
+    return "".join(map(str, twin_permuted(map(int, digits), [10] * len(digits), tweak)))
+
+
+def twin_spaced(like, plain):
+    it = iter(plain)
+    return "".join(next(it) if c.isalnum() else c for c in like)
+
+
+def twin(kind, m):
+    """The pseudonym of a valid value of a kind, by brute force."""
+    digits, tweak = "".join(c for c in m if c.isdigit()), f"{KEY}|{kind}"
+    if kind == "ssn":
+        valid = [[a for a in range(1, 900) if a != 666], list(range(1, 100)), list(range(1, 10000))]
+        parts = [v.index(int(x)) for v, x in zip(valid, m.split("-"), strict=True)]
+        a, g, n = (v[i] for v, i in zip(valid, twin_permuted(parts, [len(v) for v in valid], tweak), strict=True))
+        return f"{a:03d}-{g:02d}-{n:04d}"
+    if kind == "card":
+        body = twin_digits(digits[:-1], tweak)
+        return twin_spaced(m, next(body + c for c in "0123456789" if luhn(body + c)))
+    if kind == "ip":
+        return ".".join(map(str, twin_permuted(map(int, m.split(".")), [256] * 4, tweak)))
+    code = {"+49": "49", "+1 ": "1", "+35": "353"}.get(m[:3], "")
+    return twin_spaced(m, code + twin_digits(digits[len(code) :], f"{tweak}|{code}"))
+
+
+def test_pii_against_a_plain_twin(spark):
+    rng = random.Random(12)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    values = [("ssn", f"{rng.choice([a for a in range(1, 900) if a != 666]):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}") for _ in range(2000)]
+    for _ in range(150):
+        card = number(15)
+        card = next(card + c for c in "0123456789" if luhn(card + c))
+        values += [("card", card), ("card", " ".join(card[i : i + 4] for i in range(0, 16, 4))), ("ip", ".".join(str(rng.randrange(256)) for _ in range(4)))]
+        n = number(9)
+        values += [("phone", f"+49 {n[:2]} {n[2:6]} {n[6:]}"), ("phone", f"+49{n}"), ("phone", f"+1 ({n[:3]}) {n[3:6]}-{number(4)}"), ("phone", f"+353 {n[:2]} {n[2:5]} {n[5:]}")]
+    docs = spark.createDataFrame([(i, f"was {v} there") for i, (_, v) in enumerate(values)], "doc_id long, text string")
+    out = pii.pseudonymised(docs, KEY)
+    got = [r["text"][4:-6] for r in out.orderBy("doc_id").collect()]
+    assert got == [twin(*v) for v in values]
+    ssns = [g for g, (k, _) in zip(got, values, strict=True) if k == "ssn"]
+    assert not [x for x in ssns if x[:3] in ("000", "666") or x[0] == "9" or x[4:6] == "00" or x[7:] == "0000"]
+    assert [r["text"][4:-6] for r in pii.pseudonymised(out, KEY, undo=True).orderBy("doc_id").collect()] == [v for _, v in values]
+    phones = [g for g, (k, v) in zip(got, values, strict=True) if k == "phone" and v.startswith("+49")]
+    assert all(a.replace(" ", "") == b for a, b in zip(phones[::2], phones[1::2], strict=True))
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonymised(docs, "")
+
+
+def test_columns_of_an_operators_names_are_kept(spark):
+    docs = spark.createDataFrame([(1, "a b", 9, 8, 7, 6, 5)], "doc_id long, text string, score int, n_lines int, n_dropped int, n_replaced int, score_in int")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    scored = quality.scored(docs, labels).first()
+    assert (scored["score_in_"], scored["score_in"]) == (9, 5) and scored["score"] != 9
+    lines = line_dedup.deduped(docs).first()
+    assert (lines["n_lines"], lines["n_lines_in"], lines["n_dropped"], lines["n_dropped_in"]) == (1, 8, 0, 7)
+    assert (lambda r: (r["n_replaced"], r["n_replaced_in"]))(pii.pseudonymised(docs, KEY).first()) == (0, 6)
+
+
+def test_whole_words_are_hashed():
+    long = "x" * 300
+    texts = ["internationalx", "internatqwertz", long + "a", long + "b", "a" * 64, "a" * 63 + "b"]
+    x, _ = quality.passages(pa.array(texts))
+    body = np.frombuffer("".join(texts).encode(), np.uint8)
+    sizes = np.array([len(t) for t in texts])
+    assert len(set(quality.word_hashes(body, np.append(0, np.cumsum(sizes))[:-1], sizes).tolist())) == 6 and x.shape == (6, quality.WIDTH)
+
+
+def test_lines_of_long_texts(spark):
+    import time
+
+    def took(n):
+        body = "\n".join(f"this is a line that three texts share {i}" for i in range(n))
+        docs = spark.createDataFrame([(i, body + f"\nown {i}") for i in range(3)], "doc_id long, text string").repartition(1)
+        began = time.perf_counter()
+        assert [r["n_dropped"] for r in line_dedup.deduped(docs, batches=1).orderBy("doc_id").collect()] == [n, n, 0]
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(40000) < 5 * took(8000) + 2
+
+
+def test_trees_take_ties(spark):
+    for x in (np.eye(2000), np.ones((3000, 4))):
+        ids = np.arange(len(x))
+        tree = ann.Tree(x)
+        q, c = tree.search(ids[:5], ids, x[:5], 20)
+        assert len(set(zip(q.tolist(), c.tolist()))) >= 100
+    rows = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(500)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.neighbours(rows).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got == {q: [i for i in range(21) if i != q][:20] for q in range(0, 500, 20)}
+
+
+def test_recall_of_the_query_on_embeddings(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    got = collections.defaultdict(set)
+    for r in queries.op3_vp_tree_neighbours(spark, sf).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(got[ids[q]] & set(ids[np.argsort(-s)[:20]].tolist())) / 20)
+    assert np.mean(hits) >= 0.9 and len(got) == len(hits)
+
+
+def test_mixing_rows_that_repeat(spark):
+    rows = [(7, "one text that all rows have", "s1")] * 900 + [(None, "another " * 3, "s2")] * 300 + [(i, "word " * (i % 9), "s2") for i in range(200)]
+    docs = table(spark, rows)
+    got = sorted(map(str, mixing.mixed(docs).collect()))
+    assert got == sorted(map(str, mixing.mixed(docs.repartition(7)).collect()))
+    numbers = mixing._numbered(docs.select("doc_id", "source").repartition(5), ["doc_id", "source"], "nr").collect()
+    by = collections.defaultdict(list)
+    for r in numbers:
+        by[r["doc_id"], r["source"]].append(r["nr"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    mix = mixing.mixed_rows(docs)
+    assert mix.columns == docs.columns and sorted(map(str, mix.collect())) == sorted(map(str, mixing.mixed_rows(docs.repartition(3)).collect()))
+
+
+def test_shared_folder_of_a_cluster_must_be_named(spark):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        common.shared_folder(Session())
