@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: White space as str.split() has it, and word characters (letters, numbers and the underscore).
@@ -22,20 +24,53 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def nfc_rows(df: DataFrame, column: str) -> DataFrame:
-    """df with a column in NFC. Only rows that hold combining marks or decomposable characters pass through Python."""
+def _class(points: Iterable[int], gap: int) -> str:
+    """A pattern's class of code points; what lies between two that are at most `gap` apart is in it, so that it stays short."""
+    ranges: list[list[int]] = []
+    for c in sorted(points):
+        if ranges and c - ranges[-1][1] <= gap:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+@lru_cache(1)
+def _odd() -> str:
+    """Pattern of the characters that can change in NFC: marks, vowel and final jamo, all whose composed form is another, and some beside them."""
+    every = (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    return _class((c for c in every if unicodedata.category(chr(c))[0] == "M" or 0x1161 <= c <= 0x11C2 or unicodedata.normalize("NFC", chr(c)) != chr(c)), 128)
+
+
+def nfc(text: Column) -> Column:
+    """A text in NFC. Python sees only texts with a character that NFC can change; of all others it is handed a null."""
 
     @F.pandas_udf("string")
     def compose(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
-    odd = F.coalesce(F.col(column).rlike(r"[\p{M}ᄀ-ᇿΩKÅ豈-﫿]"), F.lit(False))
-    return df.where(~odd).unionByName(df.where(odd).withColumn(column, compose(F.col(column))))
+    # Nothing below U+0300 can change.
+    return F.coalesce(compose(F.when(text.rlike(r"[\x{300}-\x{10FFFF}]") & text.rlike(_odd()), text)), text)
+
+
+def nfc_rows(df: DataFrame, column: str) -> DataFrame:
+    """df with a column in NFC."""
+    return df.withColumn(column, nfc(F.col(column)))
+
+
+@lru_cache(1)
+def _folds() -> tuple[str, str]:
+    """Letters whose full case folding isn't their lower case, as a pattern (some beside them in it), and what they become, as JSON."""
+    folds = {c: c.casefold() for c in map(chr, range(0x20000)) if c.lower() == c and c.casefold() != c and c != "\u00df"}
+    return _class(map(ord, folds), 8), json.dumps(folds)
 
 
 def casefold(text: Column) -> Column:
-    """Lower case with sharp s as ss: equal to full case folding on the letters of Western European languages."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case, sharp s as ss; texts with rarer letters (final sigma, ligatures) are folded letter by letter."""
+    rare, folds = _folds()
+    table = F.from_json(F.lit(folds), "map<string, string>")
+    by_letter = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return once(F.replace(F.lower(text), F.lit("\u00df"), F.lit("ss")), lambda t: F.when(t.rlike(rare), by_letter(t)).otherwise(t))
 
 
 def squeezed(text: Column) -> Column:
@@ -43,18 +78,28 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+def stripped(text: Column) -> Column:
+    """A text without white space at its ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def story_sha256(text: Column) -> Column:
-    """Hash of a story whose white space is squeezed and whose case is kept."""
-    return F.sha2(squeezed(text), 256)
+    """Hash of a story in NFC whose white space is squeezed and whose case is kept."""
+    return F.sha2(squeezed(nfc(text)), 256)
 
 
 def prefix_key(text: Column, chars: int = PREFIX_CHARS) -> Column:
-    """The first characters of the folded and squeezed text."""
-    return F.substring(squeezed(casefold(text)), 1, chars)
+    """The first characters of the text in NFC, folded and squeezed."""
+    return F.substring(squeezed(casefold(nfc(text))), 1, chars)
 
 
 def words(text: Column) -> Column:
-    """Folded words."""
+    """Folded words of a text in NFC."""
+    return composed_words(nfc(text))
+
+
+def composed_words(text: Column) -> Column:
+    """Folded words of a text that is in NFC."""
     return F.regexp_extract_all(casefold(text), F.lit(f"({WORD})"))
 
 
@@ -82,7 +127,7 @@ def shingles(word_array: Column, n: int = SHINGLE_WORDS) -> Column:
 
 def sentences(text: Column, least: int = MIN_SENTENCE_WORDS) -> Column:
     """Sentences of `least` words or more, each as its folded words joined by spaces; repeats stay."""
-    parts = F.transform(F.split(text, r"[.!?\n]+"), words)
+    parts = F.transform(F.split(nfc(text), r"[.!?\n]+"), composed_words)
     return F.transform(F.filter(parts, lambda w: F.size(w) >= least), lambda w: F.array_join(w, " "))
 
 
@@ -140,3 +185,13 @@ def derived_seed(tag: str, seed: int, namespace: str = "storyloom") -> Column:
     """A seed from 0 to 2^63 - 2 for a named stream."""
     head = F.substring(F.sha2(F.lit(f"{namespace}:{tag}:{seed}"), 256), 1, 16)
     return (F.conv(head, 16, 10).cast("decimal(20,0)") % F.lit(9223372036854775807).cast("decimal(20,0)")).cast("long")
+
+
+def ranked(df: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+    """df with the rank from 0 in each group by a hexadecimal hash: counts of its prefixes, then ranks below each prefix."""
+    rows = df.withColumn("_head", F.substring(order, 1, 3))
+    heads = rows.groupBy(*by, "_head").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy(*by, "_head").orderBy(order)) - 1
+    out = rows.withColumn("_within", within).join(heads.withColumn("_before", before).drop("_n"), [*by, "_head"])
+    return out.withColumn(name, F.col("_before") + F.col("_within")).drop("_head", "_within", "_before")

@@ -6,6 +6,10 @@ of the data can hide a row from them.
 
 from __future__ import annotations
 
+from pathlib import PurePosixPath
+from posixpath import normpath
+from urllib.parse import urlsplit
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,10 +73,10 @@ def manifest_violations(manifest: DataFrame) -> DataFrame:
 def leaf_hits(leaves: DataFrame, manifest: DataFrame) -> DataFrame:
     """String leaves (entity, location, value) that equal an exam prompt hash or else hold an exam story.
 
-    A leaf that equals a prompt hash isn't looked up as a story as well. A story hash that two entries share has the phase of
-    the last.
+    A leaf that equals a prompt hash isn't looked up as a story as well. A story hash or a prompt hash that two entries share
+    is that of the larger id.
     """
-    prompts = manifest.select(F.col("prompt_hash").alias("value"), F.lit("prompt_hash").alias("reason"), F.col("story_id").cast("string").alias("story_id")).dropDuplicates(["value"])
+    prompts = manifest.groupBy(F.col("prompt_hash").alias("value")).agg(F.lit("prompt_hash").alias("reason"), F.max("story_id").cast("string").alias("story_id"))
     stories = manifest.groupBy(F.lower("story_sha256").alias("sha")).agg(F.max("story_id").cast("string").alias("by_story"))
     out = leaves.join(prompts, "value", "left").withColumn("sha", T.story_sha256(F.col("value"))).join(stories, "sha", "left")
     out = out.withColumn("reason", F.coalesce("reason", F.when(F.col("by_story").isNotNull(), "story_sha256")))
@@ -131,3 +135,98 @@ def tree_digest(hashes: DataFrame) -> DataFrame:
     """One hash of all (path, sha256), in the order of the paths."""
     rows = F.array_sort(F.collect_list(F.struct("path", "sha256")))
     return hashes.agg(F.sha2(F.array_join(F.transform(rows, lambda r: F.concat(r["path"], F.lit("\0"), r["sha256"], F.lit("\n"))), ""), 256).alias("digest"), F.count("*").alias("n_files"))
+
+
+def disjoint(one: str, other: str) -> None:
+    """Refuses folders that are the same, or of which one holds the other."""
+    a, b = (PurePosixPath(normpath(urlsplit(x).path or "/")) for x in (one, other))
+    if a == b or a in b.parents or b in a.parents:
+        raise ContractViolation(f"folders overlap: {one} and {other}")
+
+
+def file_hits(files: DataFrame, listed: DataFrame) -> DataFrame:
+    """(path, exam_path) of files that are byte for byte an exam file. files: (path, sha256); listed: (path_relative_to_exam_dir, sha256, at), of equal files the first counts."""
+    exam = listed.groupBy(F.lower("sha256").alias("sha256")).agg(F.min_by("path_relative_to_exam_dir", "at").alias("exam_path"))
+    return files.select("path", F.lower("sha256").alias("sha256")).join(exam, "sha256").select("path", "exam_path")
+
+
+def text_hits(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(path, line, location, reason, story_id) of what texts of files share with an exam.
+
+    A file is looked at whole, as one story; a .json file as a document, string by string; and every line that isn't blank, as JSON
+    where it parses, else as a text. A line of a .jsonl file that doesn't parse is itself a hit. line 0 is the whole
+    file. A string of a .json file of one line is so found twice, as document and as line.
+    """
+    found = lambda rows: leaf_hits(rows, manifest)
+    kind = F.lower(F.regexp_extract("path", r"\.(jsonl?|txt)$", 1))
+    whole = found(files.select(F.col("path").alias("entity"), F.lit("whole").alias("location"), F.col("text").alias("value"))).where("reason = 'story_sha256'").withColumn("line", F.lit(0))
+    documents = found(json_leaves(files.where(kind == "json").select("path", "text"), "path", "text")).withColumn("line", F.lit(0))
+    lines = files.select("path", kind.alias("kind"), F.posexplode(T.loader_lines(F.col("text"))).alias("n", "raw")).withColumn("value", T.stripped(F.col("raw"))).where("value <> ''")
+    lines = lines.select("kind", F.concat_ws(":", "path", (F.col("n") + 1).cast("string")).alias("entity"), "value").withColumn("json", F.try_parse_json("value"))
+    plain = lines.where("json is null").select("kind", "entity", F.lit("text").alias("location"), "value")
+    leaves = json_leaves(lines.where("json is not null").select("entity", "value"), "entity", "value").unionByName(plain.drop("kind"))
+    broken = plain.where("kind = 'jsonl'").select("entity", "location", F.lit("unparsable").alias("reason"), F.lit(None).cast("string").alias("story_id"))
+    by_line = found(leaves).unionByName(broken)
+    by_line = by_line.select(F.regexp_extract("entity", r"^(.*):(\d+)$", 1).alias("entity"), F.regexp_extract("entity", r"^(.*):(\d+)$", 2).cast("int").alias("line"), "location", "reason", "story_id")
+    out = whole.unionByName(documents).select("entity", "line", "location", "reason", "story_id").unionByName(by_line)
+    return out.withColumnRenamed("entity", "path")
+
+
+def model_violations(lines: DataFrame, exam_model: str, examples: int = 3) -> DataFrame:
+    """(rule, detail) of story lines (place, model): none at all, without a model, of several models, of another than the exam's; the first that fails.
+
+    detail: models with their number of lines, and up to three places of each, in order.
+    """
+    rows = lines.select("place", F.coalesce(F.when(F.trim("model") != "", F.col("model")), F.lit("<missing>")).alias("model"))
+    sums = rows.groupBy("model").agg(F.count("*").alias("n"))
+    first = rows.withColumn("nr", F.row_number().over(Window.partitionBy("model").orderBy("place"))).where(F.col("nr") <= examples)
+    first = first.groupBy("model").agg(F.array_join(F.array_sort(F.collect_list("place")), " ").alias("places"))
+    each = F.struct("model", F.concat(F.col("model"), F.lit(" "), F.col("n").cast("string"), F.lit(": "), F.col("places")).alias("shown"))
+    models = sums.join(first, "model").agg(F.array_sort(F.collect_list(each)).alias("all"))  # as many as there are models
+    names, shown = F.transform("all", lambda x: x["model"]), F.array_join(F.transform("all", lambda x: x["shown"]), "; ")
+    rule = F.when(F.size("all") == 0, "no story lines").when(F.array_contains(names, "<missing>"), "no model").when(F.size("all") > 1, "several models").when(F.get(names, F.lit(0)) != exam_model, "exam_model")
+    return models.select(rule.alias("rule"), shown.alias("detail")).where("rule is not null")
+
+
+def manifest_refusals(manifests: DataFrame, entity: str = "path") -> DataFrame:
+    """(entity, rule) of manifests as texts (entity, text): the first rule that refuses each one."""
+    v = F.try_parse_json("text")
+    kind = lambda p: F.schema_of_variant(F.try_variant_get("v", p, "variant"))
+    blank = lambda p: ~F.coalesce((kind(p) == "STRING") & (F.trim(F.try_variant_get("v", p, "string")) != ""), F.lit(False))
+    entries = lambda p: F.coalesce(F.try_variant_get("v", p, "array<variant>"), F.array().cast("array<variant>"))
+    text = lambda e, p: F.when(F.schema_of_variant(F.try_variant_get(e, p, "variant")) == "STRING", F.try_variant_get(e, p, "string"))
+    files, stories = entries("$.files"), entries("$.stories")
+    lacks = lambda e: F.exists(F.array(*[F.try_variant_get(e, f"$.{f}", "variant").isNull() for f in ("story_id", "prompt_hash", "story_sha256", "phase")]), lambda x: x)
+    is_object = lambda e: F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False))
+    rules = [
+        ("unreadable", F.col("v").isNull()),
+        ("no object", ~is_object(F.col("v"))),
+        ("no files", F.size(files) == 0),
+        ("file hash", F.exists(files, lambda e: ~is_object(e) | (F.coalesce(text(e, "$.sha256"), F.lit("")) == ""))),
+        ("experiment_id", blank("$.experiment_id")),
+        ("generator_model", blank("$.generator_model")),
+        ("no stories", F.size(stories) == 0),
+        ("story is no object", F.exists(stories, lambda e: ~is_object(e))),
+        ("story fields", F.exists(stories, lacks)),
+        ("story_sha256", F.exists(stories, lambda e: ~F.coalesce(F.lower(text(e, "$.story_sha256")).rlike("^[0-9a-f]{64}$"), F.lit(False)))),
+        ("prompt_hash", F.exists(stories, lambda e: F.coalesce(text(e, "$.prompt_hash"), F.lit("")) == "")),
+        ("story phase", F.exists(stories, lambda e: F.schema_of_variant(F.try_variant_get(e, "$.phase", "variant")) != "BIGINT")),
+    ]
+    first = F.coalesce(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules])
+    return manifests.select(F.col(entity).cast("string").alias("entity"), v.alias("v")).select("entity", first.alias("rule")).where("rule is not null")
+
+
+def notebook_problems(notebooks: DataFrame) -> DataFrame:
+    """(path, cell, problem) of code cells of notebooks (path, text) with outputs or an execution count."""
+    cells = F.from_json("text", "cells array<struct<cell_type: string, outputs: array<string>, execution_count: int>>")
+    rows = notebooks.select("path", F.posexplode(cells["cells"]).alias("cell", "c")).where("c.cell_type = 'code'")
+    found = F.array(F.when(F.size("c.outputs") > 0, F.lit("outputs")), F.when(F.col("c.execution_count").isNotNull(), F.lit("execution_count")))
+    return rows.select("path", "cell", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("problem"))
+
+
+def bundle_problems(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """(path, problem) of a bundle's files (path, sha256) against what is expected of them: unsafe paths, missing and changed files."""
+    unsafe = F.col("path").startswith("/") | F.array_contains(F.split("path", "/"), "..")
+    rows = expected.select("path", F.lower("sha256").alias("due")).join(files.select("path", F.lower("sha256").alias("sha256")), "path", "left")
+    problem = F.when(unsafe, "unsafe path").when(F.col("sha256").isNull(), "missing").when(F.col("sha256") != F.col("due"), "changed")
+    return rows.select("path", problem.alias("problem")).where("problem is not null")

@@ -65,6 +65,29 @@ def peak_lost(matrix: DataFrame) -> DataFrame:
     return rows.where("peak > 0").select("run", "exam", "j", (F.col("forgetting") / F.col("peak")).alias("lost"))
 
 
+def mean_matrix(matrix: DataFrame, by: list[str]) -> DataFrame:
+    """(by, exam, i, j, mean): cell by cell over runs; a cell that is NaN in one run is NaN in the mean."""
+    return matrix.where("i >= 0").groupBy(*by, "exam", "i", "j").agg(F.avg("value").alias("mean"))
+
+
+def forgetting_curve(matrix: DataFrame, by: list[str]) -> DataFrame:
+    """(by, exam, i, mean, sd, n): the first phase's value after each phase; one run has no spread."""
+    sd = F.coalesce(F.when(F.count("value") > 1, F.stddev_samp("value")), F.lit(0.0))
+    return matrix.where("i >= 0 and j = 0").groupBy(*by, "exam", "i").agg(F.avg("value").alias("mean"), sd.alias("sd"), F.count("value").alias("n"))
+
+
+def dense(matrix: DataFrame, phases: int = 7) -> DataFrame:
+    """The whole grid of cells of each run and exam, untrained row included, null where there is no score."""
+    side = F.explode(F.sequence(F.lit(-1), F.lit(phases - 1)))
+    grid = matrix.select("run", "exam").distinct().withColumn("i", side).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(phases - 1))))
+    return grid.join(matrix, ["run", "exam", "i", "j"], "left")
+
+
+def shape_violations(matrix: DataFrame, phases: int = 7) -> DataFrame:
+    """(run, exam, i, n): rows of scores that don't have one number for each phase."""
+    return matrix.groupBy("run", "exam", "i").agg(F.countDistinct("j").alias("n"), F.count("j").alias("c"), F.min("j").alias("low"), F.max("j").alias("high")).where(f"n <> {phases} or c <> n or low < 0 or high >= {phases}").select("run", "exam", "i", "n")
+
+
 def seed_aggregate(rows: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """Mean, sample standard deviation (0 for one seed) and seeds of a value."""
     sd = F.coalesce(F.when(F.count(value) > 1, F.stddev_samp(value)), F.lit(0.0))

@@ -6,6 +6,9 @@ at the borders of the sequences they fall into.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +39,11 @@ def byte_hex(text: Column) -> Column:
     return F.concat(F.hex(F.encode(F.replace(F.coalesce(text, F.lit("")), F.lit("\0"), F.lit("")), "UTF-8")), F.lit("00"))
 
 
-def byte_tokens(text: Column) -> Column:
-    """The tokens of a story as array<int>, without its end."""
+def byte_tokens(text: Column, keep_nul: bool = False) -> Column:
+    """The tokens of a story as array<int>, without its end; the evaluator's tokens keep NUL."""
     hexes = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"))
-    return F.filter(F.transform(hexes, lambda h: F.conv(h, 16, 10).cast("int")), lambda x: x != 0)
+    every = F.transform(hexes, lambda h: F.conv(h, 16, 10).cast("int"))
+    return every if keep_nul else F.filter(every, lambda x: x != 0)
 
 
 def byte_text(tokens: Column) -> Column:
@@ -140,9 +144,9 @@ def pool_sizes(sequences: DataFrame) -> DataFrame:
 def epoch_batches(sequences: DataFrame, epochs: int, batch: int, seed: int) -> DataFrame:
     """(phase, step, slot, epoch, seq_id): each epoch in its own seeded order, epochs joined; a batch may straddle two."""
     rows = sequences.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    order = Window.partitionBy("phase", "epoch").orderBy(T.draw(seed, "epoch", F.col("phase"), F.col("epoch"), F.col("seq_id")))
     size = rows.where("epoch = 0").groupBy("phase").agg(F.count("*").alias("n"))
-    rows = rows.withColumn("rank", F.row_number().over(order) - 1).join(size, "phase")
+    rows = rows.withColumn("_order", T.draw(seed, "epoch", F.col("phase"), F.col("epoch"), F.col("seq_id")))
+    rows = T.ranked(rows, ["phase", "epoch"], "_order", "rank").join(F.broadcast(size), "phase")  # a row for each phase
     at = F.col("epoch") * F.col("n") + F.col("rank")
     return rows.select("phase", F.floor(at / batch).alias("step"), (at % batch).alias("slot"), "epoch", "seq_id")
 
@@ -151,3 +155,60 @@ def replay_draws(pools: DataFrame, slots: int, steps_: int, seed: int) -> DataFr
     """(phase, step, slot, index): draws with replacement from each phase's pool; phases without a pool have none."""
     grid = pools.where("pool > 0").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps_ - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     return grid.select("phase", "step", "slot", T.draw_index(F.col("pool"), seed, "replay-draw", F.col("phase"), F.col("step"), F.col("slot")).alias("index"))
+
+
+def replay_pool(sequences: DataFrame, phases: list[int] | None = None) -> DataFrame:
+    """(phase, src_phase, seq_id): what each phase's replay is drawn from: sequences of all declared phases before it.
+
+    sequences: (phase, seq_id). A declared phase without a sequence is refused where the pool is made, by empty_phases().
+    """
+    rows = sequences if phases is None else sequences.where(F.col("phase").isin(phases))
+    later = rows.select("phase").distinct()  # as many as there are phases
+    return rows.select(F.col("phase").alias("src_phase"), "seq_id").join(F.broadcast(later), F.col("src_phase") < F.col("phase")).select("phase", "src_phase", "seq_id")
+
+
+def empty_phases(sequences: DataFrame, phases: list[int]) -> DataFrame:
+    """(phase) of declared phases without a sequence."""
+    declared = sequences.sparkSession.createDataFrame([(k,) for k in phases], "phase int")
+    return declared.join(sequences.select("phase").distinct(), "phase", "left_anti")
+
+
+def joint_batches(sequences: DataFrame, epochs: int, batch: int, seed: int) -> DataFrame:
+    """(step, slot, epoch, phase, seq_id): batches over the sequences of all phases as one."""
+    rows = sequences.select(F.lit(-1).alias("phase"), F.struct("phase", "seq_id").alias("seq_id"))
+    named = rows.withColumn("key", F.concat_ws(":", F.col("seq_id.phase").cast("string"), F.col("seq_id.seq_id").cast("string")))
+    out = epoch_batches(named.select("phase", F.col("key").alias("seq_id")), epochs, batch, seed)
+    return out.select("step", "slot", "epoch", F.substring_index("seq_id", ":", 1).cast("int").alias("phase"), F.substring_index("seq_id", ":", -1).cast("long").alias("seq_id"))
+
+
+def zipped(new: DataFrame, replay: DataFrame, batch: int) -> DataFrame:
+    """(phase, step, slot, is_replay, item): new rows first, then the replay's of the same step; steps without new rows have none.
+
+    new: (phase, step, slot, item); replay the same. Slots of the replay go on after the batch's.
+    """
+    steps_ = new.select("phase", "step").distinct()
+    drawn = replay.join(steps_, ["phase", "step"], "left_semi")
+    rows = new.select("phase", "step", "slot", F.lit(False).alias("is_replay"), "item")
+    return rows.unionByName(drawn.select("phase", "step", (F.col("slot") + batch).alias("slot"), F.lit(True).alias("is_replay"), "item"))
+
+
+def batch_violations(batches: DataFrame, rows: int) -> DataFrame:
+    """(phase, step, n) of batches that don't hold exactly `rows` rows, or hold a slot twice."""
+    out = batches.groupBy("phase", "step").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"))
+    return out.where((F.col("n") != rows) | (F.col("slots") != rows)).select("phase", "step", "n")
+
+
+def parameters(layers: Column, width: Column, vocabulary: Column, block: Column) -> tuple[Column, Column]:
+    """Parameters of a decoder without biases beside the embeddings, and those of the embeddings."""
+    return layers * 12 * width * width + (2 * layers + 1) * 2 * width, (vocabulary + block) * width
+
+
+def oversized_vocabularies(tokenizers: DataFrame, models: DataFrame) -> DataFrame:
+    """(name, vocabulary, model_vocabulary) of tokenizers with more tokens than their model knows. Both: (name, vocabulary)."""
+    known = models.select("name", F.col("vocabulary").alias("model_vocabulary"))
+    return tokenizers.join(known, "name").where("vocabulary > model_vocabulary").select("name", "vocabulary", "model_vocabulary")
+
+
+def tokenizer_fingerprint(vocabulary: int, end: int, probe: list[int]) -> str:
+    """SHA-256 of a tokenizer's size, its end token and its tokens of a probe text, as canonical JSON."""
+    return hashlib.sha256(json.dumps({"eot": end, "probe": probe, "vocab_size": vocabulary}, sort_keys=True).encode()).hexdigest()

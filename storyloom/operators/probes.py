@@ -35,8 +35,14 @@ def share_lexicon(stories: DataFrame, low: int, percent: int, letters: int = 5)
     return df.join(n, "phase").where((F.col("c") >= low) & (F.col("c") * 100 <= F.col("n") * percent)).select("phase", "word")
 
 
+def item_id(kind: str, number: Column) -> Column:
+    """kind-p{phase}-{four digits or more}."""
+    digits = number.cast("string")
+    return F.concat(F.lit(f"{kind}-p"), F.col("phase").cast("string"), F.lit("-"), F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0")))
+
+
 def cloze_items(stories: DataFrame, lexicon: DataFrame, seed: int, per_phase: int | None = None) -> DataFrame:
-    """(phase, item, story_id, answer, text_with_mask, candidates) of stories that hold a lexicon word exactly once.
+    """(phase, item, id, story_id, story_sha256, answer, text_with_mask, candidates) of stories that hold a lexicon word exactly once.
 
     An answer occurs once whatever its case, as written in the lexicon, and has enough unrelated words beside it. The theta
     join of stories and words is an equi join on lower-case words here. All choices are seeded hash ranks.
@@ -45,13 +51,15 @@ def cloze_items(stories: DataFrame, lexicon: DataFrame, seed: int, per_phase: in
     size = words.groupBy("phase").agg(F.count("*").alias("n"))
     kin = words.alias("a").join(words.alias("b"), (F.col("a.phase") == F.col("b.phase")) & (F.col("a.stem") == F.col("b.stem"))).groupBy(F.col("a.phase").alias("phase"), F.col("a.word").alias("word")).agg(F.count("*").alias("kin"))
     able = words.join(kin, ["phase", "word"]).join(size, "phase").where(F.col("n") - F.col("kin") >= N_CANDIDATES - 1).select("phase", "word", F.lower("word").alias("low"), "stem")
-    seen = stories.select("phase", F.col("id").alias("story_id"), F.explode(F.regexp_extract_all("story", F.lit(f"({T.WORD})"))).alias("seen"))
-    once = seen.groupBy("phase", "story_id", F.lower("seen").alias("low")).agg(F.count("*").alias("c"), F.min("seen").alias("seen")).where("c = 1")
-    hits = once.join(able, ["phase", "low"]).where("seen = word")
+    # A text's words are sorted by their lower case; those that stand alone among them occur once. No word of another kind leaves the text.
+    pairs = F.array_sort(F.transform(F.regexp_extract_all("story", F.lit(f"({T.WORD})")), lambda w: F.struct(F.lower(w).alias("low"), w.alias("seen"))))
+    alone = lambda x, i: ((i == 0) | (F.get("p", i - 1)["low"] != x["low"])) & F.coalesce(F.get("p", i + 1)["low"] != x["low"], F.lit(True))
+    seen = stories.select("phase", F.col("id").alias("story_id"), pairs.alias("p")).select("phase", "story_id", F.inline(F.filter("p", alone)))
+    hits = seen.join(able, ["phase", "low"]).where("seen = word")
     pick = F.row_number().over(Window.partitionBy("phase", "story_id").orderBy(T.draw(seed, "cloze-answer", F.col("phase"), F.col("story_id"), F.col("word"))))
     chosen = hits.withColumn("nr", pick).where("nr = 1").select("phase", "story_id", F.col("word").alias("answer"), F.col("stem").alias("answer_stem"))
-    turn = F.row_number().over(Window.partitionBy("phase").orderBy(T.draw(seed, "cloze-order", F.col("phase"), F.col("story_id"))))
-    chosen = chosen.withColumn("item", turn)
+    chosen = T.ranked(chosen.withColumn("_order", T.draw(seed, "cloze-order", F.col("phase"), F.col("story_id"))), ["phase"], "_order", "item")
+    chosen = chosen.withColumn("item", (F.col("item") + 1).cast("int")).drop("_order")
     if per_phase is not None:
         chosen = chosen.where(F.col("item") <= per_phase)
     others = chosen.join(words.select("phase", "word", "stem"), "phase").where("stem <> answer_stem")
@@ -61,47 +69,11 @@ def cloze_items(stories: DataFrame, lexicon: DataFrame, seed: int, per_phase: in
     out = chosen.join(others, ["phase", "story_id"]).join(stories.select("phase", F.col("id").alias("story_id"), "story"), ["phase", "story_id"])
     quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.col("answer"), F.lit(r"\E(?![\p{L}\p{N}_])"))
     masked = F.regexp_replace(F.col("story"), quoted, F.lit("[MASK]"))
-    return out.select("phase", "item", "story_id", "answer", masked.alias("text_with_mask"), shuffled.alias("candidates"))
-
-
-def continuation_items(stories: DataFrame, seed: int) -> DataFrame:
-    """(phase, story_id, prefix, answer, options, answer_index): the last paragraph against the last ones of three other stories.
-
-    Only the next 12 stories in the seeded order are looked at, in the band of lengths first, then by seeded hash; a story for
-    which fewer than three of them differ is left out. drawn_items() does the whole job.
-    """
-    parts = stories.select("phase", F.col("id").alias("story_id"), T.paragraphs(F.col("story")).alias("p")).where(F.size("p") >= 2)
-    items = parts.select("phase", "story_id", F.array_join(F.slice("p", F.lit(1), F.size("p") - 1), "\n").alias("prefix"), F.element_at("p", -1).alias("answer"))
-    turn = F.row_number().over(Window.partitionBy("phase").orderBy(T.draw(seed, "continuation", F.col("phase"), F.col("story_id"))))
-    items = items.withColumn("turn", turn)
-    n = items.groupBy("phase").agg(F.count("*").alias("n"))
-    # In the seeded order each story looks at its next 12 neighbours, round the circle.
-    seek = items.join(n, "phase").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(12)))).where("step < n")
-    seek = seek.withColumn("other_turn", (F.col("turn") - 1 + F.col("step")) % F.col("n") + 1)
-    other = items.select("phase", F.col("turn").alias("other_turn"), F.col("story_id").alias("other_id"), F.col("answer").alias("option"))
-    both = seek.join(other, ["phase", "other_turn"]).where("option <> answer")
-    ratio = F.length("option") / F.length("answer")
-    both = both.withColumn("outside", F.when(ratio.between(LENGTH_LOW, LENGTH_HIGH), 0).otherwise(1))
-    rank = F.row_number().over(Window.partitionBy("phase", "story_id").orderBy("outside", T.draw(seed, "distractor", F.col("story_id"), F.col("other_id"))))
-    three = both.withColumn("nr", rank).where(F.col("nr") < N_OPTIONS).groupBy("phase", "story_id").agg(F.array_sort(F.collect_list(F.struct("nr", "option"))).alias("d"), F.count("*").alias("c")).where(F.col("c") == N_OPTIONS - 1)
-    slot = ((F.col("turn") - 1) % N_OPTIONS).cast("int")
-    d = F.transform("d", lambda x: x["option"])
-    options = F.concat(F.slice(d, F.lit(1), slot), F.array("answer"), F.slice(d, slot + 1, F.lit(N_OPTIONS)))
-    return items.join(three, ["phase", "story_id"]).select("phase", "story_id", "prefix", "answer", options.alias("options"), slot.alias("answer_index"))
-
-
-def ranked(df: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
-    """df with the rank from 0 in each group by a hexadecimal hash: counts of its prefixes, then ranks below each prefix."""
-    rows = df.withColumn("_head", F.substring(order, 1, 3))
-    heads = rows.groupBy(*by, "_head").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy(*by, "_head").orderBy(order)) - 1
-    out = rows.withColumn("_within", within).join(heads.withColumn("_before", before).drop("_n"), [*by, "_head"])
-    return out.withColumn(name, F.col("_before") + F.col("_within")).drop("_head", "_within", "_before")
+    return out.select("phase", "item", item_id("cloze", F.col("item")).alias("id"), "story_id", T.story_sha256(F.col("story")).alias("story_sha256"), "answer", masked.alias("text_with_mask"), shuffled.alias("candidates"))
 
 
 def drawn_items(stories: DataFrame, seed: int) -> DataFrame:
-    """(phase, story_id, prefix, answer, answer_index, options, option_sources, distractor_phases) of each story of two paragraphs or more.
+    """(phase, id, story_id, prefix, answer, answer_index, options, option_sources, distractor_phases) of each story of two paragraphs or more.
 
     The split point is drawn. Distractors are non-opening paragraphs of three other stories of the phase, in the band of lengths
     while there are any, of different texts; options are null for a story whose phase holds no such three. Paragraphs have places
@@ -112,7 +84,7 @@ def drawn_items(stories: DataFrame, seed: int) -> DataFrame:
     cut = parts.withColumn("cut", T.draw_index(F.greatest(F.size("p") - 1, F.lit(1)), seed, "continuation-cut", F.col("phase"), F.col("story_id")).cast("int") + 1)
     items = cut.select("phase", "story_id", "sha", F.concat(F.array_join(F.slice("p", F.lit(1), F.col("cut")), "\x00"), F.lit("\x00")).alias("prefix"), "sep", F.get("p", F.col("cut")).alias("answer"), T.draw(seed, "continuation-order", F.col("phase"), F.col("story_id")).alias("_order"))
     items = items.withColumn("prefix", F.replace("prefix", F.lit("\x00"), F.col("sep"))).drop("sep")
-    items = ranked(items, ["phase"], "_order", "_turn").withColumn("answer_index", (F.col("_turn") % N_OPTIONS).cast("int")).drop("_turn", "_order").persist()
+    items = T.ranked(items, ["phase"], "_order", "_turn").withColumn("answer_index", (F.col("_turn") % N_OPTIONS).cast("int")).withColumn("item_id", item_id("continuation", F.col("_turn") + 1)).drop("_turn", "_order").persist()
     pool = parts.select("phase", F.col("story_id").alias("other"), F.col("sha").alias("other_sha"), F.posexplode("p").alias("at", "option")).where("at > 0")
     pool = pool.withColumn("len", F.length("option")).withColumn("_order", T.draw(seed, "continuation-pool", F.col("phase"), F.col("other"), F.col("at")))
     slim = pool.select("phase", "other", "at", "len", F.sha2("option", 256).alias("text"), "_order").persist()
@@ -123,7 +95,7 @@ def drawn_items(stories: DataFrame, seed: int) -> DataFrame:
     lengths = slim.groupBy("phase", "len").agg(F.count("*").alias("c"))
     ends = goal.select("phase", F.explode(F.array("below", "top")).alias("len"), F.lit(0).cast("long").alias("c")).distinct()
     upto = lengths.unionByName(ends).groupBy("phase", "len").agg(F.sum("c").alias("c")).withColumn("upto", F.sum("c").over(Window.partitionBy("phase").orderBy("len")))
-    placed = ranked(slim, ["phase", "len"], "_order", "_in").join(upto, ["phase", "len"]).withColumn("place", F.col("upto") - F.col("c") + F.col("_in"))
+    placed = T.ranked(slim, ["phase", "len"], "_order", "_in").join(upto, ["phase", "len"]).withColumn("place", F.col("upto") - F.col("c") + F.col("_in"))
     goal = goal.join(upto.select("phase", F.col("len").alias("below"), F.col("upto").alias("low")), ["phase", "below"]).join(upto.select("phase", F.col("len").alias("top"), F.col("upto").alias("high")), ["phase", "top"]).persist()
 
     tries = goal.withColumn("nr", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
@@ -155,7 +127,7 @@ def drawn_items(stories: DataFrame, seed: int) -> DataFrame:
     around = lambda x, mine: F.concat(F.slice(x, F.lit(1), F.col("answer_index")), F.array(mine), F.slice(x, F.col("answer_index") + 1, F.lit(N_OPTIONS)))
     own = F.struct("story_id", F.col("sha").alias("story_sha256"), "phase")
     return out.select(
-        *key, "prefix", "answer", "answer_index",
+        *key, F.col("item_id").alias("id"), "prefix", "answer", "answer_index",
         around(F.transform("d", lambda x: x["option"]), F.col("answer")).alias("options"),
         around(F.transform("d", lambda x: x["source"]), own).alias("option_sources"),
         F.transform("d", lambda x: x["source"]["phase"]).alias("distractor_phases"),
@@ -180,6 +152,104 @@ def cloze_violations(items: DataFrame) -> DataFrame:
     return items.select("phase", "story_id", F.explode(listed).alias("rule"))
 
 
+def _listed(items: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(phase, id, rule) of all rules that an item breaks."""
+    listed = F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules.items()]), lambda x: x.isNotNull())
+    return items.select("phase", "id", F.explode(listed).alias("rule"))
+
+
+def _sourced(items: DataFrame, column: str, manifest: DataFrame, training: DataFrame) -> DataFrame:
+    """(column, recorded, trained) for each distinct source hash of items: its phase in the manifest, and whether it is a training story."""
+    known = manifest.groupBy(F.lower("story_sha256").alias(column)).agg(F.max_by("phase", "story_id").alias("recorded"))
+    seen = training.select(F.lower("story_sha256").alias(column)).distinct().withColumn("trained", F.lit(True))
+    out = items.select(F.lower(column).alias(column)).distinct().join(known, column, "left").join(seen, column, "left")
+    return out.withColumn("trained", F.coalesce("trained", F.lit(False)))
+
+
+def _twice(items: DataFrame) -> DataFrame:
+    return items.groupBy("id").agg(F.min("phase").alias("phase"), F.count("*").alias("c")).where("c > 1").select("phase", "id", F.lit("duplicate id").alias("rule"))
+
+
+def cloze_contract(items: DataFrame, manifest: DataFrame, training: DataFrame, filed: str = "phase") -> DataFrame:
+    """(phase, id, rule) of cloze items against all their rules; filed: the column with the phase of the file an item is in.
+
+    A null in a field that a rule reads breaks it. manifest: (story_sha256, phase, story_id); training: (story_sha256).
+    """
+    sources = _sourced(items, "story_sha256", manifest, training).withColumnRenamed("story_sha256", "_sha")
+    rows = items.join(sources, F.lower("story_sha256") == F.col("_sha"), "left")
+    masks = (F.length("text_with_mask") - F.length(F.replace("text_with_mask", F.lit(T.MASK), F.lit("")))) / len(T.MASK)
+    low = F.transform(F.regexp_extract_all(F.replace("text_with_mask", F.lit(T.MASK), F.lit(" ")), F.lit(f"({T.WORD})")), F.lower)
+    answer, has = F.col("answer"), F.col("story_sha256").isNotNull()
+    rules = {
+        "phase": F.col("phase") != F.col(filed),
+        "one mask": masks != 1,
+        "candidate count": F.size("candidates") != N_CANDIDATES,
+        "answer missing": ~F.array_contains("candidates", answer),
+        "same word twice": F.size(F.array_distinct(F.transform("candidates", T.casefold))) != F.size("candidates"),
+        "inflection": F.exists("candidates", lambda w: (w != answer) & T.related(w, answer)),
+        "answer visible": F.array_contains(low, F.lower(answer)),
+        "source of another phase": has & ~F.col("recorded").eqNullSafe(F.col("phase")),
+        "source in training": has & F.col("trained"),
+    }
+    return _listed(rows, rules).unionByName(_twice(items))
+
+
+def continuation_contract(items: DataFrame, manifest: DataFrame, training: DataFrame, filed: str = "phase", n_options: int | None = N_OPTIONS) -> DataFrame:
+    """(phase, id, rule) of continuation items against all their rules.
+
+    n_options None: the check at loading, which takes any count from two on, alike in a phase, and does not ask for
+    distractor_phases nor for training stories.
+    """
+    spread = items.select("id", F.posexplode("option_sources").alias("at", "source"))
+    spread = spread.select("id", "at", "source.story_id", "source.story_sha256", F.col("source.phase").alias("phase_claimed"))
+    known = spread.join(_sourced(spread, "story_sha256", manifest, training).withColumnRenamed("story_sha256", "_sha"), F.lower("story_sha256") == F.col("_sha"), "left")
+    bare = F.col("story_id").isNull() | F.col("story_sha256").isNull() | F.col("phase_claimed").isNull()
+    sums = known.groupBy("id").agg(
+        F.max(bare).alias("bare"),
+        F.max(F.col("story_sha256").isNotNull() & F.col("recorded").isNull()).alias("unknown"),
+        F.max(F.col("recorded") != F.col("phase_claimed")).alias("claims"),
+        F.max("trained").alias("trained"),
+    )
+    rows = items.join(sums, "id", "left")
+    at = F.col("answer_index")
+    answer = F.get("option_sources", at)
+    others = F.filter("option_sources", lambda _, i: i != at)
+    size, n = F.size("options"), F.size("option_sources")
+    inside = at.isNotNull() & (at >= 0) & (at < size)
+    ready = inside & (n == size)
+    rules = {
+        "phase": F.col("phase") != F.col(filed),
+        "option count": (size < 2) if n_options is None else (size != n_options),
+        "answer index": ~inside,
+        "sources": F.coalesce(n, F.lit(-1)) != size,
+        "source fields": F.coalesce("bare", F.lit(False)),
+        "source unknown": F.coalesce("unknown", F.lit(False)),
+        "source phase": F.coalesce("claims", F.lit(False)),
+        "answer of another phase": ready & ~answer["phase"].eqNullSafe(F.col("phase")),
+        "distractor of another phase": ready & F.exists(others, lambda s: ~s["phase"].eqNullSafe(F.col("phase"))),
+        "distractor of the answer's story": ready & F.exists(others, lambda s: s["story_id"].eqNullSafe(answer["story_id"])),
+    }
+    if n_options is not None:
+        rules |= {
+            "source in training": F.coalesce("trained", F.lit(False)),
+            "two of one story": ready & (F.size(F.array_distinct(F.transform(others, lambda s: s["story_id"]))) != F.size(others)),
+            "no distractor phases": F.coalesce(F.size("distractor_phases"), F.lit(0)) <= 0,
+            "distractor phases": ready & (F.coalesce(F.size("distractor_phases"), F.lit(0)) > 0) & ~F.transform(others, lambda s: s["phase"]).eqNullSafe(F.col("distractor_phases")),
+            "same option twice": F.size(F.array_distinct("options")) != size,
+        }
+    out = _listed(rows, rules).unionByName(_twice(items))
+    if n_options is None:
+        mixed = items.groupBy("phase").agg(F.min(size).alias("a"), F.max(size).alias("b")).where("a <> b")
+        out = out.unionByName(mixed.select("phase", F.lit(None).cast("string").alias("id"), F.lit("option counts differ").alias("rule")))
+    return out
+
+
+def phase_row_violations(stories: DataFrame, filed: str = "phase") -> DataFrame:
+    """(phase, id, rule) of stories that are not of the phase they are filed under, or hold the mask."""
+    rules = {"phase": ~F.col("phase").eqNullSafe(F.col(filed)), "holds the mask": F.coalesce(F.contains("story", F.lit(T.MASK)), F.lit(False))}
+    return _listed(stories.select("phase", F.col("id").cast("string").alias("id"), *([filed] if filed != "phase" else []), "story"), rules)
+
+
 def giveaway_report(items: DataFrame) -> DataFrame:
     """For each phase: items, answers in each slot, mean ratio of the answer's length to the others' mean, share strictly longest."""
     mine = F.length("answer")

@@ -1,47 +1,108 @@
-"""Exam scoring around a pluggable log-likelihood. The default is an add-k byte bigram model, counted by one grouped pass."""
+"""Exam scoring around a pluggable scorer of spans. The default is an add-k byte bigram model, counted by batches of texts.
+
+No row is ever made for a byte: counts and spans are vectors over an Arrow batch. A scorer is any function of (ids, starts, given):
+all tokens one after the other, where each span begins, and for each span how many of its tokens only give context; it
+returns the sum of the log-likelihoods of each span's other tokens.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
+from storyloom.functions.workers import shipped
+
+#: The bytes a model knows, its smoothing, the end of a story and the tokens a scorer sees at most.
+VOCABULARY, SMOOTHING, END, BLOCK = 256, 1.0, 0, 1024
+#: Bytes of text that are worked on at once.
+SLICE = 4 << 20
+
+Scorer = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
 
-#: The bytes a model knows and its smoothing.
-VOCABULARY, SMOOTHING = 256, 1.0
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about SLICE bytes in a column; a longer row is a part of its own."""
+    sizes = np.array([len(x.as_buffer() or b"") if x.is_valid else 0 for x in batch.column(column)], np.int64)
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), SLICE, side="right")))
+        yield batch.slice(at, n)
+        at += n
+
+
+def _pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of all bytes but NUL of the texts, each with the one before it (END before the first): the pair's number, and its text."""
+    parts = [x.as_buffer().to_pybytes().replace(b"\0", b"") if x.is_valid else b"" for x in texts]
+    body = np.frombuffer(b"\0" + b"\0".join(parts), np.uint8)
+    owner = np.repeat(np.arange(len(parts)), [len(p) + 1 for p in parts])
+    some = np.flatnonzero(body[1:]) + 1
+    return body[some - 1].astype(np.int32) * VOCABULARY + body[some], owner[some]
 
 
 def bigrams(texts: DataFrame, key: list[str], column: str) -> DataFrame:
-    """(key, pos, prev, next) for each byte of a text, the end token (00) before the first; bytes in hexadecimal."""
-    h = F.concat(F.lit("00"), F.hex(F.encode(F.replace(F.col(column), F.lit("\0"), F.lit("")), "UTF-8")))
-    pairs = T.once(F.regexp_extract_all(h, F.lit("(..)")), lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda i: F.struct(F.element_at(x, i).alias("prev"), F.element_at(x, i + 1).alias("next"))))
-    some = F.length(F.replace(F.col(column), F.lit("\0"), F.lit(""))) > 0
-    rows = texts.where(some).select(*key, F.posexplode(pairs).alias("_at", "p"))
-    return rows.select(*key, (F.col("_at") + 1).alias("pos"), "p.prev", "p.next")
+    """(key, prev, next, c): how often each pair of bytes occurs, the end token before the first. key: at most one column."""
+    kinds = ", ".join(f"{k} {texts.schema[k].dataType.simpleString()}" for k in key)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, column):
+                pair, owner = _pairs(part.column(column))
+                groups = part.column(key[0]).dictionary_encode() if key else None
+                of = groups.indices.to_numpy(zero_copy_only=False)[owner].astype(np.int64) if key else np.zeros(len(pair), np.int64)
+                found, n = np.unique(of * VOCABULARY**2 + pair, return_counts=True)
+                columns = [groups.dictionary.take(pa.array(found // VOCABULARY**2))] if key else []
+                pair = found % VOCABULARY**2
+                columns += [pa.array((pair // VOCABULARY).astype(np.int32)), pa.array((pair % VOCABULARY).astype(np.int32)), pa.array(n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*key, "prev", "next", "c"])
+
+    shipped(texts.sparkSession)
+    rows = texts.where(" and ".join(f"{k} is not null" for k in [*key, column])).select(*key, column)
+    counted = rows.mapInArrow(count, ", ".join(x for x in (kinds, "prev int, next int, c long") if x))
+    return counted.groupBy(*key, "prev", "next").agg(F.sum("c").alias("c"))
 
 
 def bigram_model(texts: DataFrame, column: str, k: float = SMOOTHING) -> DataFrame:
     """(prev, next, logp): at most VOCABULARY squared rows; pairs not seen have the row of next null."""
-    counts = bigrams(texts, [], column).groupBy("prev", "next").agg(F.count("*").alias("c"))
+    counts = bigrams(texts, [], column)
     totals = counts.groupBy("prev").agg(F.sum("c").alias("t"))
     logp = lambda c: F.log((c + k) / (F.col("t") + k * VOCABULARY))
     seen = counts.join(totals, "prev").select("prev", "next", logp(F.col("c")).alias("logp"))
-    return seen.unionByName(totals.select("prev", F.lit(None).cast("string").alias("next"), logp(F.lit(0)).alias("logp")))
+    return seen.unionByName(totals.select("prev", F.lit(None).cast("int").alias("next"), logp(F.lit(0)).alias("logp")))
 
 
-def scored(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """bigram rows with logp. The model's size is fixed by the bytes there are, so it is broadcast."""
-    seen = F.broadcast(model.where("next is not null"))
-    rest = F.broadcast(model.where("next is null").select("prev", F.col("logp").alias("unseen")))
-    out = rows.join(seen, ["prev", "next"], "left").join(rest, "prev", "left")
-    return out.withColumn("logp", F.coalesce("logp", "unseen", F.lit(-1.0) * F.log(F.lit(float(VOCABULARY))))).drop("unseen")
+def bigram_scorer(model: DataFrame) -> Scorer:
+    """The scorer of a bigram model, whose rows (fixed by the bytes there are) are fetched."""
+    table = np.full((VOCABULARY, VOCABULARY), -np.log(float(VOCABULARY)))
+    rows = model.collect()
+    for r in rows:
+        if r["next"] is None:
+            table[r["prev"]] = r["logp"]
+    for r in rows:
+        if r["next"] is not None:
+            table[r["prev"], r["next"]] = r["logp"]
+
+    def score(ids: np.ndarray, starts: np.ndarray, given: np.ndarray) -> np.ndarray:
+        logp = np.concatenate([[0.0], table[ids[:-1], ids[1:]], [0.0]])
+        begin, end = starts + given, np.append(starts[1:], len(ids))
+        sums = np.add.reduceat(logp, np.stack([begin, end], axis=1).ravel())[::2]
+        return np.where(begin < end, sums, 0.0)
+
+    return score
 
 
 def perplexity(texts: DataFrame, model: DataFrame, by: str, column: str) -> DataFrame:
     """(by, n_tokens, loss): the sum of all losses by the sum of all tokens, never a mean of means."""
-    pairs = bigrams(texts, [by], column).groupBy(by, "prev", "next").agg(F.count("*").alias("c"))
-    out = scored(pairs, model)
-    return out.groupBy(by).agg(F.sum("c").alias("n_tokens"), (-F.sum(F.col("c") * F.col("logp")) / F.sum("c")).alias("loss"))
+    pairs = bigrams(texts, [by], column)
+    seen = F.broadcast(model.where("next is not null"))  # VOCABULARY squared rows at most
+    rest = F.broadcast(model.where("next is null").select("prev", F.col("logp").alias("unseen")))
+    out = pairs.join(seen, ["prev", "next"], "left").join(rest, "prev", "left")
+    logp = F.coalesce("logp", "unseen", F.lit(-1.0) * F.log(F.lit(float(VOCABULARY))))
+    return out.groupBy(by).agg(F.sum("c").alias("n_tokens"), (-F.sum(F.col("c") * logp) / F.sum("c")).alias("loss"))
 
 
 def windows(n_tokens: Column, block: int) -> Column:
@@ -50,18 +111,83 @@ def windows(n_tokens: Column, block: int) -> Column:
     return F.filter(F.transform(starts, lambda s: F.least(F.lit(block), n_tokens - s)), lambda n: n >= 2)
 
 
-def option_scores(items: DataFrame, model: DataFrame) -> DataFrame:
-    """(phase, story_id, at, conditional, baseline): log-likelihood of each option after the prefix and on its own.
+def truncated_left(ids: np.ndarray, start: int, block: int = BLOCK) -> tuple[np.ndarray, int]:
+    """The last `block` tokens, and where a span that began at `start` begins in them: never before the second one."""
+    cut = max(0, len(ids) - block)
+    return ids[cut:], max(1, start - cut)
+
+
+def _scored(spans: list[tuple[np.ndarray, int]], scorer: Scorer) -> np.ndarray:
+    """Sums of spans (tokens, where the scored ones begin), a slice at a time: a score doesn't hang on what is scored with it."""
+    out, at = [], 0
+    sizes = np.cumsum([len(x) for x, _ in spans])
+    while at < len(spans):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, side="right")))
+        part = spans[at:end]
+        starts = np.cumsum([0, *(len(x) for x, _ in part[:-1])])
+        out.append(scorer(np.concatenate([x for x, _ in part]).astype(np.int64), starts, np.array([g for _, g in part])))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def _bytes(text: str) -> np.ndarray:
+    """The evaluator's tokens: all bytes, NUL too."""
+    return np.frombuffer(text.encode(), np.uint8)
+
+
+def option_scores(items: DataFrame, scorer: Scorer, block: int = BLOCK, key: tuple[str, ...] = ("phase", "story_id")) -> DataFrame:
+    """(key, at, conditional, baseline): log-likelihood of each option after the prefix and after the end of a story.
 
-    A bigram sees of the prefix its last byte only, so the two differ in the option's first byte.
+    Prefix and option are read as one text; what comes after the prefix's tokens is the span, and no span begins at the first
+    token. Both sequences keep their last `block` tokens.
     """
-    rows = items.select("phase", "story_id", F.substring(F.hex(F.encode("prefix", "UTF-8")), -2, 2).alias("last"), F.posexplode("options").alias("at", "option"))
-    key = ["phase", "story_id", "at"]
-    pairs = bigrams(rows, [*key, "last"], "option")
-    alone = scored(pairs, model).groupBy(*key).agg(F.sum("logp").alias("baseline"))
-    after = pairs.withColumn("prev", F.when(F.col("pos") == 1, F.col("last")).otherwise(F.col("prev")))
-    after = scored(after, model).groupBy(*key).agg(F.sum("logp").alias("conditional"))
-    return after.join(alone, key).select(*key, F.round("conditional", 9).alias("conditional"), F.round("baseline", 9).alias("baseline"))
+    kinds = ", ".join(f"{k} {items.schema[k].dataType.simpleString()}" for k in key)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, "prefix"):
+                after, alone, owner, at = [], [], [], []
+                for i, (prefix, options) in enumerate(zip(part.column("prefix").to_pylist(), part.column("options").to_pylist(), strict=True)):
+                    start = max(1, len(_bytes(prefix)))
+                    for j, option in enumerate(options):
+                        ids = _bytes(prefix + option)
+                        after.append(truncated_left(ids, start, block))
+                        alone.append(truncated_left(np.append(np.uint8(END), ids[start:]), 1, block))
+                        owner.append(i)
+                        at.append(j)
+                columns = [part.column(k).take(pa.array(owner, pa.int64())) for k in key]
+                columns += [pa.array(at, pa.int32()), pa.array(_scored(after, scorer).round(9)), pa.array(_scored(alone, scorer).round(9))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*key, "at", "conditional", "baseline"])
+
+    shipped(items.sparkSession)
+    return items.select(*key, "prefix", "options").where("prefix is not null and options is not null").mapInArrow(score, f"{kinds}, at int, conditional double, baseline double")
+
+
+def cloze_scores(items: DataFrame, scorer: Scorer, block: int = BLOCK, key: tuple[str, ...] = ("phase", "story_id")) -> DataFrame:
+    """(key, at, score): log-likelihood of the whole text filled with each candidate, of its last `block` tokens but the first."""
+    kinds = ", ".join(f"{k} {items.schema[k].dataType.simpleString()}" for k in key)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, "text_with_mask"):
+                for i, (text, candidates) in enumerate(zip(part.column("text_with_mask").to_pylist(), part.column("candidates").to_pylist(), strict=True)):
+                    filled = [_bytes(text.replace(T.MASK, c)) for c in candidates]
+                    spans = [truncated_left(x if len(x) > 1 else np.append(x, np.zeros(2 - len(x), np.uint8)), 1, block) for x in filled]
+                    n = len(spans)
+                    columns = [part.column(k).take(pa.array([i] * n, pa.int64())) for k in key]
+                    columns += [pa.array(np.arange(n, dtype=np.int32)), pa.array(_scored(spans, scorer).round(9))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*key, "at", "score"])
+
+    shipped(items.sparkSession)
+    return items.select(*key, "text_with_mask", "candidates").mapInArrow(score, f"{kinds}, at int, score double")
+
+
+def cloze_accuracy(items: DataFrame, scorer: Scorer, block: int = BLOCK) -> DataFrame:
+    """(phase, n, n_correct, accuracy, chance): rank-1 accuracy; a tie for the best is wrong; chance is the mean of 1 by candidates."""
+    key = ["phase", "story_id"]
+    answer = items.select(*key, (F.array_position("candidates", F.col("answer")) - 1).cast("int").alias("answer_index"), F.size("candidates").alias("k"))
+    right = rank_one(cloze_scores(items, scorer, block).join(answer, key), key, "at", F.round("score", 6), "answer_index").join(answer.select(*key, "k"), key)
+    return right.groupBy("phase").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy"), F.round(F.avg(1 / F.col("k")), 6).alias("chance"))
 
 
 def rank_one(scores: DataFrame, by: list[str], at: str, score: Column, answer: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from storyloom.plans import contract_oracles
 from storyloom.plans.views import GRIDS
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(contract_oracles.ORACLES)
 
 _FOLD = "replace(lower({}), 'ß', 'ss')"
 _WORDS = r"regexp_extract_all(" + _FOLD + r", '[\p{{L}}\p{{N}}_]+')"
@@ -40,7 +41,6 @@ flagged AS (SELECT * FROM scored WHERE by_prefix OR containment >= 0.5)"""
 _FLAGGED = """SELECT exam_id, exam_phase, train_id, train_phase, CASE WHEN by_prefix AND containment >= 0.5 THEN 'prefix+shingle' WHEN by_prefix THEN 'prefix' ELSE 'shingle' END AS rule,
     round_even(containment, 4) AS containment, round_even(jaccard, 4) AS jaccard FROM flagged"""
 ORACLES["near_duplicate_pairs"] = f"WITH {_TRAIN}, {_EXAM}, {_sides(64)} {_FLAGGED}"
-ORACLES["near_duplicate_pairs_rare"] = f"WITH {_TRAIN0}, {_PAIR}, {_sides(4)} {_FLAGGED}"
 ORACLES["near_duplicate_pairs_by_source"] = f"WITH {_TRAIN0}, {_PAIR}, {_sides(64)} {_FLAGGED}"
 ORACLES["near_duplicate_pairs_uncapped"] = f"WITH {_TRAIN0}, {_PAIR}, {_sides(2**62)} {_FLAGGED}"
 ORACLES["near_duplicate_by_phase"] = f"""WITH {_TRAIN0}, {_PAIR}, {_sides(64)}
@@ -74,11 +74,6 @@ v AS (SELECT * FROM leaves WHERE value IS NOT NULL AND (location NOT LIKE 'line%
 SELECT v.entity, v.location, CASE WHEN p.prompt_hash IS NOT NULL THEN 'prompt_hash' ELSE 'story_sha256' END AS reason, coalesce(p.story_id, s.story_id) AS story_id
 FROM v LEFT JOIN m p ON p.prompt_hash = v.value LEFT JOIN (SELECT sha, max(id)::VARCHAR AS story_id FROM m GROUP BY sha) s ON s.sha = sha256({_SQUEEZED.format("v.value")})
 WHERE p.prompt_hash IS NOT NULL OR s.sha IS NOT NULL"""
-ORACLES["manifest_story_reconcile"] = f"""WITH {_TRAIN}, x AS (SELECT *, {_STORY} AS sha FROM train WHERE model IN ('src1', 'src2', 'src3')),
-d AS (SELECT sha, count(*) AS n, min(phase) AS a, max(phase) AS b FROM x WHERE model <> 'src1' GROUP BY sha),
-m AS (SELECT sha, arg_max(CASE WHEN tier = 'fr' THEN phase + 1 ELSE phase END, id) AS phase FROM x WHERE model <> 'src3' GROUP BY sha),
-j AS (SELECT coalesce(d.sha, m.sha) AS sha, d.n, CASE WHEN m.phase IS NULL THEN 'not in manifest' WHEN d.n IS NULL THEN 'missing' WHEN d.n > 1 THEN 'duplicate' WHEN d.a <> m.phase OR d.b <> m.phase THEN 'wrong phase' END AS problem FROM d FULL JOIN m ON d.sha = m.sha)
-SELECT sha, problem, coalesce(n, 0)::BIGINT AS n FROM j WHERE problem IS NOT NULL"""
 ORACLES["manifest_story_reconcile_all"] = f"""WITH {_TRAIN}, x AS (SELECT *, {_STORY} AS sha FROM train),
 d AS (SELECT sha, count(*) AS n, min(phase) AS a, max(phase) AS b FROM x WHERE coalesce(id % 11, 0) <> 4 GROUP BY sha),
 m AS (SELECT sha, arg_max(CASE WHEN id % 13 = 5 THEN phase + 1 ELSE phase END, id) AS phase FROM x WHERE coalesce(id % 17, 0) <> 3 GROUP BY sha),
@@ -152,7 +147,7 @@ SELECT 'candidate count' AS rule, count(*)::BIGINT AS n FROM bad HAVING count(*)
 
 _LEXICON_ALL = _LEXICON.replace(" WHERE item <= 40", "").replace("SELECT phase, word FROM seenw WHERE length(word) >= 5 AND word = lower(word) GROUP BY ALL HAVING count(*) BETWEEN 2 AND 40", "SELECT phase, word FROM (SELECT phase, word, count(*) AS c FROM seenw WHERE length(word) >= 5 AND word = lower(word) GROUP BY ALL) JOIN (SELECT phase, count(*) AS n FROM train GROUP BY phase) USING (phase) WHERE c >= 2 AND c * 100 <= n * 28")
 for _name in ("cloze_items", "probe_violations"):
-    ORACLES[f"{_name}_all"] = ORACLES[_name].replace(_LEXICON, _LEXICON_ALL)
+    ORACLES[f"{_name}_all"] = ORACLES.pop(_name).replace(_LEXICON, _LEXICON_ALL)
 
 _ITEMS = rf"""plain AS (SELECT phase, id AS story_id, trim(regexp_replace(story, '\r\n|\r', chr(10), 'g'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM train),
 parts AS (SELECT phase, story_id, list_filter(list_transform(CASE WHEN regexp_matches(t, '\n\s*\n') THEN regexp_split_to_array(t, '\n\s*\n') ELSE regexp_split_to_array(t, '\n') END, lambda x: trim(x)), lambda x: x <> '') AS p FROM plain),
@@ -167,7 +162,7 @@ SELECT phase, count(*)::BIGINT AS n, (count(*) FILTER (WHERE a = 0))::BIGINT AS
     round_even(avg(m / o), 6) AS length_ratio, round_even(avg((m > top)::INTEGER::DOUBLE), 6) AS longest_share FROM x GROUP BY phase"""
 ORACLES["continuation_pmi"] = f"""WITH {_TRAIN}, {_EXAM}, {_ITEMS}, grams AS ({_unnested("", "story", "exam")}), {_MODEL},
 o0 AS (SELECT phase, story_id, answer_index, right(hex(encode(prefix)), 2) AS tail, unnest(range(4)) AS nr, unnest(options) AS opt FROM cont),
-b AS ({_unnested("phase, story_id, answer_index, nr, tail, ", "opt", "o0")}),
+b AS (SELECT * FROM ({_unnested("phase, story_id, answer_index, nr, tail, strlen(opt) AS l, ", "opt", "o0")}) WHERE pos > l - 1023),
 l AS (SELECT b.phase, b.story_id, b.answer_index, b.nr, round(sum({_LOGP}), 9) AS base, round(sum({_LOGP.replace("m.c", "m2.c").replace("o.t", "o2.t")}), 9) AS cond
     FROM b LEFT JOIN counts m ON m.prev = b.prev AND m.next = b.next LEFT JOIN totals o ON o.prev = b.prev
     LEFT JOIN counts m2 ON m2.prev = CASE WHEN b.pos = 1 THEN b.tail ELSE b.prev END AND m2.next = b.next LEFT JOIN totals o2 ON o2.prev = CASE WHEN b.pos = 1 THEN b.tail ELSE b.prev END GROUP BY ALL),
@@ -197,7 +192,18 @@ cont AS (SELECT *, CASE answer_index WHEN 0 THEN [answer, d[1], d[2], d[3]] WHEN
 ORACLES["continuation_items_drawn"] = f"""WITH {_TRAIN}, {_DRAWN} SELECT i.phase, i.story_id, i.answer_index, sha256(i.prefix) AS prefix_sha256, sha256(array_to_string(c.options, chr(10))) AS options_sha256
 FROM items i LEFT JOIN cont c ON c.phase = i.phase AND c.story_id = i.story_id"""
 for _name in ("giveaway_report", "continuation_pmi"):
-    ORACLES[f"{_name}_drawn"] = ORACLES[_name].replace(_ITEMS, _DRAWN)
+    ORACLES[f"{_name}_drawn"] = ORACLES.pop(_name).replace(_ITEMS, _DRAWN)
+del ORACLES["continuation_items"]
+ORACLES["cloze_accuracy"] = f"""WITH {_TRAIN}, {_EXAM}, {_LEXICON_ALL}, grams AS ({_unnested("", "story", "exam")}), {_MODEL},
+texts AS (SELECT c.phase, c.story_id, c.answer, regexp_replace(story, '(^|[^\\p{{L}}\\p{{N}}_])' || c.answer || '($|[^\\p{{L}}\\p{{N}}_])', '\\1[MASK]\\2') AS t FROM chosen c JOIN train t ON t.id = c.story_id),
+filled AS (SELECT x.phase, x.story_id, x.answer, k.word, right(hex(encode(replace(x.t, '[MASK]', k.word))), 2048) AS h FROM texts x JOIN cands k ON k.phase = x.phase AND k.story_id = x.story_id),
+b AS (SELECT phase, story_id, answer, word, substr(h, i * 2 - 1, 2) AS prev, substr(h, i * 2 + 1, 2) AS next FROM (SELECT *, unnest(range(1, strlen(h) // 2)) AS i FROM filled)),
+p AS (SELECT phase, story_id, answer, word, prev, next, count(*) AS k FROM b GROUP BY ALL),
+s AS (SELECT p.phase, p.story_id, p.answer, p.word, round(sum(p.k * {_LOGP}), 6) AS s FROM p LEFT JOIN counts m ON m.prev = p.prev AND m.next = p.next LEFT JOIN totals o ON o.prev = p.prev GROUP BY ALL),
+r AS (SELECT phase, story_id, max(s) FILTER (WHERE word = answer) > max(s) FILTER (WHERE word <> answer) AS ok, count(*) AS k FROM s GROUP BY ALL)
+SELECT phase, count(*)::BIGINT AS n, (count(*) FILTER (WHERE ok))::BIGINT AS n_correct, round(avg(ok::INTEGER::DOUBLE), 6) AS accuracy, round(avg(1 / k), 6) AS chance FROM r GROUP BY phase"""
+for _name in ("near_duplicate_pairs", "story_hash_duplicates"):
+    ORACLES[f"{_name}_decomposed"] = ORACLES["near_duplicate_pairs_by_source" if "pairs" in _name else _name]
 
 _CELLS = """cells AS (SELECT (user_id % 21)::INTEGER AS run, ((event_id % 8) - 1)::INTEGER AS i, ((event_id // 8) % 7)::INTEGER AS j, sum(floor(value * 100)::BIGINT) / count(value) / 100 AS value FROM events GROUP BY ALL),
 m AS (SELECT run, CASE WHEN run % 2 = 0 THEN 'continuation' ELSE 'perplexity' END AS exam, i, j, value FROM cells), s AS (SELECT *, CASE WHEN exam = 'perplexity' THEN -value ELSE value END AS score FROM m)"""

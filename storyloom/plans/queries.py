@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
 from storyloom.operators import guard, matrix, neardup, packing, probes, runs, scoring
+from storyloom.plans import contracts
 from storyloom.plans import views as V
 from storyloom.streaming import ledger as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = dict(contracts.QUERIES)
 
 
 def query(f: Query) -> Query:
@@ -26,14 +27,9 @@ def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(V.exam(spark, sf), V.train(spark, sf))
 
 
-@query
-def near_duplicate_pairs_rare(spark: SparkSession, sf: str) -> DataFrame:
-    return neardup.near_duplicates(*V.by_language(spark, sf), max_postings=4)
-
-
 @query
 def near_duplicate_pairs_by_source(spark: SparkSession, sf: str) -> DataFrame:
-    """The pairs of near_duplicate_pairs_rare's view under the reference's rule of 64."""
+    """Two groups of sources as exam and training, under the rule of at most 64 exam stories a shingle."""
     return neardup.near_duplicates(*V.by_language(spark, sf))
 
 
@@ -79,13 +75,6 @@ def leak_line_hits(spark: SparkSession, sf: str) -> DataFrame:
     return guard.leaf_hits(leaves, guard.manifest_of(exam))
 
 
-@query
-def manifest_story_reconcile(spark: SparkSession, sf: str) -> DataFrame:
-    exam = V.train(spark, sf).where("model in ('src1', 'src2', 'src3')")
-    listed = guard.manifest_of(exam.where("model <> 'src3'").withColumn("phase", F.when(F.col("tier") == "fr", F.col("phase") + 1).otherwise(F.col("phase"))))
-    return guard.reconcile(exam.where("model <> 'src1'"), listed)
-
-
 @query
 def manifest_story_reconcile_all(spark: SparkSession, sf: str) -> DataFrame:
     """Every document: each 17th id not listed, each eleventh not on disk, the phase of each thirteenth moved in the manifest."""
@@ -186,30 +175,9 @@ def bigram_perplexity(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.perplexity(V.exam(spark, sf), model, "phase", "story").select("phase", "n_tokens", F.round("loss", 6).alias("loss"))
 
 
-def _cloze(spark: SparkSession, sf: str) -> DataFrame:
-    stories = V.train(spark, sf)
-    return probes.cloze_items(stories, probes.band_lexicon(stories, 2, 40), V.SEED, 40)
-
-
-@query
-def cloze_items(spark: SparkSession, sf: str) -> DataFrame:
-    items = _cloze(spark, sf)
-    return items.select("phase", "item", "story_id", "answer", F.sha2("text_with_mask", 256).alias("text_sha256"), F.array_join("candidates", ",").alias("candidates"))
-
-
-@query
-def probe_violations(spark: SparkSession, sf: str) -> DataFrame:
-    return probes.cloze_violations(_cloze(spark, sf)).groupBy("rule").agg(F.count("*").alias("n"))
-
-
-@query
-def continuation_items(spark: SparkSession, sf: str) -> DataFrame:
-    items = probes.continuation_items(V.train(spark, sf), V.SEED)
-    return items.select("phase", "story_id", "answer_index", F.sha2("prefix", 256).alias("prefix_sha256"), F.sha2(F.array_join("options", "\n"), 256).alias("options_sha256"))
-
-
 def _pmi(spark: SparkSession, sf: str, items: DataFrame) -> DataFrame:
-    scores = scoring.option_scores(items, scoring.bigram_model(V.exam(spark, sf), "story")).join(items.select("phase", "story_id", "answer_index"), ["phase", "story_id"])
+    scorer = scoring.bigram_scorer(scoring.bigram_model(V.exam(spark, sf), "story"))
+    scores = scoring.option_scores(items, scorer).join(items.select("phase", "story_id", "answer_index"), ["phase", "story_id"])
     key = ["phase", "story_id"]
     pmi = scoring.rank_one(scores, key, "at", F.round(F.col("conditional") - F.col("baseline"), 6), "answer_index")
     summed = scoring.rank_one(scores, key, "at", F.round("conditional", 6), "answer_index").withColumnRenamed("correct", "summed")
@@ -217,16 +185,6 @@ def _pmi(spark: SparkSession, sf: str, items: DataFrame) -> DataFrame:
     return both.groupBy("phase").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_pmi"), F.count_if("summed").alias("n_summed"))
 
 
-@query
-def continuation_pmi(spark: SparkSession, sf: str) -> DataFrame:
-    return _pmi(spark, sf, probes.continuation_items(V.train(spark, sf), V.SEED))
-
-
-@query
-def giveaway_report(spark: SparkSession, sf: str) -> DataFrame:
-    return probes.giveaway_report(probes.continuation_items(V.train(spark, sf), V.SEED))
-
-
 def _cloze_all(spark: SparkSession, sf: str) -> DataFrame:
     stories = V.train(spark, sf)
     return probes.cloze_items(stories, probes.share_lexicon(stories, 2, 28), V.SEED)
@@ -263,6 +221,12 @@ def continuation_pmi_drawn(spark: SparkSession, sf: str) -> DataFrame:
     return _pmi(spark, sf, _drawn(spark, sf).where("options is not null"))
 
 
+@query
+def cloze_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Rank-1 accuracy of the bigram model on the items of every usable story."""
+    return scoring.cloze_accuracy(_cloze_all(spark, sf), scoring.bigram_scorer(scoring.bigram_model(V.exam(spark, sf), "story")))
+
+
 @query
 def matrix_incomplete(spark: SparkSession, sf: str) -> DataFrame:
     return matrix.incomplete(V.matrix(spark, sf).where("run < 14 or j <> 3"))

@@ -25,7 +25,7 @@ def exam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def by_language(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """English documents as the exam, the others and copies in them as training: a second pair of sides that share texts."""
+    """Documents of two sources as the exam, of all others as training: a second pair of sides, which share texts."""
     rows = train(spark, sf_dir)
     return rows.where("model in ('src1', 'src2')"), rows.where("model not in ('src1', 'src2')")
 

@@ -5,15 +5,18 @@ Schemas are fixed. JSON lines keep their line numbers: a file is read whole only
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
+from storyloom.operators.guard import ContractViolation
 
 STORY = "prompt_hash string, phase int, tier string, story string, model string, timestamp string, split string, id string"
 MANIFEST = "experiment_id string, generator_model string, seed int, files array<struct<path_relative_to_exam_dir: string, sha256: string, phase: int, kind: string>>, stories array<struct<story_id: string, prompt_hash: string, story_sha256: string, phase: int>>"
 LEDGER = "arm string, seed int, run_dir string, status string, gpu_hours double, gpu_name string, commit7 string, note string, recorded_at string"
-TIMINGS = "per_phase array<struct<phase: int, train_s: double, consolidate_s: double, eval_s: double>>, gpu_hours double, gpu_name string"
 
 
 def phase_of(path: Column) -> Column:
@@ -21,10 +24,38 @@ def phase_of(path: Column) -> Column:
     return F.regexp_extract(path, r"_phase_(\d+)\.jsonl?$", 1).cast("int")
 
 
+def corpus_files(spark: SparkSession, folder: str, phases: list[int] | None = None, name: str = "train") -> list[str]:
+    """Paths of {name}_phase_{k}.jsonl right in a folder, by phase; declared phases must be there, others are passed over.
+
+    Refuses a folder without any, and files that lie elsewhere (links out of the folder).
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        raise ContractViolation(f"no folder {folder}")
+    real = str(system.resolvePath(root))
+    found = {}
+    for status in system.listStatus(root):
+        part = re.fullmatch(rf"{re.escape(name)}_phase_(\d+)\.jsonl", status.getPath().getName())
+        if part and (phases is None or int(part[1]) in phases):
+            path = status.getPath()
+            if path.toUri().getScheme() == "file":
+                inside = Path(path.toUri().getPath()).resolve().parent == Path(root.toUri().getPath()).resolve()
+            else:
+                inside = str(system.resolvePath(path).getParent()) == real
+            if not inside:
+                raise ContractViolation(f"file outside its folder: {path}")
+            found[int(part[1])] = path.toString()
+    lost = [k for k in phases or [] if k not in found]
+    if lost or not found:
+        raise ContractViolation(f"no {name} file in {folder} for phases {lost}" if lost else f"no {name} files in {folder}")
+    return [found[k] for k in sorted(found)]
+
+
 def stories(spark: SparkSession, folder: str, phases: list[int] | None = None, name: str = "train") -> DataFrame:
     """Stories of {name}_phase_{k}.jsonl by line, with lineno, and `corrupt` where a line is no JSON; undeclared phases are not opened."""
-    paths = [f"{folder}/{name}_phase_{k}.jsonl" for k in phases] if phases is not None else f"{folder}/{name}_phase_*.jsonl"
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(corpus_files(spark, folder, phases, name), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = files.select("path", F.posexplode(T.loader_lines(F.col("value"))).alias("lineno", "line")).where(F.trim("line") != "")
     parsed = F.from_json("line", f"{STORY}, corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"})
     out = lines.select("path", "line", phase_of(F.col("path")).alias("file_phase"), (F.col("lineno") + 1).cast("long").alias("lineno"), parsed.alias("r"))
@@ -50,6 +81,12 @@ def readable(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", text.alias("text"), (text.isNull() & F.col("path").rlike(r"\.(jsonl|json|txt)$")).alias("refused"))
 
 
+def exam_story_phases(spark: SparkSession, folder: str, phases: list[int] | None = None) -> DataFrame:
+    """(story_sha256, phase) of all exam stories of a folder."""
+    rows = stories(spark, f"{folder}/stories", phases, "exam")
+    return rows.select(T.story_sha256(F.col("story")).alias("story_sha256"), "phase").distinct()
+
+
 def run_folders(spark: SparkSession, folder: str) -> DataFrame:
     """(run_id, commit_txt, matrix, timings, config): the four files of each folder below, null where one is missing."""
     files = spark.read.text(f"{folder}/*/*", wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
@@ -86,3 +123,39 @@ def append_ledger(rows: DataFrame, path: str) -> None:
 def write_probes(items: DataFrame, folder: str, kind: str) -> None:
     """Items as JSON lines, a folder for each kind and phase, in the order of their ids."""
     items.withColumn("kind", F.lit(kind)).repartition("phase").sortWithinPartitions("phase", "story_id").write.mode("overwrite").partitionBy("kind", "phase").json(folder)
+
+
+def write_run_record(records: DataFrame, folder: str) -> None:
+    """Run records (run_id, commit_txt, matrix, timings, config) as texts: four files in a folder for each run, rewritten whole.
+
+    Records go one by one through the file system of the folder: a reader never sees half a file.
+    """
+    spark = records.sparkSession
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    names = {"commit_txt": "commit.txt", "matrix": "matrix.json", "timings": "timings.json", "config": "config.json"}
+    for r in records.toLocalIterator():
+        for column, name in names.items():
+            if r[column] is None:
+                continue
+            path = hadoop.Path(f"{folder}/{r['run_id']}/{name}")
+            fresh = hadoop.Path(f"{folder}/{r['run_id']}/.{name}.new")
+            system = path.getFileSystem(conf)
+            out = system.create(fresh, True)
+            out.write(bytearray(r[column].encode()))
+            out.close()
+            system.delete(path, False)
+            if not system.rename(fresh, path):
+                raise OSError(f"can't rename {fresh}")
+
+
+def write_pairs_report(pairs: DataFrame, folder: str) -> None:
+    """Near-duplicate pairs as JSON lines with sorted keys, in the order of exam phase, exam story, training phase and training story."""
+    rows = pairs.select(*sorted(pairs.columns))
+    rows.repartitionByRange("exam_phase", "exam_id").sortWithinPartitions("exam_phase", "exam_id", "train_phase", "train_id").write.mode("overwrite").json(folder)
+
+
+def report_lines(aggregates: DataFrame, excluded: DataFrame) -> list[str]:
+    """A report's lines: arms with mean, spread, number and seeds of each metric (one row an arm and metric), and runs left out with why."""
+    shown = aggregates.select("arm", "metric", F.format_string("%.4f +- %.4f (n=%d; seeds %s)", "mean", "sd", "n", "seeds").alias("x")).orderBy("metric", "arm").collect()
+    lost = excluded.orderBy("run_id").select("run_id", "reason").toLocalIterator()
+    return [f"{r['metric']} {r['arm']}: {r['x']}" for r in shown] + [f"left out {r['run_id']}: {r['reason']}" for r in lost]

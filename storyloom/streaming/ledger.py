@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,19 +29,40 @@ def start_summary(rows: DataFrame, name: str, checkpoint: str, once: bool = True
 
 
 def on_progress(timings: DataFrame, act: Callable[[int], None], checkpoint: str) -> StreamingQuery:
-    """Calls act(n) when the number of evaluated phases (eval_s above zero) grows. timings: a stream of (run, phase, eval_s)."""
-    seen = {"n": 0}
+    """Calls act(n) when the number of evaluated phases (eval_s above zero) grows. timings: a stream of (run, phase, eval_s).
+
+    The number acted on last is kept beside the stream's checkpoint, so that a restart doesn't act on it again; act is
+    called before it is written, at least once for each number.
+    """
+    spark = timings.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(f"{checkpoint}-acted")
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def batch(rows: DataFrame, _: int) -> None:
         n = rows.where("eval_s > 0").select("phase").distinct().count()
-        if n > seen["n"]:
-            seen["n"] = n
+        system.mkdirs(root)
+        if n > max((int(s.getPath().getName()) for s in system.listStatus(root)), default=0):
             act(n)
+            system.create(hadoop.Path(root, str(n)), True).close()
 
     grouped = timings.groupBy("phase").agg(F.max("eval_s").alias("eval_s"))
     return grouped.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
 
 
+def wait_for_phases(query: StreamingQuery, count: Callable[[], int], n: int, seconds: float = 60.0) -> bool:
+    """Whether n phases are there once all that has come was processed, looking again until the time is over."""
+    until = time.monotonic() + seconds
+    while True:
+        if query.isActive:
+            query.processAllAvailable()
+        if count() >= n:
+            return True
+        if time.monotonic() > until:
+            return False
+        time.sleep(0.05)
+
+
 def event_windows(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Extension: counts and sums of events in tumbling windows under a watermark, by type; batch or stream."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
