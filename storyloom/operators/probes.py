@@ -11,6 +11,8 @@ from storyloom.functions import text as T
 N_CANDIDATES, N_OPTIONS, LENGTH_LOW, LENGTH_HIGH = 20, 4, 0.5, 2.0
 #: Fixed value: places drawn in the length band for each item; items that these do not fill look at the whole phase.
 DRAWS = 24
+#: Fixed value: places drawn in a phase's lexicon for each cloze item.
+TRIES = 32
 
 
 def deduped_lexicon(lexicon: DataFrame) -> DataFrame:
@@ -53,18 +55,26 @@ def cloze_items(stories: DataFrame, lexicon: DataFrame, seed: int, per_phase: in
     able = words.join(kin, ["phase", "word"]).join(size, "phase").where(F.col("n") - F.col("kin") >= N_CANDIDATES - 1).select("phase", "word", F.lower("word").alias("low"), "stem")
     # A text's words are sorted by their lower case; those that stand alone among them occur once. No word of another kind leaves the text.
     pairs = F.array_sort(F.transform(F.regexp_extract_all("story", F.lit(f"({T.WORD})")), lambda w: F.struct(F.lower(w).alias("low"), w.alias("seen"))))
-    alone = lambda x, i: ((i == 0) | (F.get("p", i - 1)["low"] != x["low"])) & F.coalesce(F.get("p", i + 1)["low"] != x["low"], F.lit(True))
-    seen = stories.select("phase", F.col("id").alias("story_id"), pairs.alias("p")).select("phase", "story_id", F.inline(F.filter("p", alone)))
+    alone = lambda p: lambda x, i: ((i == 0) | (F.get(p, i - 1)["low"] != x["low"])) & F.coalesce(F.get(p, i + 1)["low"] != x["low"], F.lit(True))
+    seen = stories.select("phase", F.col("id").alias("story_id"), F.inline(T.once(pairs, lambda p: F.filter(p, alone(p)))))
     hits = seen.join(able, ["phase", "low"]).where("seen = word")
     pick = F.row_number().over(Window.partitionBy("phase", "story_id").orderBy(T.draw(seed, "cloze-answer", F.col("phase"), F.col("story_id"), F.col("word"))))
     chosen = hits.withColumn("nr", pick).where("nr = 1").select("phase", "story_id", F.col("word").alias("answer"), F.col("stem").alias("answer_stem"))
     chosen = T.ranked(chosen.withColumn("_order", T.draw(seed, "cloze-order", F.col("phase"), F.col("story_id"))), ["phase"], "_order", "item")
-    chosen = chosen.withColumn("item", (F.col("item") + 1).cast("int")).drop("_order")
+    chosen = chosen.withColumn("item", (F.col("item") + 1).cast("int")).drop("_order").persist()
     if per_phase is not None:
         chosen = chosen.where(F.col("item") <= per_phase)
-    others = chosen.join(words.select("phase", "word", "stem"), "phase").where("stem <> answer_stem")
-    rank = F.row_number().over(Window.partitionBy("phase", "story_id").orderBy(T.draw(seed, "cloze-candidate", F.col("phase"), F.col("story_id"), F.col("word"))))
-    others = others.withColumn("nr", rank).where(F.col("nr") < N_CANDIDATES).groupBy("phase", "story_id").agg(F.collect_list("word").alias("others"))
+    key = ["phase", "story_id"]
+    listed = T.ranked(words.withColumn("_order", T.draw(seed, "cloze-lexicon", F.col("phase"), F.col("word"))), ["phase"], "_order", "place").select("phase", "place", "word", "stem")
+    tries = chosen.join(size, "phase").withColumn("nr", F.explode(F.sequence(F.lit(0), F.lit(TRIES - 1))))
+    tries = tries.withColumn("place", T.draw_index(F.col("n"), seed, "cloze-candidate", F.col("phase"), F.col("story_id"), F.col("nr")))
+    drawn = tries.join(listed, ["phase", "place"]).where("stem <> answer_stem").groupBy(*key).agg(F.collect_list(F.struct("nr", "word")).alias("d"))  # TRIES at most
+    drawn = drawn.select(*key, F.slice(F.array_distinct(F.transform(F.array_sort("d"), lambda x: x["word"])), 1, N_CANDIDATES - 1).alias("others")).where(F.size("others") == N_CANDIDATES - 1)
+    # Items that the draws don't fill, as in a small lexicon, rank all words of their phase.
+    rest = chosen.join(drawn.select(*key), key, "left_anti").join(words.select("phase", "word", "stem"), "phase").where("stem <> answer_stem")
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(T.draw(seed, "cloze-rest", F.col("phase"), F.col("story_id"), F.col("word"))))
+    rest = rest.withColumn("nr", rank).where(F.col("nr") < N_CANDIDATES).groupBy(*key).agg(F.collect_list("word").alias("others"))
+    others = drawn.unionByName(rest)
     shuffled = F.transform(F.array_sort(F.transform(F.concat(F.array("answer"), "others"), lambda w: F.struct(T.draw(seed, "cloze-shuffle", F.col("story_id"), w).alias("h"), w.alias("w")))), lambda x: x["w"])
     out = chosen.join(others, ["phase", "story_id"]).join(stories.select("phase", F.col("id").alias("story_id"), "story"), ["phase", "story_id"])
     quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.col("answer"), F.lit(r"\E(?![\p{L}\p{N}_])"))

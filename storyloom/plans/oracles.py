@@ -136,7 +136,12 @@ occ AS (SELECT phase, id, unnest(regexp_extract_all(story, '[\p{{L}}\p{{N}}_]+')
 once AS (SELECT phase, id, lower(seen) AS low, min(seen) AS seen FROM occ GROUP BY ALL HAVING count(*) = 1),
 hits AS (SELECT o.phase, o.id AS story_id, a.word, a.stem, row_number() OVER (PARTITION BY o.phase, o.id ORDER BY {_DRAW.format('cloze-answer', 'o.phase, o.id, a.word')}) AS nr FROM once o JOIN able a ON a.phase = o.phase AND lower(a.word) = o.low AND a.word = o.seen),
 chosen AS (SELECT * FROM (SELECT phase, story_id, word AS answer, stem, row_number() OVER (PARTITION BY phase ORDER BY {_DRAW.format('cloze-order', 'phase, story_id')})::INTEGER AS item FROM hits WHERE nr = 1) WHERE item <= 40),
-oth AS (SELECT c.phase, c.story_id, l.word, row_number() OVER (PARTITION BY c.phase, c.story_id ORDER BY {_DRAW.format('cloze-candidate', 'c.phase, c.story_id, l.word')}) AS nr FROM chosen c JOIN lex l ON l.phase = c.phase AND l.stem <> c.stem),
+listed AS (SELECT phase, word, stem, row_number() OVER (PARTITION BY phase ORDER BY {_DRAW.format('cloze-lexicon', 'phase, word')}) - 1 AS place, count(*) OVER (PARTITION BY phase) AS n FROM lex),
+tries AS (SELECT c.phase, c.story_id, c.stem, r.nr, ('0x' || substr({_DRAW.format('cloze-candidate', 'c.phase, c.story_id, r.nr')}, 1, 15))::BIGINT % n.n AS place FROM chosen c JOIN (SELECT phase, any_value(n) AS n FROM listed GROUP BY phase) n ON n.phase = c.phase, range(32) r(nr)),
+seen32 AS (SELECT t.phase, t.story_id, l.word, min(t.nr) AS nr FROM tries t JOIN listed l ON l.phase = t.phase AND l.place = t.place WHERE l.stem <> t.stem GROUP BY t.phase, t.story_id, l.word),
+filled32 AS (SELECT phase, story_id, word, row_number() OVER (PARTITION BY phase, story_id ORDER BY nr) AS nr, count(*) OVER (PARTITION BY phase, story_id) AS c FROM seen32),
+oth AS (SELECT phase, story_id, word, nr FROM filled32 WHERE c >= 19 UNION ALL
+    SELECT c.phase, c.story_id, l.word, row_number() OVER (PARTITION BY c.phase, c.story_id ORDER BY {_DRAW.format('cloze-rest', 'c.phase, c.story_id, l.word')}) AS nr FROM (SELECT * FROM chosen ANTI JOIN (SELECT * FROM filled32 WHERE c >= 19) USING (phase, story_id)) c JOIN lex l ON l.phase = c.phase AND l.stem <> c.stem),
 cands AS (SELECT phase, story_id, word FROM oth WHERE nr < 20 UNION ALL SELECT phase, story_id, answer FROM chosen)"""
 ORACLES["cloze_items"] = rf"""WITH {_TRAIN}, {_LEXICON}
 SELECT c.phase, c.item, c.story_id, c.answer, sha256(regexp_replace(story, '(^|[^\p{{L}}\p{{N}}_])' || c.answer || '($|[^\p{{L}}\p{{N}}_])', '\1[MASK]\2')) AS text_sha256,
