@@ -70,7 +70,7 @@ def casefold(text: Column) -> Column:
     rare, folds = _folds()
     table = F.from_json(F.lit(folds), "map<string, string>")
     by_letter = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    return once(F.replace(F.lower(text), F.lit("\u00df"), F.lit("ss")), lambda t: F.when(t.rlike(rare), by_letter(t)).otherwise(t))
+    return once(F.replace(F.lower(text), F.lit("\u00df"), F.lit("ss")), lambda t: F.when(t.rlike(r"[\xB5\x{149}-\x{10FFFF}]") & t.rlike(rare), by_letter(t)).otherwise(t))
 
 
 def squeezed(text: Column) -> Column:
