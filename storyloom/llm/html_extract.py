@@ -3,8 +3,8 @@
 A page is read as a sequence of words and tags. Each scores its probability of belonging to the article, less one half, so
 content words are positive, and tags and words of menus, notices and the like negative. The weights are those of a
 logistic model of the tag itself, the elements that are open and the words of their class and id, fitted on the labelled pages
-of html_labels.py. One linear scan finds the contiguous region of the largest sum; blocks inside it that score negative (an
-advert between two paragraphs) are left out.
+of html_labels.py. One linear scan finds the contiguous region of the largest sum; blocks inside it whose words score negative
+in sum (an advert between two paragraphs) are left out.
 """
 
 from __future__ import annotations
@@ -24,16 +24,12 @@ from storyloom.llm.html_labels import LABELLED
 
 TAG = re.compile(r"""<(?:!--|([/!?]?)([A-Za-z][^\s/>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|[!?][^>]*+>)""")
 ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
-#: Elements whose content is no text of the page; without an end tag; that part blocks of text.
-DROPPED = frozenset("script style noscript template iframe svg canvas object textarea select button title math audio video map".split())
+#: Elements whose content is no text; without an end tag; that part blocks of text.
+DROPPED = frozenset("script style noscript template iframe svg canvas object audio video map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 #: Elements that an opening tag of a kind closes if they are the ones open.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Elements that by their meaning hold nothing of the article, whatever their class says.
-ASIDE = frozenset(f"in {x}" for x in ("nav", "aside", "footer", "form", "dialog", "menu"))
-#: What a run of words takes off the sum at most: an advert between two paragraphs doesn't part them, however long.
-LEAST = -4.0
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 #: Weight of the squares of the weights in fitting.
 RIDGE = 0.5
 #: A token: how many words (0: a tag), its features, its block and its text.
@@ -47,17 +43,50 @@ def _hints(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(f"hint {w.lower()}" for w in words))
 
 
-def tokens(page: str) -> Iterator[Token]:
-    """Words (by run of text) and tags of a page. Tags that are never closed, crossed or stray are taken as they come."""
-    open_: list[tuple[str, tuple[str, ...]]] = []  # names, with the features of what they hold
-    features: tuple[str, ...] = ()
+class _Open:
+    """The elements that are open: a stack, with where each name and each block stands in it. Steps take constant time, but for what they close."""
+
+    def __init__(self, known: frozenset[str] | None):
+        self.known, self.names, self.features = known, [], [()]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, name: str, own: tuple[str, ...]) -> None:
+        new = [x for x in own if self.known is None or x in self.known]
+        held = self.features[-1]
+        self.at.setdefault(name, []).append(len(self.names))
+        if name in BLOCKS:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+        self.features.append(held if all(x in held for x in new) else tuple(dict.fromkeys((*held, *new))))
+
+    def cut(self, n: int) -> None:
+        """Closes all elements from the n-th on."""
+        while len(self.names) > n:
+            name = self.names.pop()
+            self.features.pop()
+            self.at[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+
+    def close(self, name: str) -> None:
+        if self.at.get(name):
+            self.cut(self.at[name][-1])
+
+
+def tokens(page: str, known: frozenset[str] | None = None) -> Iterator[Token]:
+    """Words (by run of text) and tags of a page. Tags that are never closed, crossed or stray are taken as they come.
+
+    known: the features that count; None: all.
+    """
+    open_ = _Open(known)
     block, at, size = 0, 0, len(page)
 
     while at < size:
         found = TAG.search(page, at)
         end = found.start() if found else size
         if end > at and (text := html.unescape(page[at:end])):
-            yield len(text.split()), features, block, text
+            yield len(text.split()), open_.features[-1], block, text
         if not found:
             return
         at = found.end()
@@ -73,23 +102,18 @@ def tokens(page: str) -> Iterator[Token]:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
             at = close.end() if close else size
             continue
-        if name in BLOCKS or name == "br":
-            block += name != "br"
+        if name in BLOCKS:
+            block += 1
         if mark:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    del open_[i:]
-                    features = open_[-1][1] if open_ else ()
-                    break
+            open_.close(name)
         elif name not in VOID and not attributes.endswith("/"):
             # a paragraph ends where another block begins
-            if name in BLOCKS:
-                nearest = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] in BLOCKS), None)
-                if nearest is not None and (open_[nearest][0] == "p" or open_[nearest][0] in CLOSES.get(name, ())):
-                    del open_[nearest:]
-            features = tuple(dict.fromkeys((*(open_[-1][1] if open_ else ()), f"in {name}", *_hints(attributes))))
-            open_.append((name, features))
-        yield 0, (f"tag {name}", *features), block, " " if name == "br" else ""
+            if name in BLOCKS and open_.blocks:
+                nearest = open_.names[open_.blocks[-1]]
+                if nearest == "p" or nearest in CLOSES.get(name, ()):
+                    open_.cut(open_.blocks[-1])
+            open_.push(name, (f"in {name}", *_hints(attributes)))
+        yield 0, (f"tag {name}", *open_.features[-1]), block, " " if name == "br" else ""
 
 
 def _labelled() -> tuple[list[tuple[str, ...]], list[float], list[float]]:
@@ -126,32 +150,40 @@ def weights() -> dict[str, float]:
     return {n: float(b[i]) for n, i in names.items()}
 
 
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """The run of scores of the largest sum, as where it begins and ends; nothing where no sum is above zero."""
+    best, now, first, region = 0.0, 0.0, 0, (0, 0)
+    for i, score in enumerate(scores):
+        if now <= 0:
+            now, first = 0.0, i
+        now += score
+        if now > best:
+            best, region = now, (first, i + 1)
+    return region
+
+
 def extract(page: str | None) -> str:
     """The main text of a page: blocks in page order joined by one line end, white space inside a block as one space."""
     if not page:
         return ""
-    by, known, runs = weights(), {}, []
-    for words, features, block, text in tokens(page):
+    by, known, runs, scores = weights(), {}, [], []
+    names = frozenset(by)
+    for words, features, block, text in tokens(page, names):
         kind = "word" if not features or not features[0].startswith("tag ") else "tag"
         p = known.get(features)
         if p is None:
             total = by[kind] + sum(by.get(f, 0.0) for f in features)
-            p = 1 / (1 + np.exp(-total)) - 0.5
-            p = known[features] = p if ASIDE.isdisjoint(features) else min(p, -0.25)
+            p = known[features] = 1 / (1 + np.exp(-total)) - 0.5
         # A tag never scores for content, it only parts or joins.
-        runs.append((max(words * p, LEAST) if kind == "word" else min(p, 0.0) * 0.5 - 0.05, p, kind, block, text))
-    best, now, first, region = 0.0, 0.0, 0, (0, 0)
-    for i, run in enumerate(runs):
-        if now <= 0:
-            now, first = 0.0, i
-        now += run[0]
-        if now > best:
-            best, region = now, (first, i + 1)
+        scores.append(words * p if kind == "word" else min(p, 0.0) * 0.5 - 0.05)
+        runs.append((words * p, block, text))
     blocks: dict[int, list[str]] = {}
-    for _, p, kind, block, text in runs[slice(*region)]:
-        if text and (kind == "tag" or p > 0):
+    sums: dict[int, float] = {}
+    for score, block, text in runs[slice(*best_region(scores))]:
+        if text:
             blocks.setdefault(block, []).append(text)
-    lines = (" ".join("".join(parts).split()) for parts in blocks.values())
+            sums[block] = sums.get(block, 0.0) + score
+    lines = (" ".join("".join(parts).split()) for block, parts in blocks.items() if sums[block] > 0)
     return "\n".join(x for x in lines if x)
 
 

@@ -547,3 +547,58 @@ def test_shared_folder_of_a_cluster_must_be_named(spark):
 
     with pytest.raises(ValueError, match="checkpoint.dir"):
         common.shared_folder(Session())
+
+
+A = "Harvest began early on the hills above the lake, and every barn in the valley was full before the end of August."
+B = "Old people said that such a summer had come only twice before, and both times a hard winter had followed it."
+C = "The council has now asked the farms to keep a third of their grain until the spring, whatever the traders offer."
+MENU = "<ul><li><a href='/1'>Start</a></li><li><a href='/2'>Shop</a></li><li><a href='/3'>Team</a></li></ul>"
+LAYOUTS = {
+    "article with an advert": (f"<body><nav>{MENU}</nav><article><h1>Harvest</h1><p>{A}</p><div class='advert'>Cheap tools, order today and save</div><p>{B}</p><p>{C}</p></article><footer>All rights reserved</footer></body>", f"Harvest\n{A}\n{B}\n{C}"),
+    "main and sections": (f"<body><header><div class='logo'>Lake News</div><nav>{MENU}</nav></header><main><section><h2>Harvest</h2><p>{A}</p></section><section><p>{B}</p><p>{C}</p></section></main><footer><p>Imprint</p></footer></body>", f"Harvest\n{A}\n{B}\n{C}"),
+    "divs with ids": (f"<body><div id='navigation'>{MENU}</div><div id='main'><h1>Harvest</h1><p>{A}</p><p>{B}</p></div><div id='sidebar'><p>Follow us on all our channels</p></div><div id='footer'>Imprint</div></body>", f"Harvest\n{A}\n{B}"),
+    "classes without meaning": (f"<body><div class='a1'>{MENU}</div><div class='b2'><h1>Harvest</h1><p>{A}</p><p>{B}</p><p>{C}</p></div></body>", f"Harvest\n{A}\n{B}\n{C}"),
+    "header in the article": (f"<body><nav>{MENU}</nav><article><header><h1>Harvest</h1><p class='header'>{C}</p></header><p>{A}</p><p>{B}</p></article></body>", f"Harvest\n{C}\n{A}\n{B}"),
+    "a formula": (f"<body><main><p>{A}</p><p>Yield is <math><mi>x</mi></math> by field.</p><p>{B}</p></main></body>", f"{A}\nYield is x by field.\n{B}"),
+    "reader comments": (f"<body><article><h1>Harvest</h1><p>{A}</p><p>{B}</p></article><section id='comments'><h3>Comments</h3><div class='comment'><p>{C}</p></div></section></body>", f"Harvest\n{A}\n{B}"),
+    "a form between": (f"<body><article><p>{A}</p><form><p>Write to us if you know more about it</p><input><button>Send</button></form><p>{B}</p><p>{C}</p></article></body>", f"{A}\n{B}\n{C}"),
+    "a notice on top": (f"<body><div class='cookie notice'><p>We use cookies to make this site better for all of you</p></div><div class='content'><h1>Harvest</h1><p>{A}</p><p>{B}</p></div></body>", f"Harvest\n{A}\n{B}"),
+    "lists and a table": (f"<body><aside>{MENU}</aside><article><p>{A}</p><ul><li>{B}</li></ul><table><tr><td>Barley</td><td>{C}</td></tr></table></article><footer>Imprint</footer></body>", f"{A}\n{B}\nBarley\n{C}"),
+    "unclosed paragraphs": (f"<body><nav>{MENU}</nav><article><h1>Harvest<p>{A}<p>{B}<p>{C}</article><footer>Imprint</footer>", f"Harvest\n{A}\n{B}\n{C}"),
+    "plain text": (f"{A} {B}", f"{A} {B}"),
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_html_layouts(layout):
+    page, want = LAYOUTS[layout]
+    assert html_extract.extract(page) == want
+
+
+def test_best_region_against_brute_force():
+    rng = random.Random(13)
+    for _ in range(300):
+        scores = [rng.randrange(-6, 6) + rng.random() for _ in range(rng.randrange(25))]
+        a, b = html_extract.best_region(scores)
+        best = max([0.0, *(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))])
+        assert abs(sum(scores[a:b]) - best) < 1e-9
+
+
+def test_html_takes_linear_time():
+    import time
+
+    for page in ("<b>" * 50000 + "</i>" * 50000, "<div><span>" * 50000, "<b>" * 50000 + "<p>x" * 50000, "".join(f"<div class=c{i}>" for i in range(100000))):
+        began = time.perf_counter()
+        html_extract.extract(page)
+        assert time.perf_counter() - began < 2
+
+
+def test_bpe_odd_rows(spark):
+    docs = table(spark, [(None, "a b", "x"), (1, None, "x"), (2, "", "x"), (3, "same", "x"), (3, "same", "x")])
+    out = bpe.encode_texts(docs)
+    assert out.columns == ["doc_id", "n_tokens", "ids"] and sorted((r["doc_id"] or 0, r["n_tokens"]) for r in out.collect()) == [(0, 2), (1, 0), (2, 0), (3, 1), (3, 1)]
+    assert sorted((r["doc_id"] or 0, bytes(r["bytes"])) for r in bpe.decode_ids(out).collect()) == [(0, b"a b"), (1, b""), (2, b""), (3, b"same"), (3, b"same")]
+    empty = docs.limit(0)
+    assert bpe.encode_digests(empty).count() == bpe.encode_texts(empty).count() == bpe.decode_ids(out.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None, None)], "doc_id long, ids array<int>")
+    assert [bytes(r["bytes"]) for r in bpe.decode_ids(nulls).collect()] == [b""]
