@@ -49,10 +49,10 @@ def cloze_items(stories: DataFrame, lexicon: DataFrame, seed: int, per_phase: in
     An answer occurs once whatever its case, as written in the lexicon, and has enough unrelated words beside it. The theta
     join of stories and words is an equi join on lower-case words here. All choices are seeded hash ranks.
     """
-    words = deduped_lexicon(lexicon)
+    words = deduped_lexicon(lexicon).persist()  # read six times; no larger than the phases' vocabularies
     size = words.groupBy("phase").agg(F.count("*").alias("n"))
-    kin = words.alias("a").join(words.alias("b"), (F.col("a.phase") == F.col("b.phase")) & (F.col("a.stem") == F.col("b.stem"))).groupBy(F.col("a.phase").alias("phase"), F.col("a.word").alias("word")).agg(F.count("*").alias("kin"))
-    able = words.join(kin, ["phase", "word"]).join(size, "phase").where(F.col("n") - F.col("kin") >= N_CANDIDATES - 1).select("phase", "word", F.lower("word").alias("low"), "stem")
+    kin = words.groupBy("phase", "stem").agg(F.count("*").alias("kin"))
+    able = words.join(kin, ["phase", "stem"]).join(size, "phase").where(F.col("n") - F.col("kin") >= N_CANDIDATES - 1).select("phase", "word", F.lower("word").alias("low"), "stem")
     # A text's words are sorted by their lower case; those that stand alone among them occur once. No word of another kind leaves the text.
     pairs = F.array_sort(F.transform(F.regexp_extract_all("story", F.lit(f"({T.WORD})")), lambda w: F.struct(F.lower(w).alias("low"), w.alias("seen"))))
     alone = lambda p: lambda x, i: ((i == 0) | (F.get(p, i - 1)["low"] != x["low"])) & F.coalesce(F.get(p, i + 1)["low"] != x["low"], F.lit(True))
