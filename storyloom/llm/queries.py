@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import ann, bpe, exact_topk, html_extract, line_dedup, mixing, near_dedup, pii, quality, sharding
+from storyloom.llm import ann, bpe, exact_topk, filter_audit, html_extract, line_dedup, mixing, near_dedup, pii, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +63,13 @@ def op10_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii_pseudonyms, op2_line_dedup, op3_vp_tree_neighbours, op4_bounded_ring_sharding, op5_html_extraction, op6_byte_bpe, op7_pivot_top_k, op8_cube_mixing, op9_quality_bags, op10_superminhash_dedup)
+    for f in (op1_pii_pseudonyms, op2_line_dedup, op3_vp_tree_neighbours, op4_bounded_ring_sharding, op5_html_extraction, op6_byte_bpe, op7_pivot_top_k, op8_cube_mixing, op9_quality_bags, op10_superminhash_dedup, op13_filter_audit)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -106,4 +110,34 @@ WITH RECURSIVE docs AS (
 ), label AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(l.component_id, s.doc_id) AS component_id, coalesce(l.component_id, s.doc_id) = s.doc_id AS kept
 FROM sets s LEFT JOIN label l ON l.x = s.doc_id""",
+    "op13_filter_audit": r"""
+WITH docs AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), marks AS (
+    SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), fails AS (
+    SELECT part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b, 100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text) AS c,
+        regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e,
+        coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM docs LEFT JOIN marks USING (doc_id)
+), masks AS (
+    SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY ALL
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit
+), orders AS (
+    SELECT v.f || w.f || x.f || y.f || z.f AS filter_order, [v.bit, w.bit, x.bit, y.bit, z.bit] AS bits FROM letters v, letters w, letters x, letters y, letters z
+    WHERE v.bit | w.bit | x.bit | y.bit | z.bit = 31
+), steps AS (
+    SELECT filter_order, s.step::INTEGER AS step, bits[s.step] AS bit, coalesce(list_sum(bits[1:s.step - 1]), 0)::INTEGER AS earlier FROM orders, range(1, 6) AS s(step)
+), figures AS (
+    SELECT part, filter_order, step, bit,
+        coalesce(sum(n) FILTER (WHERE mask & (earlier | bit) = 0), 0) AS kept,
+        coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & earlier = 0), 0) AS removed,
+        coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & earlier <> 0), 0) AS redundant,
+        coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (WHERE mask & bit <> 0 AND mask & earlier = 0), 0) AS good_lost,
+        coalesce(sum(toxic) FILTER (WHERE mask & bit <> 0 AND mask & earlier = 0), 0) AS toxic_lost
+    FROM masks, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+    good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM figures""",
 }
