@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import ann, bpe, exact_topk, filter_audit, html_extract, line_dedup, mixing, near_dedup, pii, quality, sharding, toxicity
+from storyloom.llm import ann, bpe, exact_topk, filter_audit, html_extract, line_dedup, mixing, near_dedup, pii, quality, sharding, token_alignment, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,13 +70,17 @@ def op11_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audited(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii_pseudonyms, op2_line_dedup, op3_vp_tree_neighbours, op4_bounded_ring_sharding, op5_html_extraction, op6_byte_bpe, op7_pivot_top_k, op8_cube_mixing, op9_quality_bags, op10_superminhash_dedup, op11_ftrl_toxicity, op13_filter_audit)
+    for f in (op1_pii_pseudonyms, op2_line_dedup, op3_vp_tree_neighbours, op4_bounded_ring_sharding, op5_html_extraction, op6_byte_bpe, op7_pivot_top_k, op8_cube_mixing, op9_quality_bags, op10_superminhash_dedup, op11_ftrl_toxicity, op12_token_alignment, op13_filter_audit)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
