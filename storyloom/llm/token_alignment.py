@@ -1,14 +1,15 @@
 """How the tokens of two tokenizers line up: cuts where both end, groups between cuts, links within groups.
 
 The relational work is done once for each distinct segment of the corpus, not for each of its places. A segment begins at a
-blank or line end that follows a character which is no white space; both tokenizers are bound to cut there, so a segment's
-tokens don't hang on its neighbours (where a vocabulary doesn't promise that, a whole text is one segment).
+blank or line end that follows a character which is no white space, or at a sign after a letter: both tokenizers are bound to
+cut there, so a segment's tokens don't hang on its neighbours (where a vocabulary doesn't promise that, a whole text is one
+segment).
 
 1. Documents are dealt into chunks of bounded bytes by row, whatever their texts. A chunk's segments are numbered by
-   frequency, and its documents kept as these numbers.
-2. The distinct segments of all chunks are tokenized. Their tokens are exploded by position, lengths are summed by window to
-   ends, A's and B's ends are joined on segment and end, the cuts met so far number the groups, and the two sides' groups are
-   joined. A group's links are pairs of its different ids with their number, so no group is expanded by occurrence.
+   frequency and named by a 128-bit hash, and its documents kept as these numbers.
+2. The distinct segments of all chunks are tokenized. Their tokens' lengths are exploded by position and summed by window to
+   ends, A's and B's ends are joined on segment and end, and the cuts met so far number the groups. A segment's groups are
+   ranges of its tokens; links are the pairs of a group's different ids with their number, never of their occurrences.
 3. In each chunk the documents that hold an id pair linked are counted, each once; the counts are summed by pair.
 4. Counts and best links are summed by segment, then, in the chunks, by document.
 """
@@ -18,21 +19,23 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import string
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import Tables, by_bytes, give_back, shipped, text_bytes
 
 #: Bytes of text in a chunk, at most but for one long text; there are more chunks if tasks would idle.
-CHUNK_BYTES = 32 << 20
-#: Words that are expanded into pairs at once, in a chunk.
-BLOCK = 1 << 19
+CHUNK_BYTES = 16 << 20
+#: Bytes of packed numbers that are worked on at once in a chunk, and cells of the table of documents and pairs.
+BLOCK, CELLS = 1 << 19, 1 << 23
 #: Fixed value: the mark that stands for a blank in pieces.
 MARK = "▁"
 
@@ -60,34 +63,48 @@ class TokenPair:
         # No piece goes on over a blank or a line end, and both are kept as they are.
         kept = [self.b.encode(t, out_type=str) for t in ("a  b\nc ", "\nab")] == [[MARK + "a", MARK, MARK + "b", "<0x0A>", "c", MARK], [MARK, "<0x0A>", "ab"]]
         self.separable = byte_level and kept and not any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces)
+        # A ends a run of letters at a sign; so does B, if none of its pieces goes on from a letter to it.
+        after = {y for p in pieces for x, y in zip(p, p[1:], strict=False) if x.isalpha()}
+        self.signs = "".join(c for c in string.punctuation if c not in after) if self.separable else ""
 
     def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of A and B of segments of a text with a blank before it; both empty where their bytes are not the segment's."""
         many = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
         of_a = [e.ids for e in many(segments, add_special_tokens=False)]
-        # B puts a blank before what it is given: one is taken off, and where there is none to take off, B's goes.
-        of_b = self.b.encode([s[1:] if s[:1] == " " else s for s in segments], num_threads=1)
+        # B puts a blank before what it is given: one is taken off, and where there is none, a line end keeps B's apart.
+        of_b = self.b.encode([s[1:] if s[:1] == " " else "\n" + s for s in segments], num_threads=1)
         for k, s in enumerate(segments):
             if s == " ":
                 of_b[k] = [self.blank]
             elif s[:1] != " ":
-                of_b[k] = of_b[k][1:] if of_b[k][:1] == [self.blank] else []
+                of_b[k] = of_b[k][2:]
             raw = s.encode()
             if b"".join(map(self.a_bytes.__getitem__, of_a[k])) != raw or b"".join(map(self.b_bytes.__getitem__, of_b[k])) != raw:
                 of_a[k], of_b[k] = [], []
         return of_a, of_b
 
 
-def segment_starts(body: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Where segments begin in texts that lie one after the other: at the texts, and before " " or "\\n" after no white space."""
+LETTERS = np.isin(np.arange(256), np.frombuffer(string.ascii_letters.encode(), np.uint8))
+
+
+def segment_starts(body: np.ndarray, starts: np.ndarray, signs: str) -> np.ndarray:
+    """Where segments begin in texts that lie one after the other: at the texts, before " " or "\\n" after no white space, and before signs after a letter."""
     if not len(body):
         return np.zeros(0, np.int64)
-    at = np.flatnonzero((body == 32) | (body == 10))
+    mark = np.zeros(len(body), bool)
+    mark[starts[:-1][np.diff(starts) > 0]] = True
+    kind = np.zeros(256, np.uint8)
+    kind[[32, 10]] = 1
+    kind[list(signs.encode())] = 2
+    kind = kind[body[1:]]
+    mark[1:] |= (kind == 2) & LETTERS[body[:-1]]
+    mark[1:] |= (kind == 1) & (body[:-1] > 32) & (body[:-1] < 127)
+    at = np.flatnonzero((kind == 1) & (body[:-1] > 127)) + 1
     one, two, three = (np.where(at >= k, body[np.maximum(at - k, 0)], 0) for k in (1, 2, 3))
     # What is white space beyond ASCII lies in these ranges of bytes; some of what they hold isn't, and merely isn't cut after.
-    wide = ((two == 0xC2) & np.isin(one, (0x85, 0xA0))) | ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE2) & np.isin(two, (0x80, 0x81))) | ((three == 0xE3) & (two == 0x80))
-    cut = at[(one > 32) & (one != 127) & ~wide]
-    return np.union1d(cut, starts[:-1][np.diff(starts) > 0])
+    wide = ((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) | ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((three == 0xE3) & (two == 0x80))
+    mark[at[~wide]] = True
+    return np.flatnonzero(mark)
 
 
 def packed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,20 +130,20 @@ def unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.append(0, np.cumsum(last))
 
 
-_CODED = "chunk int, doc_id long, codes binary, code int, seg string"
+_CODED = "chunk int, doc_id long, codes binary, code int, key binary, seg string"
 
 
-def _coder(separable: bool):
-    """A chunk's documents as numbers of segments (`codes`), and the segments by number (`seg`)."""
+def _coder(separable: bool, signs: str):
+    """A chunk's documents as numbers of segments (`codes`), and the segments by number, with their hash."""
 
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         parts, counts = [], []
         for batch in table.combine_chunks().to_batches():
-            for part in by_bytes(batch, "text", 8 << 20):
+            for part in by_bytes(batch, "text", 2 << 20):
                 text = pc.fill_null(part.column("text").cast(pa.large_string()), "")
                 text = pc.if_else(pc.equal(text, ""), text, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), text, pa.scalar("", pa.large_string())))
                 body, starts = text_bytes(text)
-                at = segment_starts(body, starts) if separable else starts[:-1][np.diff(starts) > 0]
+                at = segment_starts(body, starts, signs) if separable else starts[:-1][np.diff(starts) > 0]
                 segs = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(body)).astype(np.int64)), pa.py_buffer(body))
                 parts.append(segs.dictionary_encode())
                 counts.append(np.diff(np.searchsorted(at, starts)))
@@ -140,16 +157,19 @@ def _coder(separable: bool):
         data, at = packed(rank[codes])
         bounds = at[np.append(0, np.cumsum(np.concatenate(counts)))]
         docs, n = table.num_rows, len(names)
+        names = names.take(pa.array(order)).cast(pa.string())
+        keys = pa.array([xxhash.xxh3_128_digest(x) for x in names.cast(pa.binary()).to_pylist()], pa.binary())
         codes = pa.LargeBinaryArray.from_buffers(pa.large_binary(), docs, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
         columns = [
             pa.array(np.full(docs + n, key[0].as_py(), np.int32)),
             pa.concat_arrays([table.column("doc_id").combine_chunks().cast(pa.int64()), pa.nulls(n, pa.int64())]),
             pa.concat_arrays([codes.cast(pa.binary()), pa.nulls(n, pa.binary())]),
             pa.concat_arrays([pa.nulls(docs, pa.int32()), pa.array(np.arange(n, dtype=np.int32))]),
-            pa.concat_arrays([pa.nulls(docs, pa.string()), names.take(pa.array(order)).cast(pa.string())]),
+            pa.concat_arrays([pa.nulls(docs, pa.binary()), keys]),
+            pa.concat_arrays([pa.nulls(docs, pa.string()), names]),
         ]
         give_back()
-        return pa.Table.from_arrays(columns, names=["chunk", "doc_id", "codes", "code", "seg"])
+        return pa.Table.from_arrays(columns, names=["chunk", "doc_id", "codes", "code", "key", "seg"])
 
     return work
 
@@ -186,33 +206,71 @@ def _kept_partitioning(spark: SparkSession):
         spark.conf.set(name, was)
 
 
-def groups(tokens: DataFrame) -> DataFrame:
-    """seg_id and its groups in order, each with the ids of A and of B in order; from seg_id, a, a_len, b, b_len."""
+def cuts(tokens: DataFrame) -> DataFrame:
+    """seg_id and `cut`: for each of its groups in order how many tokens of A and of B end with it or before; from seg_id, a_len, b_len."""
     by = Window.partitionBy("seg_id")
 
-    def ends(ids: str) -> DataFrame:
-        rows = tokens.select("seg_id", F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col(f"{ids}_len").alias("len")))).select("seg_id", "pos", "col.id", "col.len")
-        return rows.select("seg_id", "id", F.sum("len").over(by.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
-
-    def grouped(own: str, other: str) -> DataFrame:
-        cut = ends(own).join(ends(other).select("seg_id", "end", F.lit(1).alias("cut")), ["seg_id", "end"], "left")
-        before = F.coalesce(F.sum("cut").over(by.orderBy("end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rows = cut.select("seg_id", "id", "end", before.alias("g"))
-        return rows.groupBy("seg_id", "g").agg(F.array_sort(F.collect_list(F.struct("end", "id")))["id"].alias(own))
-
-    both = grouped("a", "b").join(grouped("b", "a"), ["seg_id", "g"])
-    return both.groupBy("seg_id").agg(F.array_sort(F.collect_list(F.struct("g", "a", "b"))).alias("groups"))
-
-
-#: Distinct id pairs (A's id in the upper half) that a segment's groups link.
-_PAIRS = "array_distinct(flatten(transform(groups, x -> flatten(transform(array_distinct(x.a), p -> transform(array_distinct(x.b), q -> shiftleft(bigint(p), 32) | bigint(q)))))))"
-_FACTS = {
-    "n_a": "aggregate(groups, 0L, (s, x) -> s + size(x.a))",
-    "n_b": "aggregate(groups, 0L, (s, x) -> s + size(x.b))",
-    "n_groups": "bigint(size(groups))",
-    "n_links": "aggregate(groups, 0L, (s, x) -> s + bigint(size(x.a)) * size(x.b))",
-    "text": "concat(array_join(transform(groups, x -> concat(array_join(x.a, ','), '|', array_join(x.b, ','))), ';'), ';')",
-}
+    def ends(side: str) -> DataFrame:
+        rows = tokens.select("seg_id", F.posexplode(f"{side}_len").alias("pos", "len"))
+        return rows.select("seg_id", F.sum("len").over(by.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("end"), (F.col("pos") + 1).alias(side))
+
+    both = ends("a").join(ends("b"), ["seg_id", "end"])
+    group = F.count(F.lit(1)).over(by.orderBy("end").rowsBetween(Window.unboundedPreceding, -1)).cast("int").alias("g")
+    return both.select("seg_id", group, "a", "b").groupBy("seg_id").agg(F.array_sort(F.collect_list(F.struct("g", "a", "b"))).alias("cut"))
+
+
+_FACTS = "struct<n_a long, n_b long, n_groups long, n_links long, text string, pairs array<long>, times array<long>>"
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all lists, and where each list's begin (one more entry)."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
+
+
+def segment_facts(a: pa.Array, b: pa.Array, cut_a: pa.Array, cut_b: pa.Array) -> pa.Array:
+    """Of segments: tokens, groups and links, the groups as text, and the linked id pairs (A's id in the upper half) with how often."""
+    ids, sizes, owner, group, last = {}, {}, None, {}, {}
+    for side, tokens, cut in (("a", a, cut_a), ("b", b, cut_b)):
+        ids[side], starts = _flat(tokens)
+        upto, bounds = _flat(cut)
+        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))  # of each group, its segment
+        before = np.append(0, upto[:-1])
+        before[bounds[:-1][np.diff(bounds) > 0]] = 0
+        sizes[side] = upto - before
+        group[side] = np.repeat(np.arange(len(upto)), sizes[side])
+        last[side] = np.cumsum(sizes[side]) - 1
+    n = len(bounds) - 1
+    total = lambda x: np.diff(np.append(0, np.cumsum(x))[bounds])
+    # The text: each id with what follows it, A's before B's in each group, is one piece; pieces lie in their order.
+    pieces, places = [], []
+    for side, by, end in (("a", 0, "|"), ("b", 1, ";")):
+        mark = np.full(len(ids[side]), ",", object)
+        mark[last[side]] = end
+        pieces.append(pc.binary_join_element_wise(pa.array(ids[side]).cast(pa.large_string()), pa.array(mark, pa.large_string()), pa.scalar("", pa.large_string())))
+        places.append(group[side] * 2 + by)
+    place = np.concatenate(places)
+    pieces = pa.concat_arrays(pieces).take(pa.array(np.argsort(place, kind="stable")))
+    body, at = text_bytes(pieces)
+    many = total(sizes["a"]) + total(sizes["b"])
+    text = pa.LargeStringArray.from_buffers(n, pa.py_buffer(at[np.append(0, np.cumsum(many))].astype(np.int64)), pa.py_buffer(body)).cast(pa.string())
+    # The links: a group's different ids of A, each with its different ids of B.
+    wide = max((int(x.max()) for x in ids.values() if len(x)), default=0) + 1
+    kinds = {s: np.unique(group[s] * wide + ids[s], return_counts=True) for s in "ab"}
+    of = {s: np.append(np.searchsorted(k // wide, np.arange(len(owner))), len(k)) for s, (k, _) in kinds.items()}
+    with_b = np.diff(of["b"])[kinds["a"][0] // wide]
+    left = np.repeat(np.arange(len(with_b)), with_b)
+    right = np.arange(with_b.sum()) - np.repeat(np.cumsum(with_b) - with_b, with_b) + of["b"][kinds["a"][0][left] // wide]
+    key = owner[kinds["a"][0][left] // wide] * wide**2 + kinds["a"][0][left] % wide * wide + kinds["b"][0][right] % wide
+    pair, back = np.unique(key, return_inverse=True)
+    times = np.zeros(len(pair), np.int64)
+    np.add.at(times, back, kinds["a"][1][left] * kinds["b"][1][right])
+    at = pa.array(np.append(np.searchsorted(pair // wide**2, np.arange(n)), len(pair)).astype(np.int32))
+    pair %= wide**2
+    lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in ((pair // wide << 32) | pair % wide, times)]
+    sums = [total(sizes["a"]), total(sizes["b"]), np.diff(bounds), total(sizes["a"] * sizes["b"])]
+    return pa.StructArray.from_arrays([*(pa.array(x.astype(np.int64)) for x in sums), text, *lists], names=["n_a", "n_b", "n_groups", "n_links", "text", "pairs", "times"])
+
+
 _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -237,16 +295,28 @@ def _count_pairs(coded: pa.Table, segments: pa.Table) -> pa.Table:
     size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     begin = np.append(0, np.cumsum(size))[:-1]
     pair, number = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-    held = np.zeros(len(pair), np.int64)
+    held, wide = np.zeros(len(pair), np.int64), max(len(pair), 1)
+
+    def linked(codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        n = size[codes]
+        at = np.repeat(begin[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(doc, n) * wide + number[at]
+
     for _, codes, bounds in _documents(coded):
         doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         bad = np.zeros(len(bounds) - 1, bool)
         bad[doc[void[codes]]] = True
-        key = np.unique((doc * len(size) + codes)[~bad[doc]])
-        doc, code = np.divmod(key, max(len(size), 1))
-        n = size[code]
-        at = np.repeat(begin[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        held += np.bincount(np.unique(np.repeat(doc, n) * max(len(pair), 1) + number[at]) % max(len(pair), 1), minlength=len(pair))
+        codes, doc = codes[~bad[doc]], doc[~bad[doc]]
+        rows = max(1, CELLS // wide)  # documents that are marked in a table at once
+        if len(bounds) * wide > 64 * size[codes].sum():  # short documents, many pairs
+            key = np.unique(doc * len(size) + codes) if len(codes) else codes
+            held += np.bincount(np.unique(linked(key % len(size), key // len(size))) % wide, minlength=len(pair)) if len(codes) else 0
+            continue
+        for first in range(0, len(bounds) - 1, rows):
+            a, b = np.searchsorted(doc, (first, first + rows))
+            seen = np.zeros(rows * wide, bool)
+            seen[linked(codes[a:b], doc[a:b] - first)] = True
+            held += seen.reshape(rows, wide).sum(axis=0)[: len(pair)]
     give_back()
     some = held > 0
     return pa.table({"pair": pair[some].astype(np.int64), "docs": held[some]})
@@ -299,25 +369,24 @@ def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
         a_json, b_model = f.read(), g.read()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("chunk", chunk_of(docs, F.col(text_col)))
     tables, last = Tables(spark), Tables(spark)
-    coded = last.write(rows.groupBy("chunk").applyInArrow(_coder(TokenPair(a_json, b_model).separable), _CODED), "align-coded")
-    texts, segments = coded.where("codes is not null").select("chunk", "doc_id", "codes"), coded.where("seg is not null").select("chunk", "code", "seg")
-    tokens = segments.select("seg").distinct().select("seg", _tokenizer(a_json, b_model)("seg").alias("t"))
-    tokens = tables.write(tokens.select(F.monotonically_increasing_id().alias("seg_id"), "seg", "t.*"), "align-tokens")
+    pair = TokenPair(a_json, b_model)
+    coded = last.write(rows.groupBy("chunk").applyInArrow(_coder(pair.separable, pair.signs), _CODED), "align-coded")
+    texts, places = coded.where("codes is not null").select("chunk", "doc_id", "codes"), coded.where("seg is not null").select(F.col("chunk").alias("part"), "code", "key")
+    tokens = coded.where("seg is not null").select("key", "seg").distinct().select("key", _tokenizer(a_json, b_model)("seg").alias("t"))
+    tokens = tables.write(tokens.select(F.monotonically_increasing_id().alias("seg_id"), "key", "t.*"), "align-tokens")
+    facts = F.arrow_udf(segment_facts, _FACTS)("a", "b", F.col("cut.a"), F.col("cut.b"))
     with _kept_partitioning(spark):
-        aligned_segments = tables.write(groups(tokens.drop("seg")), "align-groups")
-    places = last.write(segments.join(tokens.select("seg", "seg_id"), "seg").select("chunk", "code", "seg_id"), "align-places")
+        with_cuts = tokens.select("seg_id", "key", "a", "b").join(cuts(tokens), "seg_id").select("key", facts.alias("f"))
+        segments = tables.write(with_cuts.select("key", "f.*"), "align-segments")
     # The tasks of a chunk read its documents and its segments; both are bounded by the bytes of a chunk.
-    in_chunks = lambda facts, work, schema: texts.groupBy("chunk").cogroup(places.join(facts, "seg_id", "left").drop("seg_id").groupBy("chunk")).applyInArrow(work, schema)
-    counted = in_chunks(aligned_segments.select("seg_id", F.expr(_PAIRS).alias("pairs")), _count_pairs, "pair long, docs long")
+    in_chunks = lambda of, work, schema: texts.groupBy("chunk").cogroup(places.join(of, "key", "left").drop("key").groupBy("part")).applyInArrow(work, schema)
+    counted = in_chunks(segments.select("key", "pairs"), _count_pairs, "pair long, docs long")
     counts = tables.write(counted.groupBy("pair").agg(F.sum("docs").alias("docs")), "align-counts")
     a_id = F.shiftright("pair", 32)
     top = counts.groupBy(a_id.alias("a")).agg(F.max("docs").alias("top"))  # a row for each id of A at most
     scored = counts.withColumn("a", a_id).join(F.broadcast(top), "a").select("pair", "docs", (F.col("docs") == F.col("top")).cast("long").alias("best"))
-    often = lambda side: f"transform(array_distinct(x.{side}), p -> struct(p as id, bigint(size(filter(x.{side}, q -> q = p))) as n))"
-    linked = aligned_segments.select("seg_id", F.explode(F.expr(f"transform(groups, x -> struct({often('a')} as a, {often('b')} as b))")).alias("x"))
-    linked = linked.select("seg_id", F.explode("x.a").alias("p"), F.col("x.b").alias("b")).select("seg_id", "p", F.explode("b").alias("q"))
-    linked = linked.select("seg_id", F.shiftleft(F.col("p.id").cast("long"), 32).bitwiseOR(F.col("q.id").cast("long")).alias("pair"), (F.col("p.n") * F.col("q.n")).alias("n"))
-    sums = linked.join(scored, "pair").groupBy("seg_id").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("docs")).alias("count_sum"))
-    facts = last.write(aligned_segments.select("seg_id", *(F.expr(e).alias(k) for k, e in _FACTS.items())).join(sums, "seg_id"), "align-facts")
+    linked = segments.select("key", F.inline(F.arrays_zip(F.col("pairs").alias("pair"), F.col("times").alias("n"))))
+    sums = linked.join(scored, "pair").groupBy("key").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("docs")).alias("count_sum"))
+    facts = last.write(segments.drop("pairs", "times").join(sums, "key"), "align-facts")
     tables.drop()
     return in_chunks(facts, _per_document, _RESULT)

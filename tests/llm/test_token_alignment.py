@@ -98,14 +98,14 @@ def test_whole_texts_where_segments_are_not_promised(spark, pair, monkeypatch):
     rows = list(enumerate(texts))
     want = sorted(((i, *w) for i, w in enumerate(plain(pair, texts))), key=str)
     real = token_alignment._coder
-    monkeypatch.setattr(token_alignment, "_coder", lambda separable: real(False))
+    monkeypatch.setattr(token_alignment, "_coder", lambda separable, signs: real(False, ""))
     assert run(spark, rows) == want
 
 
 def test_segments_and_packed_numbers():
     texts = ["a b\nc", "", " x  y", "é z  q"]
     body, starts = text_bytes(pa.array(texts))
-    at = [*token_alignment.segment_starts(body, starts).tolist(), len(body)]
+    at = [*token_alignment.segment_starts(body, starts, ".'").tolist(), len(body)]
     assert [bytes(body[a:b]).decode() for a, b in zip(at, at[1:])] == ["a", " b", "\nc", " x", "  y", "é", " z  q"]
     numbers = np.array([0, 1, 127, 128, 16383, 16384, 2097151, 2097152, (1 << 28) - 1])
     data, at = token_alignment.packed(numbers)
@@ -115,4 +115,4 @@ def test_segments_and_packed_numbers():
 
 
 def test_pieces_go_over_no_segment(pair):
-    assert pair.separable
+    assert pair.separable and set(".,;!?") <= set(pair.signs)
