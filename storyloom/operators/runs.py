@@ -5,22 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.functions import text as T
 from storyloom.operators import guard
 
-#: What a run id looks like, and what its commit record must hold.
-RUN_ID = r"^(phase0|A|B|C|D|D-nr|E)_s(\d+)_([0-9a-f]{7})_(\d{8}T\d{6}Z)$"
-REQUIRED = ("commit", "branch", "dirty", "torch", "cuda")
+#: What a run id looks like, and what its commit record must hold, none of it empty.
+RUN_ID = r"^([A-Za-z0-9-]+)_s(\d+)_([0-9a-fA-F]{7})_(\d{8}T\d{6}Z)$"
+REQUIRED = ("commit", "dirty", "torch", "cuda", "driver")
+#: What ends a line, as str.splitlines() has it.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def commit_fields(text: Column) -> Column:
     """'key: value' lines as a map; keys lower-cased and stripped, of repeated keys the last."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.instr(x, ":") > 0)
-    pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("v")))
+    lines = F.filter(F.split(text, LINE_END), lambda x: F.instr(x, ":") > 0)
+    pairs = F.transform(lines, lambda x: F.struct(F.lower(T.stripped(F.substring_index(x, ":", 1))).alias("k"), T.stripped(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("v")))
     keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
     last = lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]
     return F.map_from_arrays(keys, F.transform(keys, last))
 
 
+def incomplete(fields: Column) -> Column:
+    """Whether a commit record lacks a required key, or has it without a value."""
+    return F.exists(F.array(*map(F.lit, REQUIRED)), lambda k: F.coalesce(F.try_element_at(fields, k), F.lit("")) == "")
+
+
 def run_id_parts(run_id: Column) -> list[Column]:
     return [F.regexp_extract(run_id, RUN_ID, i).alias(n) for i, n in ((1, "arm"), (2, "seed"), (3, "commit7"), (4, "started"))]
 
@@ -28,11 +36,12 @@ def run_id_parts(run_id: Column) -> list[Column]:
 def rules(run: DataFrame) -> list[tuple[str, Column]]:
     """Failures in their fixed order, over columns run_id, commit_txt, phases, gpu_name, gpu_hours, hashes."""
     fields = commit_fields(F.coalesce("commit_txt", F.lit("")))
+    dirty = F.lower(F.try_element_at(fields, F.lit("dirty")))
     ascending = F.forall(F.sequence(F.lit(1), F.greatest(F.size("phases") - 1, F.lit(1))), lambda i: (F.size("phases") < 2) | (F.try_element_at("phases", i) < F.try_element_at("phases", i + 1)))
     return [
         ("files", F.col("commit_txt").isNull()),
-        ("commit", F.size(F.array_intersect(F.map_keys(fields), F.array(*map(F.lit, REQUIRED)))) < len(REQUIRED)),
-        ("dirty", ~F.coalesce(F.lower(F.try_element_at(fields, F.lit("dirty"))) == "false", F.lit(False))),
+        ("commit", incomplete(fields) | ~dirty.isin("true", "false")),
+        ("dirty", ~F.coalesce(dirty == "false", F.lit(False))),
         ("run_id", ~F.col("run_id").rlike(RUN_ID)),
         ("phases", F.col("phases").isNull() | (F.size("phases") == 0) | ~F.coalesce(F.element_at(F.concat("phases", F.array(F.lit(-1))), 1) == 0, F.lit(False)) | ~ascending | F.exists("phases", lambda p: (p < 0) | (p > 6))),
         ("gpu_name", F.coalesce(F.trim("gpu_name"), F.lit("")) == ""),
@@ -67,7 +76,8 @@ def gpu_ratio(runs: DataFrame, arm: str = "D", other: str = "B") -> DataFrame:
     return a.join(b, "seed").select("seed", F.round(F.col("h") / F.col("o"), 9).alias("ratio"))
 
 
-#: The files of a run folder, the exams of its matrix, the phases there are, and a hash that differs by run.
+#: What arm and seed a run folder's name tells, the files of a run folder, the exams of its matrix, the phases there are, and a hash that differs by run.
+NAMED = r"^(?:(.*?)_)?s(\d+)(?:_|$)"
 FILES, EXAMS, PHASES, PER_RUN_HASH = ("commit.txt", "matrix.json", "timings.json", "config.json"), ("perplexity", "cloze", "continuation", "continuation_summed"), 7, "fingerprint"
 MATRIX = "untrained map<string, array<double>>, M map<string, array<array<double>>>"
 TIMINGS = "per_phase array<struct<phase: int, train_s: double, consolidate_s: double, eval_s: double>>, gpu_hours double, gpu_name string"
@@ -96,7 +106,7 @@ def parsed(folders: DataFrame) -> DataFrame:
     whole = lambda c: F.when(F.try_parse_json(c).isNotNull() & F.coalesce(F.trim(c).startswith("{"), F.lit(False)), c)
     out = folders.withColumns({"m": F.from_json(whole(F.regexp_replace("matrix", r'(?<!")(-?\bInfinity\b|\bNaN\b)(?!")', '"$1"')), MATRIX), "t": F.from_json(whole(F.col("timings")), TIMINGS), "c": F.from_json(whole(F.col("config")), CONFIG)})
     every = F.array(*[F.lit(k) for k in range(PHASES)])
-    return out.withColumns({"phases": F.coalesce("c.phases", every), "hashes": flat_hashes(F.col("c.hashes"))})
+    return out.withColumns({"phases": F.coalesce("c.phases", every), "hashes": flat_hashes(F.col("c.hashes")), "fields": commit_fields(F.coalesce("commit_txt", F.lit("")))})
 
 
 def _bad_phases(phases: Column) -> Column:
@@ -129,19 +139,19 @@ def loaded(folders: DataFrame) -> DataFrame:
     reason: the first rule that refuses the run, in their fixed order; null for a usable one. folders: (run_id, commit_txt,
     matrix, timings, config) as texts.
     """
-    rows, fields = parsed(folders), commit_fields(F.coalesce("commit_txt", F.lit("")))
+    rows, fields = parsed(folders), F.col("fields")
     dirty = F.lower(F.try_element_at(fields, F.lit("dirty")))
     names = dict(zip(FILES, ("commit_txt", "matrix", "timings", "config"), strict=True))
     phases = F.col("phases")
     found = [(f"missing {f}", F.col(names[f]).isNull()) for f in FILES]
     found += [("unreadable", F.col("m").isNull() | F.col("t").isNull() | F.col("c").isNull())]
-    found += [("commit", (F.size(F.array_intersect(F.map_keys(fields), F.array(*map(F.lit, REQUIRED)))) < len(REQUIRED)) | ~dirty.isin("true", "false")), ("dirty", dirty == "true"), ("phases", _bad_phases(phases))]
+    found += [("commit", incomplete(fields) | ~dirty.isin("true", "false")), ("dirty", dirty == "true"), ("phases", _bad_phases(phases))]
     found += [("blocks", F.col("m.M").isNull() | F.col("m.untrained").isNull())]
     for e in EXAMS:
         found += [(f"matrix {e}", _block_bad(e, phases, phases)), (f"untrained {e}", _untrained_bad(e, phases))]
     found += [("gpu_name", F.coalesce(F.trim("t.gpu_name"), F.lit("")) == ""), ("gpu_hours", F.col("t.gpu_hours").isNull()), ("hashes", F.coalesce(F.size("hashes"), F.lit(0)) <= 0)]
     new, replay = F.col("c.token_budget.total_new_phase_tokens"), F.col("c.token_budget.total_replay_tokens")
-    arm, seed = (F.nullif(F.regexp_extract("run_id", RUN_ID, i), F.lit("")) for i in (1, 2))
+    arm, seed = (F.nullif(F.regexp_extract("run_id", NAMED, i), F.lit("")) for i in (1, 2))
     return rows.select(
         "run_id", _first(found).alias("reason"), F.coalesce("c.arm", arm, F.lit("?")).alias("arm"), F.coalesce("c.seed", seed.cast("int"), F.lit(-1)).alias("seed"),
         F.coalesce("c.pilot", F.lit(False)).alias("pilot"), F.try_element_at(fields, F.lit("commit")).alias("commit"), F.trim("t.gpu_name").alias("gpu_name"), F.col("t.gpu_hours").alias("gpu_hours"),
@@ -156,8 +166,8 @@ def validated(folders: DataFrame) -> DataFrame:
     """
     rows = parsed(folders.where(~F.col("run_id").rlike("^[._]")))
     there = lambda c: F.col(c).isNotNull()
-    lines = F.filter(F.split("commit_txt", "\n"), lambda x: F.lower(F.trim(F.substring_index(x, ":", 1))) == "dirty")
-    dirty = F.lower(F.trim(F.substring_index(F.get(F.filter(lines, lambda x: F.instr(x, ":") > 0), F.lit(0)), ":", -1)))
+    lines = F.filter(F.split("commit_txt", LINE_END), lambda x: (F.instr(x, ":") > 0) & (F.lower(T.stripped(F.substring_index(x, ":", 1))) == "dirty"))
+    dirty = T.once(F.get(lines, F.lit(0)), lambda x: F.lower(T.stripped(F.substring(x, F.instr(x, ":") + 1, F.length(x)))))
     declared = F.when(_bad_phases(F.col("phases")), F.array(*[F.lit(k) for k in range(PHASES)])).otherwise(F.col("phases"))
     trained = F.when(F.col("c.arm") == "phase0", F.array(F.lit(0))).otherwise(declared)
     arm, seed, commit7 = (F.regexp_extract("run_id", RUN_ID, i) for i in (1, 2, 3))

@@ -34,10 +34,10 @@ ORACLES["cloze_contract"] = _rules(
 ORACLES["phase_rows"] = """WITH x AS (SELECT (doc_id % 7)::INTEGER AS phase, doc_id::VARCHAR AS id, doc_id AS d, text FROM documents)
 SELECT phase, id, 'phase' AS rule FROM x WHERE d % 9 = 2 UNION ALL SELECT phase, id, 'holds the mask' FROM x WHERE (d % 8 = 1 AND text IS NOT NULL) OR contains(text, '[MASK]')"""
 
-_E = """e AS (SELECT event_id AS e, event_id % 29 = 6 AS no_commit, event_id % 31 = 7 AS no_matrix, event_id % 37 = 8 AS broken, event_id % 11 = 1 AS dirt, event_id % 83 = 19 AS maybe, event_id % 79 = 18 AS no_dirt, event_id % 13 = 2 AS no_cuda,
+_E = """e AS (SELECT event_id AS e, event_id % 29 = 6 AS no_commit, event_id % 31 = 7 AS no_matrix, event_id % 37 = 8 AS broken, event_id % 11 = 1 AS dirt, event_id % 83 = 19 AS maybe, event_id % 79 = 18 AS no_dirt, event_id % 13 = 2 OR event_id % 97 = 21 AS no_cuda, event_id % 101 = 22 AS no_driver,
     event_id % 17 = 3 AS other_commit, event_id % 19 = 4 OR event_id % 23 = 5 AS bad_phases, event_id % 67 = 15 AS subset, event_id % 41 = 9 AS no_cloze, event_id % 43 = 10 AS untrained, event_id % 47 = 11 AS nan, event_id % 53 = 12 AS no_name, event_id % 59 = 13 AS no_hours,
     event_id % 61 = 14 AS no_hashes, event_id % 71 = 16 AS pilot, event_id % 73 = 17 AS phase0, event_id % 89 = 20 AS seed FROM events)"""
-ORACLES["run_loads"] = f"""WITH {_E}, r AS (SELECT CASE WHEN no_commit THEN 'missing commit.txt' WHEN no_matrix THEN 'missing matrix.json' WHEN broken THEN 'unreadable' WHEN no_dirt OR no_cuda OR (maybe AND NOT dirt) THEN 'commit' WHEN dirt THEN 'dirty' WHEN bad_phases THEN 'phases'
+ORACLES["run_loads"] = f"""WITH {_E}, r AS (SELECT CASE WHEN no_commit THEN 'missing commit.txt' WHEN no_matrix THEN 'missing matrix.json' WHEN broken THEN 'unreadable' WHEN no_dirt OR no_cuda OR no_driver OR (maybe AND NOT dirt) THEN 'commit' WHEN dirt THEN 'dirty' WHEN bad_phases THEN 'phases'
     WHEN untrained AND NOT subset THEN 'untrained perplexity' WHEN no_cloze THEN 'matrix cloze' WHEN nan AND NOT subset THEN 'matrix continuation' WHEN no_name THEN 'gpu_name' WHEN no_hours THEN 'gpu_hours' WHEN no_hashes THEN 'hashes' WHEN pilot THEN 'pilot' ELSE 'usable' END AS reason FROM e)
 SELECT reason, count(*)::BIGINT AS n FROM r GROUP BY reason"""
 _SUBSET = "(subset AND NOT bad_phases AND NOT broken)"

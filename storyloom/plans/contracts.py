@@ -106,7 +106,7 @@ def folders(spark: SparkSession, sf: str) -> DataFrame:
     blocks = F.concat_ws(", ", named("perplexity", whole), F.when(~bad(41, 9), named("cloze", whole)), named("continuation", F.when(bad(47, 11), last_nan).otherwise(whole)), named("continuation_summed", whole))
     untrained = F.concat_ws(", ", named("perplexity", F.when(bad(43, 10), "[1,1,1,1,1,1,null]").otherwise(row)), *[named(x, F.lit(row)) for x in runs.EXAMS[1:]])
     text = F.concat(F.lit('{"untrained": {'), untrained, F.lit('}, "M": {'), blocks, F.lit("}}"))
-    commit = F.concat(F.lit("commit: abcdef0123\nbranch: main\n"), F.when(bad(79, 18), "").otherwise(F.concat(F.lit("Dirty: "), F.when(bad(11, 1), "true").when(bad(83, 19), "maybe").otherwise("false"))), F.lit("\ntorch: 1\n"), F.when(bad(13, 2), "").otherwise("cuda: 2"))
+    commit = F.concat(F.lit("commit: abcdef0123\nbranch: main\n"), F.when(bad(79, 18), "").otherwise(F.concat(F.lit("Dirty: "), F.when(bad(11, 1), "true").when(bad(83, 19), "maybe").otherwise("false"))), F.lit("\r\ntorch: 1\r\n"), F.when(bad(13, 2), "").when(bad(97, 21), "cuda: \n").otherwise("cuda: 2\n"), F.when(bad(101, 22), "").otherwise("driver: 5"))
     arm = F.when(bad(73, 17), "phase0").otherwise("A")
     run_id = F.concat(arm, F.lit("_s"), (e % 3).cast("string"), F.lit("_abcdef0_"), F.lpad(e.cast("string"), 8, "0"), F.lit("T000000Z"))
     phases = F.when(bad(19, 4), "[0,3,2]").when(bad(23, 5), "[1,2]").when(bad(67, 15), "[0,3]").otherwise("[0,1,2,3,4,5,6]")

@@ -242,7 +242,7 @@ _LEDGER = "led AS (SELECT ['phase0', 'A', 'B', 'C', 'D', 'D-nr', 'E'][user_id %
 ORACLES["gpu_ratio"] = f"WITH {_LEDGER}, h AS (SELECT arm, seed, sum(floor(gpu_hours * 100)::BIGINT) / 100 AS h FROM led GROUP BY ALL) SELECT a.seed, round(a.h / b.h, 9) AS ratio FROM h a JOIN h b ON b.seed = a.seed WHERE a.arm = 'D' AND b.arm = 'B' AND b.h <> 0"
 ORACLES["majority_filter"] = """WITH c AS (SELECT source AS arm, lang AS value, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY ALL)
 SELECT arm, value, n::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY n DESC, first) AS k FROM c) WHERE k = 1"""
-_RULES = """e AS (SELECT event_id % 29 = 6 AS files, event_id % 13 = 2 AS no_cuda, event_id % 11 = 1 AS dirt, event_id % 17 = 3 AS rid, event_id % 19 = 4 OR event_id % 23 = 5 AS ph, event_id % 31 = 7 AS gn, event_id % 37 = 8 OR value IS NULL OR isnan(value) OR value < 0 AS gh, event_id % 41 = 9 AS hs FROM events)"""
+_RULES = """e AS (SELECT event_id % 29 = 6 AS files, event_id % 13 = 2 OR event_id % 43 = 3 AS no_cuda, event_id % 11 = 1 AS dirt, event_id % 17 = 3 AS rid, event_id % 19 = 4 OR event_id % 23 = 5 AS ph, event_id % 31 = 7 AS gn, event_id % 37 = 8 OR value IS NULL OR isnan(value) OR value < 0 AS gh, event_id % 41 = 9 AS hs FROM events)"""
 ORACLES["run_exclusions"] = f"""WITH {_RULES}, r AS (SELECT CASE WHEN files THEN 'files' WHEN no_cuda THEN 'commit' WHEN dirt THEN 'dirty' WHEN rid THEN 'run_id' WHEN ph THEN 'phases' WHEN gn THEN 'gpu_name' WHEN gh THEN 'gpu_hours' WHEN hs THEN 'hashes' END AS reason FROM e)
 SELECT reason, count(*)::BIGINT AS n FROM r WHERE reason IS NOT NULL GROUP BY reason"""
 ORACLES["run_failures"] = f"""WITH {_RULES}, r AS (SELECT unnest(list_filter([CASE WHEN files THEN 'files' END, CASE WHEN files OR no_cuda THEN 'commit' END, CASE WHEN files OR dirt THEN 'dirty' END, CASE WHEN rid THEN 'run_id' END, CASE WHEN ph THEN 'phases' END, CASE WHEN gn THEN 'gpu_name' END, CASE WHEN gh THEN 'gpu_hours' END, CASE WHEN hs THEN 'hashes' END], lambda x: x IS NOT NULL)) AS rule FROM e)

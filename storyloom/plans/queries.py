@@ -299,7 +299,7 @@ def _folders(spark: SparkSession, sf: str) -> DataFrame:
     e = V.table(spark, sf, "events")
     bad = lambda k, m: F.pmod("event_id", F.lit(m)) == k
     dirty = F.when(bad(1, 11), "true").otherwise("false")
-    commit = F.concat(F.lit("commit: abc\nbranch: main\nDirty: "), dirty, F.lit("\ntorch: 1\n"), F.when(bad(2, 13), "").otherwise("cuda: 2"))
+    commit = F.concat(F.lit("commit: abc\nbranch: main\nDirty: "), dirty, F.lit("\r\ntorch: 1\r\n"), F.when(bad(2, 13), "").otherwise("cuda: 2\n"), F.when(bad(3, 43), "driver: ").otherwise("driver: 5"))
     run_id = F.concat(F.lit("A_s"), F.pmod("event_id", F.lit(3)).cast("string"), F.when(bad(3, 17), "_").otherwise("_abcdef0"), F.lit("_20250101T000000Z"))
     phases = F.when(bad(4, 19), F.array(F.lit(0), F.lit(3), F.lit(2))).when(bad(5, 23), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(3), F.lit(6)))
     return e.select("event_id", run_id.alias("run_id"), F.when(~bad(6, 29), commit).alias("commit_txt"), phases.alias("phases"), F.when(~bad(7, 31), "gpu").alias("gpu_name"), F.when(~bad(8, 37), F.col("value")).alias("gpu_hours"), F.when(~bad(9, 41), F.create_map(F.lit("data"), F.lit("x"))).alias("hashes"))
