@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
+from storyloom.functions.leaves import json_strings
 
 #: Fixed value: violations listed in a refusal.
 MAX_LISTED = 50
@@ -70,17 +71,23 @@ def manifest_violations(manifest: DataFrame) -> DataFrame:
     return out.unionByName(_rows(manifest.groupBy("story_id").count().where("count > 1"), "duplicate", F.col("story_id"), F.col("count")))
 
 
+def _looked_up(leaves: DataFrame, manifest: DataFrame) -> DataFrame:
+    """leaves without their values, with reason and story_id, both null where a leaf is no hit. Only hashes are shuffled."""
+    prompts = manifest.where("prompt_hash is not null").groupBy(F.sha2("prompt_hash", 256).alias("plain")).agg(F.max("story_id").cast("string").alias("by_prompt"))
+    stories = manifest.groupBy(F.lower("story_sha256").alias("sha")).agg(F.max("story_id").cast("string").alias("by_story"))
+    out = leaves.withColumns({"plain": F.sha2("value", 256), "sha": T.story_sha256(F.col("value"))}).drop("value")
+    out = out.join(prompts, "plain", "left").join(stories, "sha", "left").drop("plain", "sha")
+    reason = F.when(F.col("by_prompt").isNotNull(), "prompt_hash").when(F.col("by_story").isNotNull(), "story_sha256")
+    return out.withColumns({"reason": reason, "story_id": F.coalesce("by_prompt", "by_story")}).drop("by_prompt", "by_story")
+
+
 def leaf_hits(leaves: DataFrame, manifest: DataFrame) -> DataFrame:
     """String leaves (entity, location, value) that equal an exam prompt hash or else hold an exam story.
 
     A leaf that equals a prompt hash isn't looked up as a story as well. A story hash or a prompt hash that two entries share
     is that of the larger id.
     """
-    prompts = manifest.groupBy(F.col("prompt_hash").alias("value")).agg(F.lit("prompt_hash").alias("reason"), F.max("story_id").cast("string").alias("story_id"))
-    stories = manifest.groupBy(F.lower("story_sha256").alias("sha")).agg(F.max("story_id").cast("string").alias("by_story"))
-    out = leaves.join(prompts, "value", "left").withColumn("sha", T.story_sha256(F.col("value"))).join(stories, "sha", "left")
-    out = out.withColumn("reason", F.coalesce("reason", F.when(F.col("by_story").isNotNull(), "story_sha256")))
-    return out.where("reason is not null").select("entity", "location", "reason", F.coalesce("story_id", "by_story").alias("story_id"))
+    return _looked_up(leaves, manifest).where("reason is not null").select("entity", "location", "reason", "story_id")
 
 
 def leaves_of(df: DataFrame, entity: str, columns: list[str]) -> DataFrame:
@@ -90,17 +97,8 @@ def leaves_of(df: DataFrame, entity: str, columns: list[str]) -> DataFrame:
 
 
 def json_leaves(df: DataFrame, entity: str, column: str) -> DataFrame:
-    """Every string leaf at any depth of a column of JSON documents, keys left out, by a recursive query over variants."""
-    view = f"json_leaves_{abs(hash((entity, column))) % 10**8}"
-    df.select(F.col(entity).cast("string").alias("entity"), F.try_parse_json(F.col(column)).alias("v")).where("v is not null").createOrReplaceTempView(view)
-    return df.sparkSession.sql(f"""
-        WITH RECURSIVE walk(entity, location, v) AS (
-            SELECT entity, '$', v FROM {view}
-            UNION ALL
-            SELECT w.entity, concat(w.location, '.', coalesce(e.key, cast(e.pos AS string))), e.value
-            FROM walk w, LATERAL variant_explode(w.v) e WHERE schema_of_variant(w.v) RLIKE '^(OBJECT|ARRAY)'
-        )
-        SELECT entity, location, cast(v AS string) AS value FROM walk WHERE schema_of_variant(v) = 'STRING'""")
+    """(entity, location, value) of every string leaf at any depth of a column of JSON documents, keys left out; other texts have none."""
+    return json_strings(df, entity, column).where("is_json").drop("is_json")
 
 
 def reconcile(disk: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -157,17 +155,17 @@ def text_hits(files: DataFrame, manifest: DataFrame) -> DataFrame:
     where it parses, else as a text. A line of a .jsonl file that doesn't parse is itself a hit. line 0 is the whole
     file. A string of a .json file of one line is so found twice, as document and as line.
     """
-    found = lambda rows: leaf_hits(rows, manifest)
     kind = F.lower(F.regexp_extract("path", r"\.(jsonl?|txt)$", 1))
-    whole = found(files.select(F.col("path").alias("entity"), F.lit("whole").alias("location"), F.col("text").alias("value"))).where("reason = 'story_sha256'").withColumn("line", F.lit(0))
-    documents = found(json_leaves(files.where(kind == "json").select("path", "text"), "path", "text")).withColumn("line", F.lit(0))
-    lines = files.select("path", kind.alias("kind"), F.posexplode(T.loader_lines(F.col("text"))).alias("n", "raw")).withColumn("value", T.stripped(F.col("raw"))).where("value <> ''")
-    lines = lines.select("kind", F.concat_ws(":", "path", (F.col("n") + 1).cast("string")).alias("entity"), "value").withColumn("json", F.try_parse_json("value"))
-    plain = lines.where("json is null").select("kind", "entity", F.lit("text").alias("location"), "value")
-    leaves = json_leaves(lines.where("json is not null").select("entity", "value"), "entity", "value").unionByName(plain.drop("kind"))
-    broken = plain.where("kind = 'jsonl'").select("entity", "location", F.lit("unparsable").alias("reason"), F.lit(None).cast("string").alias("story_id"))
-    by_line = found(leaves).unionByName(broken)
-    by_line = by_line.select(F.regexp_extract("entity", r"^(.*):(\d+)$", 1).alias("entity"), F.regexp_extract("entity", r"^(.*):(\d+)$", 2).cast("int").alias("line"), "location", "reason", "story_id")
+    whole = files.select(F.col("path").alias("entity"), F.lit("whole").alias("location"), F.col("text").alias("value"))
+    whole = leaf_hits(whole, manifest).where("reason = 'story_sha256'").withColumn("line", F.lit(0))
+    documents = leaf_hits(json_leaves(files.where(kind == "json"), "path", "text"), manifest).withColumn("line", F.lit(0))
+    lines = files.select("path", F.posexplode(T.loader_lines(F.col("text"))).alias("n", "raw")).withColumn("value", T.stripped(F.col("raw"))).where("value <> ''")
+    lines = lines.select(F.concat_ws(":", "path", (F.col("n") + 1).cast("string")).alias("entity"), "value")
+    rows = _looked_up(json_strings(lines, "entity", "value"), manifest)
+    part = lambda i, k="string": F.regexp_extract("entity", r"^(.*):(\d+)$", i).cast(k)
+    broken = ~F.col("is_json") & F.lower("entity").rlike(r"\.jsonl:\d+$")
+    found = F.array(F.when(F.col("reason").isNotNull(), F.struct("reason", "story_id")), F.when(broken, F.struct(F.lit("unparsable").alias("reason"), F.lit(None).cast("string").alias("story_id"))))
+    by_line = rows.select(part(1).alias("entity"), part(2, "int").alias("line"), "location", F.inline(F.filter(found, lambda x: x.isNotNull())))
     out = whole.unionByName(documents).select("entity", "line", "location", "reason", "story_id").unionByName(by_line)
     return out.withColumnRenamed("entity", "path")
 

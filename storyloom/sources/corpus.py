@@ -1,6 +1,6 @@
 """Readers of story corpora, replay lists, exam folders, manifests, run folders and ledgers; writers of probes and ledgers.
 
-Schemas are fixed. JSON lines keep their line numbers: a file is read whole only where its order counts.
+Schemas are fixed. JSON lines keep their line numbers, and are read in splits all the same.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
@@ -53,13 +53,62 @@ def corpus_files(spark: SparkSession, folder: str, phases: list[int] | None = No
     return [found[k] for k in sorted(found)]
 
 
-def stories(spark: SparkSession, folder: str, phases: list[int] | None = None, name: str = "train") -> DataFrame:
-    """Stories of {name}_phase_{k}.jsonl by line, with lineno, and `corrupt` where a line is no JSON; undeclared phases are not opened."""
-    files = spark.read.text(corpus_files(spark, folder, phases, name), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = files.select("path", F.posexplode(T.loader_lines(F.col("value"))).alias("lineno", "line")).where(F.trim("line") != "")
+#: Splits of files whose counts of lines are broadcast at most; the counts of more are joined by a shuffle.
+MOST_SPLITS = 100_000
+
+
+def _heads(spark: SparkSession, files: list[str]) -> tuple[int, list[str]]:
+    """Bytes of all files, and those that begin with a byte order mark, which the line reader takes away."""
+    hadoop, conf, size, marked = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration(), 0, []
+    for f in files:
+        path = hadoop.Path(f)
+        system = path.getFileSystem(conf)
+        size += system.getFileStatus(path).getLen()
+        stream = system.open(path)
+        if [stream.read() for _ in range(3)] == [0xEF, 0xBB, 0xBF]:
+            marked.append(path.toUri().getPath())
+        stream.close()
+    return size, marked
+
+
+def numbered_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(path, lineno, line) of every line, blank ones too, parted by CRLF, CR or LF; lineno from 1 in each file.
+
+    Files are read in splits, by as many tasks as their bytes ask for. A first pass counts the lines of each split; the sum of
+    the counts before a split is what its own lines' numbers begin after. A line's place in its split comes from the order in
+    which its task reads it, which is held against the first pass: if the splits were cut otherwise, the row raises.
+    """
+    size, marked = _heads(spark, files)
+    read = spark.read.text(files).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"), "value")
+    splits = read.groupBy("path", "at").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.withColumn("before", F.coalesce(before, F.lit(0)))
+    if size // spark._jsparkSession.sessionState().conf().filesOpenCostInBytes() + len(files) <= MOST_SPLITS:  # no split is smaller, but a file's last
+        splits = F.broadcast(splits)
+    place = F.col("row") - F.col("first")
+    lineno = F.when((place >= 0) & (place < F.col("n")), F.col("before") + place + 1).otherwise(F.raise_error(F.lit("files were split otherwise than when their lines were counted")))
+    # A split that the first pass did not see has no count, and raises as well.
+    out = read.join(splits, ["path", "at"], "left").select("path", lineno.alias("lineno"), F.col("value").alias("line"))
+    if not marked:
+        return out
+    own = F.array_contains(F.array(*map(F.lit, marked)), F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^[a-zA-Z0-9]+:(//[^/]*)?", ""))
+    return out.withColumn("line", F.when((F.col("lineno") == 1) & own, F.concat(F.lit(BOM), "line")).otherwise(F.col("line")))
+
+
+BOM = "\ufeff"
+
+
+def story_rows(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Stories of files of JSON lines by line, with lineno, and `corrupt` where a line is no JSON; blank lines are passed over."""
+    lines = numbered_lines(spark, files).where(F.trim("line") != "")
     parsed = F.from_json("line", f"{STORY}, corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"})
-    out = lines.select("path", "line", phase_of(F.col("path")).alias("file_phase"), (F.col("lineno") + 1).cast("long").alias("lineno"), parsed.alias("r"))
-    return out.select("path", "lineno", F.coalesce("r.phase", "file_phase").alias("phase"), F.coalesce("r.prompt_hash", "r.id").alias("id"), "r.prompt_hash", "r.tier", "r.story", "r.model", "r.timestamp", "r.split", "r.corrupt", F.startswith("line", F.lit("﻿")).alias("has_bom"))
+    out = lines.select("path", "line", phase_of(F.col("path")).alias("file_phase"), "lineno", parsed.alias("r"))
+    return out.select("path", "lineno", F.coalesce("r.phase", "file_phase").alias("phase"), F.coalesce("r.prompt_hash", "r.id").alias("id"), "r.prompt_hash", "r.tier", "r.story", "r.model", "r.timestamp", "r.split", "r.corrupt", F.startswith("line", F.lit(BOM)).alias("has_bom"))
+
+
+def stories(spark: SparkSession, folder: str, phases: list[int] | None = None, name: str = "train") -> DataFrame:
+    """story_rows() of {name}_phase_{k}.jsonl in a folder; undeclared phases are not opened."""
+    return story_rows(spark, corpus_files(spark, folder, phases, name))
 
 
 def replay_hashes(spark: SparkSession, folder: str) -> DataFrame:
