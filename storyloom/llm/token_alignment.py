@@ -6,7 +6,7 @@ cut there, so a segment's tokens don't hang on its neighbours (where a vocabular
 segment).
 
 1. Documents are dealt into chunks of bounded bytes by row, whatever their texts. A chunk's segments are numbered by
-   frequency and named by a 128-bit hash, and its documents kept as these numbers.
+   frequency, and its documents kept as these numbers.
 2. The distinct segments of all chunks are tokenized. Their tokens' lengths are exploded by position and summed by window to
    ends, A's and B's ends are joined on segment and end, and the cuts met so far number the groups. A segment's groups are
    ranges of its tokens; links are the pairs of a group's different ids with their number, never of their occurrences.
@@ -26,7 +26,6 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -130,11 +129,11 @@ def unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.append(0, np.cumsum(last))
 
 
-_CODED = "chunk int, doc_id long, codes binary, code int, key binary, seg string"
+_CODED = "chunk int, doc_id long, codes binary, code int, seg string"
 
 
 def _coder(separable: bool, signs: str):
-    """A chunk's documents as numbers of segments (`codes`), and the segments by number, with their hash."""
+    """A chunk's documents as numbers of segments (`codes`), and the segments by number."""
 
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         parts, counts = [], []
@@ -158,18 +157,16 @@ def _coder(separable: bool, signs: str):
         bounds = at[np.append(0, np.cumsum(np.concatenate(counts)))]
         docs, n = table.num_rows, len(names)
         names = names.take(pa.array(order)).cast(pa.string())
-        keys = pa.array([xxhash.xxh3_128_digest(x) for x in names.cast(pa.binary()).to_pylist()], pa.binary())
         codes = pa.LargeBinaryArray.from_buffers(pa.large_binary(), docs, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
         columns = [
             pa.array(np.full(docs + n, key[0].as_py(), np.int32)),
             pa.concat_arrays([table.column("doc_id").combine_chunks().cast(pa.int64()), pa.nulls(n, pa.int64())]),
             pa.concat_arrays([codes.cast(pa.binary()), pa.nulls(n, pa.binary())]),
             pa.concat_arrays([pa.nulls(docs, pa.int32()), pa.array(np.arange(n, dtype=np.int32))]),
-            pa.concat_arrays([pa.nulls(docs, pa.binary()), keys]),
             pa.concat_arrays([pa.nulls(docs, pa.string()), names]),
         ]
         give_back()
-        return pa.Table.from_arrays(columns, names=["chunk", "doc_id", "codes", "code", "key", "seg"])
+        return pa.Table.from_arrays(columns, names=["chunk", "doc_id", "codes", "code", "seg"])
 
     return work
 
@@ -322,6 +319,11 @@ def _count_pairs(coded: pa.Table, segments: pa.Table) -> pa.Table:
     return pa.table({"pair": pair[some].astype(np.int64), "docs": held[some]})
 
 
+def _freed(spark: SparkSession) -> None:
+    """Has the driver find the shuffles that nothing reads any more, so that Spark deletes their files before the next ones are written."""
+    spark._jvm.System.gc()
+
+
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -371,22 +373,26 @@ def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
     tables, last = Tables(spark), Tables(spark)
     pair = TokenPair(a_json, b_model)
     coded = last.write(rows.groupBy("chunk").applyInArrow(_coder(pair.separable, pair.signs), _CODED), "align-coded")
-    texts, places = coded.where("codes is not null").select("chunk", "doc_id", "codes"), coded.where("seg is not null").select(F.col("chunk").alias("part"), "code", "key")
-    tokens = coded.where("seg is not null").select("key", "seg").distinct().select("key", _tokenizer(a_json, b_model)("seg").alias("t"))
-    tokens = tables.write(tokens.select(F.monotonically_increasing_id().alias("seg_id"), "key", "t.*"), "align-tokens")
+    _freed(spark)
+    texts, places = coded.where("codes is not null").select("chunk", "doc_id", "codes"), coded.where("seg is not null").select(F.col("chunk").alias("part"), "code", "seg")
+    tokens = coded.where("seg is not null").select("seg").distinct().select("seg", _tokenizer(a_json, b_model)("seg").alias("t"))
+    tokens = tables.write(tokens.select(F.monotonically_increasing_id().alias("seg_id"), "seg", "t.*"), "align-tokens")
     facts = F.arrow_udf(segment_facts, _FACTS)("a", "b", F.col("cut.a"), F.col("cut.b"))
     with _kept_partitioning(spark):
-        with_cuts = tokens.select("seg_id", "key", "a", "b").join(cuts(tokens), "seg_id").select("key", facts.alias("f"))
-        segments = tables.write(with_cuts.select("key", "f.*"), "align-segments")
+        with_cuts = tokens.select("seg_id", "seg", "a", "b").join(cuts(tokens), "seg_id").select("seg", facts.alias("f"))
+        segments = tables.write(with_cuts.select("seg", "f.*"), "align-segments")
+    _freed(spark)
     # The tasks of a chunk read its documents and its segments; both are bounded by the bytes of a chunk.
-    in_chunks = lambda of, work, schema: texts.groupBy("chunk").cogroup(places.join(of, "key", "left").drop("key").groupBy("part")).applyInArrow(work, schema)
-    counted = in_chunks(segments.select("key", "pairs"), _count_pairs, "pair long, docs long")
+    in_chunks = lambda of, work, schema: texts.groupBy("chunk").cogroup(places.join(of, "seg", "left").drop("seg").groupBy("part")).applyInArrow(work, schema)
+    counted = in_chunks(segments.select("seg", "pairs"), _count_pairs, "pair long, docs long")
     counts = tables.write(counted.groupBy("pair").agg(F.sum("docs").alias("docs")), "align-counts")
+    _freed(spark)
     a_id = F.shiftright("pair", 32)
     top = counts.groupBy(a_id.alias("a")).agg(F.max("docs").alias("top"))  # a row for each id of A at most
     scored = counts.withColumn("a", a_id).join(F.broadcast(top), "a").select("pair", "docs", (F.col("docs") == F.col("top")).cast("long").alias("best"))
-    linked = segments.select("key", F.inline(F.arrays_zip(F.col("pairs").alias("pair"), F.col("times").alias("n"))))
-    sums = linked.join(scored, "pair").groupBy("key").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("docs")).alias("count_sum"))
-    facts = last.write(segments.drop("pairs", "times").join(sums, "key"), "align-facts")
+    linked = segments.select("seg", F.inline(F.arrays_zip(F.col("pairs").alias("pair"), F.col("times").alias("n"))))
+    sums = linked.join(scored, "pair").groupBy("seg").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("docs")).alias("count_sum"))
+    facts = last.write(segments.drop("pairs", "times").join(sums, "seg"), "align-facts")
     tables.drop()
+    _freed(spark)
     return in_chunks(facts, _per_document, _RESULT)
