@@ -23,6 +23,8 @@ VOCABULARY, SMOOTHING, END, BLOCK = 256, 1.0, 0, 1024
 SLICE = 4 << 20
 
 Scorer = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: A tokenizer: the ids of a text.
+Encode = Callable[[str], np.ndarray]
 
 
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -111,6 +113,44 @@ def windows(n_tokens: Column, block: int) -> Column:
     return F.filter(F.transform(starts, lambda s: F.least(F.lit(block), n_tokens - s)), lambda n: n >= 2)
 
 
+def window_spans(tokens: list[np.ndarray], block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts' tokens, each cut into windows of `block` that don't overlap, those of two tokens or more: ids, starts, and whose each is."""
+    size = np.array([len(x) for x in tokens], np.int64)
+    ids = np.concatenate([*tokens, np.zeros(0, np.int64)]).astype(np.int64)
+    count = -(-size // block)
+    owner = np.repeat(np.arange(len(size)), count)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    length = np.minimum(block, size[owner] - nth * block)
+    lone = (np.cumsum(size) - size)[owner] + nth * block
+    kept = np.ones(len(ids), bool)
+    kept[lone[length < 2]] = False
+    owner, length = owner[length >= 2], length[length >= 2]
+    return ids[kept], np.cumsum(length) - length, owner
+
+
+def windowed_perplexity(texts: DataFrame, scorer: Scorer, by: str, column: str, block: int = BLOCK, encode: Encode | None = None) -> DataFrame:
+    """(by, n_tokens, loss): the loss by a scorer of every token in every window of every text, but each window's first.
+
+    A text's windows are of `block` tokens and don't overlap; one of fewer than two tokens predicts nothing. The sum over a
+    group is divided by its tokens: no mean of means. A group without a window has 0 tokens and NaN. Null texts have no tokens.
+    """
+    kind, cut = texts.schema[by].dataType.simpleString(), encode or _bytes
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, column):
+                ids, starts, owner = window_spans([np.asarray(cut(x or "")) for x in part.column(column).to_pylist()], block)
+                sums = scorer(ids, starts, np.ones(len(starts), np.int64)) if len(starts) else np.zeros(0)
+                groups = part.column(by).dictionary_encode("encode")
+                of = groups.indices.to_numpy(zero_copy_only=False)
+                n = np.bincount(of[owner], weights=np.diff(np.append(starts, len(ids))) - 1, minlength=len(groups.dictionary))
+                yield pa.RecordBatch.from_arrays([groups.dictionary, pa.array(n.astype(np.int64)), pa.array(np.bincount(of[owner], weights=sums, minlength=len(n)))], names=[by, "n", "logp"])
+
+    shipped(texts.sparkSession)
+    rows = texts.select(by, column).mapInArrow(score, f"{by} {kind}, n long, logp double").groupBy(by).agg(F.sum("n").alias("n_tokens"), F.sum("logp").alias("logp"))
+    return rows.select(by, "n_tokens", F.when(F.col("n_tokens") > 0, -F.col("logp") / F.col("n_tokens")).otherwise(float("nan")).alias("loss"))
+
+
 def truncated_left(ids: np.ndarray, start: int, block: int = BLOCK) -> tuple[np.ndarray, int]:
     """The last `block` tokens, and where a span that began at `start` begins in them: never before the second one."""
     cut = max(0, len(ids) - block)
@@ -135,12 +175,18 @@ def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode(), np.uint8)
 
 
-def option_scores(items: DataFrame, scorer: Scorer, block: int = BLOCK, key: tuple[str, ...] = ("phase", "story_id")) -> DataFrame:
+def _at_least_two(ids: np.ndarray) -> np.ndarray:
+    """Tokens, filled up with END to two, so that there is one to score."""
+    return ids if len(ids) > 1 else np.append(ids, np.full(2 - len(ids), END))
+
+
+def option_scores(items: DataFrame, scorer: Scorer, block: int = BLOCK, key: tuple[str, ...] = ("phase", "story_id"), encode: Encode | None = None, end: int = END) -> DataFrame:
     """(key, at, conditional, baseline): log-likelihood of each option after the prefix and after the end of a story.
 
-    Prefix and option are read as one text; what comes after the prefix's tokens is the span, and no span begins at the first
-    token. Both sequences keep their last `block` tokens.
+    Prefix and option are read as one text; what comes after the prefix's tokens is the span, at least the last token and never
+    the first. Both sequences keep their last `block` tokens.
     """
+    cut = encode or _bytes
     kinds = ", ".join(f"{k} {items.schema[k].dataType.simpleString()}" for k in key)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,11 +194,12 @@ def option_scores(items: DataFrame, scorer: Scorer, block: int = BLOCK, key: tup
             for part in _slices(batch, "prefix"):
                 after, alone, owner, at = [], [], [], []
                 for i, (prefix, options) in enumerate(zip(part.column("prefix").to_pylist(), part.column("options").to_pylist(), strict=True)):
-                    start = max(1, len(_bytes(prefix)))
+                    prefix_tokens = len(cut(prefix))
                     for j, option in enumerate(options):
-                        ids = _bytes(prefix + option)
+                        ids = _at_least_two(cut(prefix + option))
+                        start = max(1, min(prefix_tokens, len(ids) - 1))
                         after.append(truncated_left(ids, start, block))
-                        alone.append(truncated_left(np.append(np.uint8(END), ids[start:]), 1, block))
+                        alone.append(truncated_left(np.append(end, ids[start:]), 1, block))
                         owner.append(i)
                         at.append(j)
                 columns = [part.column(k).take(pa.array(owner, pa.int64())) for k in key]
@@ -163,16 +210,16 @@ def option_scores(items: DataFrame, scorer: Scorer, block: int = BLOCK, key: tup
     return items.select(*key, "prefix", "options").where("prefix is not null and options is not null").mapInArrow(score, f"{kinds}, at int, conditional double, baseline double")
 
 
-def cloze_scores(items: DataFrame, scorer: Scorer, block: int = BLOCK, key: tuple[str, ...] = ("phase", "story_id")) -> DataFrame:
+def cloze_scores(items: DataFrame, scorer: Scorer, block: int = BLOCK, key: tuple[str, ...] = ("phase", "story_id"), encode: Encode | None = None) -> DataFrame:
     """(key, at, score): log-likelihood of the whole text filled with each candidate, of its last `block` tokens but the first."""
+    cut = encode or _bytes
     kinds = ", ".join(f"{k} {items.schema[k].dataType.simpleString()}" for k in key)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, "text_with_mask"):
                 for i, (text, candidates) in enumerate(zip(part.column("text_with_mask").to_pylist(), part.column("candidates").to_pylist(), strict=True)):
-                    filled = [_bytes(text.replace(T.MASK, c)) for c in candidates]
-                    spans = [truncated_left(x if len(x) > 1 else np.append(x, np.zeros(2 - len(x), np.uint8)), 1, block) for x in filled]
+                    spans = [truncated_left(_at_least_two(cut(text.replace(T.MASK, c))), 1, block) for c in candidates]
                     n = len(spans)
                     columns = [part.column(k).take(pa.array([i] * n, pa.int64())) for k in key]
                     columns += [pa.array(np.arange(n, dtype=np.int32)), pa.array(_scored(spans, scorer).round(9))]
@@ -182,12 +229,27 @@ def cloze_scores(items: DataFrame, scorer: Scorer, block: int = BLOCK, key: tupl
     return items.select(*key, "text_with_mask", "candidates").mapInArrow(score, f"{kinds}, at int, score double")
 
 
-def cloze_accuracy(items: DataFrame, scorer: Scorer, block: int = BLOCK) -> DataFrame:
+def cloze_results(items: DataFrame, scorer: Scorer, block: int = BLOCK, key: tuple[str, ...] = ("phase", "story_id"), encode: Encode | None = None) -> DataFrame:
     """(phase, n, n_correct, accuracy, chance): rank-1 accuracy; a tie for the best is wrong; chance is the mean of 1 by candidates."""
-    key = ["phase", "story_id"]
-    answer = items.select(*key, (F.array_position("candidates", F.col("answer")) - 1).cast("int").alias("answer_index"), F.size("candidates").alias("k"))
-    right = rank_one(cloze_scores(items, scorer, block).join(answer, key), key, "at", F.round("score", 6), "answer_index").join(answer.select(*key, "k"), key)
-    return right.groupBy("phase").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy"), F.round(F.avg(1 / F.col("k")), 6).alias("chance"))
+    by = list(key)
+    answer = items.select(*by, (F.array_position("candidates", F.col("answer")) - 1).cast("int").alias("answer_index"), F.size("candidates").alias("k"))
+    right = rank_one(cloze_scores(items, scorer, block, key, encode).join(answer, by), [*by, "k"], "at", F.round("score", 6), "answer_index")
+    return right.groupBy("phase").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.avg(1 / F.col("k")).alias("chance"))
+
+
+def cloze_accuracy(items: DataFrame, scorer: Scorer, block: int = BLOCK) -> DataFrame:
+    """cloze_results() with six decimals."""
+    return cloze_results(items, scorer, block).withColumns({c: F.round(c, 6) for c in ("accuracy", "chance")})
+
+
+def option_results(items: DataFrame, scorer: Scorer, block: int = BLOCK, key: tuple[str, ...] = ("phase", "story_id"), encode: Encode | None = None, end: int = END) -> DataFrame:
+    """(phase, n, n_pmi, n_summed, chance): items whose answer alone ranks first after its prefix, less what it scores alone (pmi), and as it is."""
+    by = list(key)
+    scores = option_scores(items, scorer, block, key, encode, end).join(items.select(*by, "answer_index", F.size("options").alias("k")), by)
+    pmi = rank_one(scores, [*by, "k"], "at", F.round(F.col("conditional") - F.col("baseline"), 6), "answer_index")
+    summed = rank_one(scores, by, "at", F.round("conditional", 6), "answer_index").withColumnRenamed("correct", "summed")
+    both = pmi.join(summed, by)
+    return both.groupBy("phase").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_pmi"), F.count_if("summed").alias("n_summed"), F.avg(1 / F.col("k")).alias("chance"))
 
 
 def rank_one(scores: DataFrame, by: list[str], at: str, score: Column, answer: str) -> DataFrame:

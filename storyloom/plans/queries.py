@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
-from storyloom.operators import guard, matrix, neardup, packing, probes, runs, scoring
+from storyloom.operators import exam, guard, matrix, neardup, packing, probes, runs, scoring
 from storyloom.plans import contracts
 from storyloom.plans import views as V
 from storyloom.streaming import ledger as stream
@@ -175,14 +175,8 @@ def bigram_perplexity(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.perplexity(V.exam(spark, sf), model, "phase", "story").select("phase", "n_tokens", F.round("loss", 6).alias("loss"))
 
 
-def _pmi(spark: SparkSession, sf: str, items: DataFrame) -> DataFrame:
-    scorer = scoring.bigram_scorer(scoring.bigram_model(V.exam(spark, sf), "story"))
-    scores = scoring.option_scores(items, scorer).join(items.select("phase", "story_id", "answer_index"), ["phase", "story_id"])
-    key = ["phase", "story_id"]
-    pmi = scoring.rank_one(scores, key, "at", F.round(F.col("conditional") - F.col("baseline"), 6), "answer_index")
-    summed = scoring.rank_one(scores, key, "at", F.round("conditional", 6), "answer_index").withColumnRenamed("correct", "summed")
-    both = pmi.join(summed, key)
-    return both.groupBy("phase").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_pmi"), F.count_if("summed").alias("n_summed"))
+def _scorer(spark: SparkSession, sf: str) -> scoring.Scorer:
+    return scoring.bigram_scorer(scoring.bigram_model(V.exam(spark, sf), "story"))
 
 
 def _cloze_all(spark: SparkSession, sf: str) -> DataFrame:
@@ -218,13 +212,28 @@ def giveaway_report_drawn(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def continuation_pmi_drawn(spark: SparkSession, sf: str) -> DataFrame:
-    return _pmi(spark, sf, _drawn(spark, sf).where("options is not null"))
+    return scoring.option_results(_drawn(spark, sf).where("options is not null"), _scorer(spark, sf)).drop("chance")
 
 
 @query
 def cloze_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """Rank-1 accuracy of the bigram model on the items of every usable story."""
-    return scoring.cloze_accuracy(_cloze_all(spark, sf), scoring.bigram_scorer(scoring.bigram_model(V.exam(spark, sf), "story")))
+    return scoring.cloze_accuracy(_cloze_all(spark, sf), _scorer(spark, sf))
+
+
+@query
+def windowed_perplexity(spark: SparkSession, sf: str) -> DataFrame:
+    """Loss of the exam's bigram model on all stories, in windows."""
+    return scoring.windowed_perplexity(V.train(spark, sf), _scorer(spark, sf), "phase", "story").withColumn("loss", F.round("loss", 6))
+
+
+@query
+def exam_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """All exams of all phases over every story and every item that can be made of them."""
+    stories, options = V.train(spark, sf), _drawn(spark, sf).where("options is not null")
+    out = exam.evaluated(stories, _cloze_all(spark, sf), options, _scorer(spark, sf), key=("phase", "story_id"))
+    rounded = ("perplexity", "cloze", "cloze_chance", "continuation", "continuation_summed", "continuation_chance")
+    return out.withColumns({c: F.round(c, 6) for c in rounded})
 
 
 @query
