@@ -16,6 +16,7 @@ segment).
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -216,7 +217,7 @@ def cuts(tokens: DataFrame) -> DataFrame:
     return both.select("seg_id", group, "a", "b").groupBy("seg_id").agg(F.array_sort(F.collect_list(F.struct("g", "a", "b"))).alias("cut"))
 
 
-_FACTS = "struct<n_a long, n_b long, n_groups long, n_links long, text string, pairs array<long>, times array<long>>"
+_FACTS = "struct<n_a long, n_b long, n_groups long, n_links long, text string, pairs array<int>, times array<int>>"
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -224,8 +225,8 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
 
 
-def segment_facts(a: pa.Array, b: pa.Array, cut_a: pa.Array, cut_b: pa.Array) -> pa.Array:
-    """Of segments: tokens, groups and links, the groups as text, and the linked id pairs (A's id in the upper half) with how often."""
+def segment_facts(a: pa.Array, b: pa.Array, cut_a: pa.Array, cut_b: pa.Array, wide: int) -> pa.Array:
+    """Of segments: tokens, groups and links, the groups as text, and the linked id pairs (a * wide + b) with how often."""
     ids, sizes, owner, group, last = {}, {}, None, {}, {}
     for side, tokens, cut in (("a", a, cut_a), ("b", b, cut_b)):
         ids[side], starts = _flat(tokens)
@@ -251,19 +252,18 @@ def segment_facts(a: pa.Array, b: pa.Array, cut_a: pa.Array, cut_b: pa.Array) ->
     many = total(sizes["a"]) + total(sizes["b"])
     text = pa.LargeStringArray.from_buffers(n, pa.py_buffer(at[np.append(0, np.cumsum(many))].astype(np.int64)), pa.py_buffer(body)).cast(pa.string())
     # The links: a group's different ids of A, each with its different ids of B.
-    wide = max((int(x.max()) for x in ids.values() if len(x)), default=0) + 1
-    kinds = {s: np.unique(group[s] * wide + ids[s], return_counts=True) for s in "ab"}
-    of = {s: np.append(np.searchsorted(k // wide, np.arange(len(owner))), len(k)) for s, (k, _) in kinds.items()}
-    with_b = np.diff(of["b"])[kinds["a"][0] // wide]
+    most = max((int(x.max()) for x in ids.values() if len(x)), default=0) + 1
+    kinds = {s: np.unique(group[s] * most + ids[s], return_counts=True) for s in "ab"}
+    of = {s: np.append(np.searchsorted(k // most, np.arange(len(owner))), len(k)) for s, (k, _) in kinds.items()}
+    with_b = np.diff(of["b"])[kinds["a"][0] // most]
     left = np.repeat(np.arange(len(with_b)), with_b)
-    right = np.arange(with_b.sum()) - np.repeat(np.cumsum(with_b) - with_b, with_b) + of["b"][kinds["a"][0][left] // wide]
-    key = owner[kinds["a"][0][left] // wide] * wide**2 + kinds["a"][0][left] % wide * wide + kinds["b"][0][right] % wide
+    right = np.arange(with_b.sum()) - np.repeat(np.cumsum(with_b) - with_b, with_b) + of["b"][kinds["a"][0][left] // most]
+    key = owner[kinds["a"][0][left] // most] << 31 | kinds["a"][0][left] % most * wide + kinds["b"][0][right] % most
     pair, back = np.unique(key, return_inverse=True)
     times = np.zeros(len(pair), np.int64)
     np.add.at(times, back, kinds["a"][1][left] * kinds["b"][1][right])
-    at = pa.array(np.append(np.searchsorted(pair // wide**2, np.arange(n)), len(pair)).astype(np.int32))
-    pair %= wide**2
-    lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in ((pair // wide << 32) | pair % wide, times)]
+    at = pa.array(np.append(np.searchsorted(pair >> 31, np.arange(n)), len(pair)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (pair & 0x7FFFFFFF, times)]
     sums = [total(sizes["a"]), total(sizes["b"]), np.diff(bounds), total(sizes["a"] * sizes["b"])]
     return pa.StructArray.from_arrays([*(pa.array(x.astype(np.int64)) for x in sums), text, *lists], names=["n_a", "n_b", "n_groups", "n_links", "text", "pairs", "times"])
 
@@ -316,11 +316,12 @@ def _count_pairs(coded: pa.Table, segments: pa.Table) -> pa.Table:
             held += seen.reshape(rows, wide).sum(axis=0)[: len(pair)]
     give_back()
     some = held > 0
-    return pa.table({"pair": pair[some].astype(np.int64), "docs": held[some]})
+    return pa.table({"pair": pair[some].astype(np.int32), "docs": held[some]})
 
 
 def _freed(spark: SparkSession) -> None:
     """Has the driver find the shuffles that nothing reads any more, so that Spark deletes their files before the next ones are written."""
+    gc.collect()
     spark._jvm.System.gc()
 
 
@@ -377,19 +378,29 @@ def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
     texts, places = coded.where("codes is not null").select("chunk", "doc_id", "codes"), coded.where("seg is not null").select(F.col("chunk").alias("part"), "code", "seg")
     tokens = coded.where("seg is not null").select("seg").distinct().select("seg", _tokenizer(a_json, b_model)("seg").alias("t"))
     tokens = tables.write(tokens.select(F.monotonically_increasing_id().alias("seg_id"), "seg", "t.*"), "align-tokens")
-    facts = F.arrow_udf(segment_facts, _FACTS)("a", "b", F.col("cut.a"), F.col("cut.b"))
+    wide = pair.b.get_piece_size()
+    if (max(pair.a_bytes) + 1) * wide > 1 << 31:
+        raise ValueError("the two vocabularies have more than 2^31 pairs of ids")
+
+    @F.arrow_udf(_FACTS)
+    def facts(a: pa.Array, b: pa.Array, cut_a: pa.Array, cut_b: pa.Array) -> pa.Array:
+        return segment_facts(a, b, cut_a, cut_b, wide)
+
     with _kept_partitioning(spark):
-        with_cuts = tokens.select("seg_id", "seg", "a", "b").join(cuts(tokens), "seg_id").select("seg", facts.alias("f"))
+        with_cuts = tokens.select("seg_id", "seg", "a", "b").join(cuts(tokens), "seg_id").select("seg", facts("a", "b", F.col("cut.a"), F.col("cut.b")).alias("f"))
         segments = tables.write(with_cuts.select("seg", "f.*"), "align-segments")
+    tables.drop(segments)
     _freed(spark)
     # The tasks of a chunk read its documents and its segments; both are bounded by the bytes of a chunk.
     in_chunks = lambda of, work, schema: texts.groupBy("chunk").cogroup(places.join(of, "seg", "left").drop("seg").groupBy("part")).applyInArrow(work, schema)
-    counted = in_chunks(segments.select("seg", "pairs"), _count_pairs, "pair long, docs long")
+    counted = in_chunks(segments.select("seg", "pairs"), _count_pairs, "pair int, docs long")
     counts = tables.write(counted.groupBy("pair").agg(F.sum("docs").alias("docs")), "align-counts")
     _freed(spark)
-    a_id = F.shiftright("pair", 32)
+    a_id = F.floor(F.col("pair") / wide).cast("int")
     top = counts.groupBy(a_id.alias("a")).agg(F.max("docs").alias("top"))  # a row for each id of A at most
+    # A table: Spark broadcasts it if it is small, and joins by a shuffle if it isn't.
     scored = counts.withColumn("a", a_id).join(F.broadcast(top), "a").select("pair", "docs", (F.col("docs") == F.col("top")).cast("long").alias("best"))
+    scored = tables.write(scored, "align-scored")
     linked = segments.select("seg", F.inline(F.arrays_zip(F.col("pairs").alias("pair"), F.col("times").alias("n"))))
     sums = linked.join(scored, "pair").groupBy("seg").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("docs")).alias("count_sum"))
     facts = last.write(segments.drop("pairs", "times").join(sums, "seg"), "align-facts")
