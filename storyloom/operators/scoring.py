@@ -144,7 +144,7 @@ def windowed_perplexity(texts: DataFrame, scorer: Scorer, by: str, column: str,
                 groups = part.column(by).dictionary_encode("encode")
                 of = groups.indices.to_numpy(zero_copy_only=False)
                 n = np.bincount(of[owner], weights=np.diff(np.append(starts, len(ids))) - 1, minlength=len(groups.dictionary))
-                yield pa.RecordBatch.from_arrays([groups.dictionary, pa.array(n.astype(np.int64)), pa.array(np.bincount(of[owner], weights=sums, minlength=len(n)))], names=[by, "n", "logp"])
+                yield pa.RecordBatch.from_arrays([groups.dictionary, pa.array(n.astype(np.int64)), pa.array(np.bincount(of[owner], weights=sums, minlength=len(n)).astype(float))], names=[by, "n", "logp"])
 
     shipped(texts.sparkSession)
     rows = texts.select(by, column).mapInArrow(score, f"{by} {kind}, n long, logp double").groupBy(by).agg(F.sum("n").alias("n_tokens"), F.sum("logp").alias("logp"))
