@@ -321,6 +321,7 @@ def _count_pairs(coded: pa.Table, segments: pa.Table) -> pa.Table:
 
 def _freed(spark: SparkSession) -> None:
     """Has the driver find the shuffles that nothing reads any more, so that Spark deletes their files before the next ones are written."""
+    spark.range(0).count()  # what listens to queries may hold the last one's plan, and with it its shuffles
     gc.collect()
     spark._jvm.System.gc()
 
@@ -395,12 +396,12 @@ def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
     in_chunks = lambda of, work, schema: texts.groupBy("chunk").cogroup(places.join(of, "seg", "left").drop("seg").groupBy("part")).applyInArrow(work, schema)
     counted = in_chunks(segments.select("seg", "pairs"), _count_pairs, "pair int, docs long")
     counts = tables.write(counted.groupBy("pair").agg(F.sum("docs").alias("docs")), "align-counts")
-    _freed(spark)
     a_id = F.floor(F.col("pair") / wide).cast("int")
     top = counts.groupBy(a_id.alias("a")).agg(F.max("docs").alias("top"))  # a row for each id of A at most
     # A table: Spark broadcasts it if it is small, and joins by a shuffle if it isn't.
     scored = counts.withColumn("a", a_id).join(F.broadcast(top), "a").select("pair", "docs", (F.col("docs") == F.col("top")).cast("long").alias("best"))
     scored = tables.write(scored, "align-scored")
+    _freed(spark)
     linked = segments.select("seg", F.inline(F.arrays_zip(F.col("pairs").alias("pair"), F.col("times").alias("n"))))
     sums = linked.join(scored, "pair").groupBy("seg").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("docs")).alias("count_sum"))
     facts = last.write(segments.drop("pairs", "times").join(sums, "seg"), "align-facts")
