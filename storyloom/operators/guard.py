@@ -123,18 +123,6 @@ def majority(runs: DataFrame, value: str, order: str, by: list[str]) -> DataFram
     return runs.join(best.select(*by, value), [*by, value], "left_semi")
 
 
-def file_hashes(spark, path: str) -> DataFrame:
-    """(path, sha256, length) of every file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), "length")
-
-
-def tree_digest(hashes: DataFrame) -> DataFrame:
-    """One hash of all (path, sha256), in the order of the paths."""
-    rows = F.array_sort(F.collect_list(F.struct("path", "sha256")))
-    return hashes.agg(F.sha2(F.array_join(F.transform(rows, lambda r: F.concat(r["path"], F.lit("\0"), r["sha256"], F.lit("\n"))), ""), 256).alias("digest"), F.count("*").alias("n_files"))
-
-
 def disjoint(one: str, other: str) -> None:
     """Refuses folders that are the same, or of which one holds the other."""
     a, b = (PurePosixPath(normpath(urlsplit(x).path or "/")) for x in (one, other))

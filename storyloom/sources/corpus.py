@@ -174,29 +174,6 @@ def write_probes(items: DataFrame, folder: str, kind: str) -> None:
     items.withColumn("kind", F.lit(kind)).repartition("phase").sortWithinPartitions("phase", "story_id").write.mode("overwrite").partitionBy("kind", "phase").json(folder)
 
 
-def write_run_record(records: DataFrame, folder: str) -> None:
-    """Run records (run_id, commit_txt, matrix, timings, config) as texts: four files in a folder for each run, rewritten whole.
-
-    Records go one by one through the file system of the folder: a reader never sees half a file.
-    """
-    spark = records.sparkSession
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    names = {"commit_txt": "commit.txt", "matrix": "matrix.json", "timings": "timings.json", "config": "config.json"}
-    for r in records.toLocalIterator():
-        for column, name in names.items():
-            if r[column] is None:
-                continue
-            path = hadoop.Path(f"{folder}/{r['run_id']}/{name}")
-            fresh = hadoop.Path(f"{folder}/{r['run_id']}/.{name}.new")
-            system = path.getFileSystem(conf)
-            out = system.create(fresh, True)
-            out.write(bytearray(r[column].encode()))
-            out.close()
-            system.delete(path, False)
-            if not system.rename(fresh, path):
-                raise OSError(f"can't rename {fresh}")
-
-
 def write_pairs_report(pairs: DataFrame, folder: str) -> None:
     """Near-duplicate pairs as JSON lines with sorted keys, in the order of exam phase, exam story, training phase and training story."""
     rows = pairs.select(*sorted(pairs.columns))

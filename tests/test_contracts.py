@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
 from storyloom.operators import guard, matrix, neardup, packing, probes, runs, scoring
-from storyloom.sources import corpus
+from storyloom.sources import corpus, files
 from storyloom.streaming import ledger as stream
 
 
@@ -139,7 +139,7 @@ def test_run_records_are_rewritten_whole(spark, tmp_path):
     record = lambda hours: [("A_s0_abcdef0_20250101T000000Z", "commit: 1\ndirty: false\n", None, json.dumps({"gpu_hours": hours}), "{}")]
     schema = "run_id string, commit_txt string, matrix string, timings string, config string"
     for hours in (1.0, 2.0):
-        corpus.write_run_record(spark.createDataFrame(record(hours), schema), str(tmp_path))
+        files.write_run_record(spark.createDataFrame(record(hours), schema), str(tmp_path))
     r = corpus.run_folders(spark, str(tmp_path)).first()
     assert json.loads(r["timings"]) == {"gpu_hours": 2.0} and r["matrix"] is None
     loaded = runs.loaded(corpus.run_folders(spark, str(tmp_path))).first()

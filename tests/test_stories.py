@@ -11,7 +11,7 @@ from storyloom.functions import text as T
 from storyloom.operators import guard, matrix, neardup, packing, probes, runs, scoring
 from storyloom.plans import oracles, views
 from storyloom.plans import queries as plans
-from storyloom.sources import corpus
+from storyloom.sources import corpus, files
 from storyloom.streaming import ledger as stream
 
 SMALL = "/root/testdata/sf0.001"
@@ -125,8 +125,8 @@ def test_sources(spark, tmp_path):
     assert cells[0, 0] == 0.5 and cells[0, 1] is None and cells[1, 0] != cells[1, 0] and cells[-1, 0] == 0.1
     assert folders.select(runs.commit_fields(F.col("commit_txt")).alias("m")).first()["m"] == {"commit": "1", "dirty": "false"}
     assert corpus.ledger(spark, str(tmp_path / "none")).count() == 0
-    files = guard.file_hashes(spark, str(tmp_path / "runs"))
-    assert guard.tree_digest(files).first()["n_files"] == 2
+    hashes = files.file_hashes(spark, str(tmp_path / "runs"))
+    assert files.tree_digest(hashes).first()["n_files"] == 2
 
 
 def test_ledger_stream_equals_batch(spark, tmp_path):
