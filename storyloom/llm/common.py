@@ -12,7 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts name it, [\x20\x09-\x0D].
@@ -109,6 +109,24 @@ def set_aside(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def numbered(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """rows with a number from 0 among those alike in key: first inside a partition, then by what the partitions before hold.
+
+    A group that holds a third of all rows is numbered in as many tasks as it lies in partitions. rows must lie alike in their
+    partitions whenever they are read, as a table's do.
+    """
+    rows = rows.withColumn("_pid", F.spark_partition_id())
+    inside = F.row_number().over(Window.partitionBy(*key, "_pid").orderBy(F.lit(1))) - 1
+    sums = rows.groupBy(*key, "_pid").agg(F.count("*").alias("_n"))
+    before = sums.groupBy(*key).agg(F.count("*").alias("_c"), F.collect_list(F.struct("_pid", "_n")).alias("_all")).where("_c > 1")  # one entry for each partition
+    before = before.select(*key, F.explode("_all").alias("_e"), "_all")
+    before = before.select(*key, F.col("_e._pid").alias("_pid"), F.aggregate(F.filter("_all", lambda x: x["_pid"] < F.col("_e._pid")), F.lit(0).cast("long"), lambda a, x: a + x["_n"]).alias("_before"))
+    named = before.select(*(F.col(k).alias(f"{k}_b") for k in key), F.col("_pid").alias("_pid_b"), "_before")
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_b")) for k in [*key, "_pid"]]
+    out = rows.withColumn(name, inside).join(named, same, "left").withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
+    return out.drop("_pid", "_pid_b", "_before", *(f"{k}_b" for k in key))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table that written() or a run index made, by the file system of its path."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

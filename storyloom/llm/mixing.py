@@ -14,10 +14,10 @@ import hashlib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import Tables, ascii_words, shipped
+from storyloom.llm.common import Tables, ascii_words, numbered, shipped
 
 #: Units of a chunk, about; smaller than this a probability counts as 0, nearer than this to 1 as 1; sources of a mix at most.
 CHUNK, TINY, MOST_SOURCES = 4000, 1e-9, 100_000
@@ -90,20 +90,6 @@ def _flown(seed: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return fly
 
 
-def _numbered(rows: DataFrame, key: list[str], name: str) -> DataFrame:
-    """rows with a number from 0 among those alike in key: first inside a partition, then by what the partitions before hold."""
-    rows = rows.withColumn("_pid", F.spark_partition_id())
-    inside = F.row_number().over(Window.partitionBy(*key, "_pid").orderBy(F.lit(1))) - 1
-    sums = rows.groupBy(*key, "_pid").agg(F.count("*").alias("_n"))
-    before = sums.groupBy(*key).agg(F.count("*").alias("_c"), F.collect_list(F.struct("_pid", "_n")).alias("_all")).where("_c > 1")  # one entry for each partition
-    before = before.select(*key, F.explode("_all").alias("_e"), "_all")
-    before = before.select(*key, F.col("_e._pid").alias("_pid"), F.aggregate(F.filter("_all", lambda x: x["_pid"] < F.col("_e._pid")), F.lit(0).cast("long"), lambda a, x: a + x["_n"]).alias("_before"))
-    named = before.select(*(F.col(k).alias(f"{k}_b") for k in key), F.col("_pid").alias("_pid_b"), "_before")
-    same = [F.col(k).eqNullSafe(F.col(f"{k}_b")) for k in [*key, "_pid"]]
-    out = rows.withColumn(name, inside).join(named, same, "left").withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
-    return out.drop("_pid", "_pid_b", "_before", *(f"{k}_b" for k in key))
-
-
 def mixed(docs: DataFrame, most: float = 3, cycle: tuple[float, ...] = CYCLE, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Rows of docs (id, source) with size, source_size, target and copies (how often the mix takes the row).
 
@@ -131,7 +117,7 @@ def _drawn(docs: DataFrame, most: float, cycle: tuple[float, ...], seed: int, id
     facts = [(r["source"], i, r["size"], float(due[r["source"]]), due[r["source"]] / r["size"] if r["size"] else 0.0, max(1, -(-r["n"] // CHUNK))) for i, r in enumerate(order)]
     facts = spark.createDataFrame(facts, "source string, source_nr int, source_size long, target double, ratio double, chunks int")
     facts = F.broadcast(facts.withColumnRenamed("source", "own"))  # MOST_SOURCES rows at most
-    units = _numbered(slim, key, "nr").join(facts, F.col("source").eqNullSafe(F.col("own")), "left").drop("own")
+    units = numbered(slim, key, "nr").join(facts, F.col("source").eqNullSafe(F.col("own")), "left").drop("own")
     turn = F.xxhash64("id", "size", "hash", "nr", F.lit(seed))
     whole = F.least(F.floor("ratio"), F.lit(most)).cast("int")
     units = units.withColumns({"turn": turn, "whole": whole, "p": F.col("ratio") - whole, "chunk": F.pmod(F.xxhash64("id", "hash", "nr", F.lit(seed + 1)), F.col("chunks")).cast("int"), "unit": F.monotonically_increasing_id()})
@@ -157,12 +143,15 @@ def _drawn(docs: DataFrame, most: float, cycle: tuple[float, ...], seed: int, id
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = 3, cycle: tuple[float, ...] = CYCLE, seed: int = 11) -> DataFrame:
-    """The mix itself: docs with each row as often as the mix takes it. Rows alike in id, source and text are dealt their copies by number."""
+    """The mix itself: docs with each row as often as the mix takes it. Rows alike in id, source and text are dealt their copies by number.
+
+    docs is read several times and must read alike each time, as a table does.
+    """
     key = ["id", "source", "size", "hash"]
     taken = _drawn(docs, most, cycle, seed, id_col, text_col, source_col).where("copies > 0")
     taken = taken.select(*(F.col(k).alias(f"_storyloom_{k}_b") for k in [*key, "nr"]), F.col("copies").alias("_storyloom_copies"))
     own = dict(zip(key, (F.col(id_col).cast("long"), F.col(source_col), ascii_words(F.col(text_col)), F.xxhash64(text_col)), strict=True))
     out = docs.withColumns({f"_storyloom_{k}": c for k, c in own.items()})
-    out = out.withColumn("_storyloom_nr", F.row_number().over(Window.partitionBy(*(f"_storyloom_{k}" for k in key)).orderBy(F.lit(1))) - 1)
+    out = numbered(out, [f"_storyloom_{k}" for k in key], "_storyloom_nr")
     same = [F.col(f"_storyloom_{k}").eqNullSafe(F.col(f"_storyloom_{k}_b")) for k in [*key, "nr"]]
     return out.join(taken, same).withColumn("_storyloom_copy", F.explode(F.expr("sequence(1, _storyloom_copies)"))).select(docs.columns)

@@ -2,7 +2,8 @@
 
 One pattern finds candidates in a text. Each is validated (Luhn, mod 97, octets, real dates, number ranges) and becomes an
 array of small numbers, each with the count of values it may take. A keyed Feistel network permutes the array: the
-numbers of one half are shifted, modulo their counts, by a keyed SHA-256 of the other half, in turn. Marks and lengths
+numbers of one half are shifted, modulo their counts, by keyed SHA-256 digests of the other half, in turn; each number of a
+half has bits of its own. Marks and lengths
 stay, check digits are computed anew and ranges kept, so a pseudonym is valid in its format, equal values stay equal across documents,
 and who has the key can undo it. Nothing is shuffled.
 """
@@ -33,6 +34,8 @@ CALLING_CODES = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 #: How many area, group and serial numbers of a social security number are valid (666 isn't, nor is any part of zeros).
 SSN_COUNTS, SSN_GAP = (898, 99, 9999), 666
 ROUNDS = 8
+#: Hexadecimal digits of a digest by which one number is shifted, and numbers that a digest has digits for.
+DRAWN, SERVED = 12, 5
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -48,16 +51,21 @@ def permuted(values: Column, counts: Column, tweak: Column, undo: bool = False)
     def step(held: Column, i: Column) -> Column:
         moves = lambda p: (p < half) == (i % 2 == 0)
         other = F.array_join(F.transform(F.filter(held, lambda _, p: ~moves(p)), lambda x: x.cast("string")), ",")
+        first = F.when(i % 2 == 0, F.lit(0)).otherwise(half).cast("int")
+        many = F.greatest(F.when(i % 2 == 0, half).otherwise(F.size(values) - half), F.lit(1))
+        blocks = F.sequence(F.lit(0), F.floor((many - 1) / SERVED).cast("int"))
 
-        def shifted(key: Column) -> Column:
+        def shifted(keys: Column) -> Column:
             def one(x: Column, p: Column) -> Column:
-                count = F.element_at(counts, p.cast("int") + 1)
-                by = F.conv(F.substring(key, (p * 4 % 60 + 1).cast("int"), F.lit(4)), 16, 10).cast("int") % count
+                count, nth = F.element_at(counts, p.cast("int") + 1), p.cast("int") - first
+                drawn = F.substring(F.element_at(keys, F.floor(nth / SERVED).cast("int") + 1), nth % SERVED * DRAWN + 1, F.lit(DRAWN))
+                by = (F.conv(drawn, 16, 10).cast("long") % count).cast("int")
                 return F.when(moves(p), F.pmod(x - by if undo else x + by, count)).otherwise(x)
 
             return F.transform(held, one)
 
-        return _bound(F.sha2(F.concat_ws("|", tweak, i.cast("string"), other), 256), shifted)
+        digest = lambda b: F.sha2(F.concat_ws("|", tweak, i.cast("string"), b.cast("string"), other), 256)
+        return _bound(F.transform(blocks, digest), shifted)
 
     return F.aggregate(rounds, values, step)
 
@@ -145,9 +153,9 @@ def _date(m: Column, tweak: Column, undo: bool) -> Column:
     return F.when(right, _bound(moved(found), lambda x: shown(x, day.isNull()))).otherwise(m)
 
 
-def pseudonym(m: Column, key: str, undo: bool = False) -> Column:
+def pseudonym(m: Column, key: Column, undo: bool = False) -> Column:
     """What stands for a candidate: itself, if it isn't valid."""
-    tweak = lambda kind: F.lit(f"{key}|{kind}")
+    tweak = lambda kind: F.concat(key, F.lit(f"|{kind}"))
     is_kind = lambda kind: m.rlike(f"^(?:{PATTERNS[kind]})$")
     digits = _digits(m)
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
@@ -178,22 +186,25 @@ def pseudonymised(docs: DataFrame, key: str, undo: bool = False, text_col: str =
 
     All else in a text stays as it is. Null and empty texts stay; candidates that fail validation stay. Equal values
     have equal pseudonyms under one key, phones also where they are written with other marks; undo gives the texts back (a
-    card's or account's check digits must be right). Who has the key can undo it: there is none by default. Other columns
-    pass through, one named like the count as {name}_in; rows that repeat come out alike.
+    card's or account's check digits must be right; a date with the month first whose pseudonym can be read with the day first
+    comes back as another). Who has the key can undo it: there is none by default. The key is read by
+    a subquery, so that no plan, event log or page of the user interface shows it. Other columns pass through, one named
+    like the count as {name}_in; rows that repeat come out alike.
     """
     if not key:
         raise ValueError("pseudonyms need a key")
     docs = set_aside(docs, count_col)
     text, every = F.col(text_col), "|".join(f"(?:{p})" for p in PATTERNS.values())
-    work, found = "_storyloom_new", "_storyloom_found"
+    work, found, secret = "_storyloom_new", "_storyloom_found", "_storyloom_key"
+    held = docs.sparkSession.createDataFrame([(key,)], f"{secret} string").scalar()
     # Most texts hold neither a digit nor an @: they are not split.
     some = text.rlike("[0-9@]")
-    out = docs.withColumn(found, F.when(some, F.regexp_extract_all(text, F.lit(every), 0)))
-    out = out.withColumn(work, F.when(F.size(found) > 0, F.transform(F.col(found), lambda m: pseudonym(m, key, undo))))
+    out = docs.withColumn(found, F.when(some, F.regexp_extract_all(text, F.lit(every), 0))).withColumn(secret, held)
+    out = out.withColumn(work, F.when(F.size(found) > 0, F.transform(F.col(found), lambda m: pseudonym(m, F.col(secret), undo))))
     changed = F.size(F.filter(F.zip_with(found, work, lambda a, b: a != b), lambda x: x))
     pieces = F.split(text, every, -1)
     new = F.array_join(F.zip_with(pieces, F.col(work), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     there = F.col(work).isNotNull()
     out = out.withColumn(count_col, F.when(there, changed).otherwise(0).cast("long"))
-    return out.withColumn(text_col, F.when(there & (F.col(count_col) > 0), new).otherwise(text)).drop(work, found)
+    return out.withColumn(text_col, F.when(there & (F.col(count_col) > 0), new).otherwise(text)).drop(work, found, secret)
 

@@ -179,7 +179,8 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = 4000, bag: int = 32
 
     Of a document of more than `bag` passages, that many from its whole length are learned from; scores read all of them.
 
-    Labels other than 0 and 1 are passed over, as are labels without a document; of several for an id the least counts.
+    Labels other than 0 and 1 are passed over, as are labels without a document; of several for an id the least counts, and of
+    several rows of an id the one whose text has the least hash.
     """
     shipped(docs.sparkSession)
     known = labels.where(learnable(F.col(id_col)) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("label"))
@@ -193,8 +194,9 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = 4000, bag: int = 32
                 flat = pa.array([a.tobytes() for a in bags], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), flat], names=["id", "label", "passages"])
 
-    # `sample` rows at most are broadcast, and as many documents' features fetched.
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known.withColumn("label", F.col("label").cast("int"))), "id")
+    # `sample` rows at most are broadcast, and as many documents' features fetched, one for each id.
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(F.xxhash64(text_col), F.col(text_col).alias("text")).alias("one"))
+    texts = texts.join(F.broadcast(known.withColumn("label", F.col("label").cast("int"))), "id").groupBy("id").agg(F.min("one").alias("one"), F.min("label").alias("label")).select("id", "label", "one.text")
     rows = sorted(texts.mapInArrow(encode, "id long, label int, passages binary").collect(), key=lambda r: (r["id"], r["passages"]))
     if not rows:
         return None

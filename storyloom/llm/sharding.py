@@ -3,8 +3,8 @@
 A document's key is its text's hash, so equal texts are neighbours on the ring. The ring is cut into CELLS arcs of equal
 length; a cell's owner is the next virtual node clockwise. Cells are placed in ring order: a cell whose shard is full
 (its bytes would exceed (1 + slack) of the mean) continues clockwise to the next shard with room. Cells that hold many
-times the mean are first split by the hash of the document's id into parts of about the mean, so that a group of copies may
-span shards. Only the totals of cells and parts reach the driver: less than four times CELLS rows, whatever the input.
+times the mean are first split into parts of about the mean, by the hash of the document's id and of its number among the rows
+of the same id and text, so that a group of copies, or of repeated rows, may span shards. Only the totals of cells and parts reach the driver: less than four times CELLS rows, whatever the input.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import written
+from storyloom.llm.common import numbered, written
 
 #: Arcs of the ring, and from how many times the mean a cell is crowded.
 CELLS, CROWDED = 1 << 14, 8
@@ -48,8 +48,8 @@ def place_cells(sizes: list[tuple[int, int, int]], shards: int, virtual_nodes: i
 def sharded(docs: DataFrame, shards: int = 8, virtual_nodes: int = 64, slack: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, size (UTF-8 bytes of the text, null none, plus 1), text_crc32, shard and slot (gapless from 0 in each shard).
 
-    Null texts are one key, null ids one id. Rows that repeat are placed alike unless their cell is split. Columns beside id
-    and text are not read. An empty table gives an empty result.
+    Null texts are one key, null ids one id. Rows that repeat are placed alike unless their cell is crowded; then they are dealt
+    like others. Columns beside id and text are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     text, nr = F.col(text_col), F.col(id_col)
@@ -57,6 +57,7 @@ def sharded(docs: DataFrame, shards: int = 8, virtual_nodes: int = 64, slack: fl
         nr.alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
+        F.xxhash64(text, F.lit(1)).alias("hash"),
         F.pmod(F.xxhash64(text, F.lit(1)), F.lit(CELLS)).cast("int").alias("cell"),
     )
     rows = written(rows, "sizes")
@@ -66,8 +67,10 @@ def sharded(docs: DataFrame, shards: int = 8, virtual_nodes: int = 64, slack: fl
     # A crowded cell has as many parts as it holds means of either kind: 2 * CELLS and one for each cell at most, all together.
     crowded = [(r["cell"], math.ceil(max(r["size"] / most, r["n"] / many))) for r in cells if r["size"] > CROWDED * most or r["n"] > CROWDED * many]
     split = F.broadcast(spark.createDataFrame(crowded, "cell int, parts int"))
-    part = F.pmod(F.xxhash64("id", F.lit(2)), F.coalesce("parts", F.lit(1))).cast("int")
-    rows = rows.join(split, "cell", "left").withColumn("part", part).drop("parts")
+    # Only rows of crowded cells are numbered, and each part of a hot group by itself.
+    dealt = numbered(rows.join(split, "cell"), ["id", "hash"], "nr").withColumn("part", F.pmod(F.xxhash64("id", "nr", F.lit(2)), "parts").cast("int"))
+    whole = rows.join(split, "cell", "left_anti").withColumn("part", F.lit(0))
+    rows = written(whole.unionByName(dealt.drop("nr", "parts")).drop("hash"), "parts")
     sums = rows.groupBy("cell", "part").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     sums = sums.collect()
     place = place_cells([(r["cell"], r["part"], r["size"]) for r in sums], shards, virtual_nodes, slack)

@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import datetime
 import hashlib
 import random
 import zlib
@@ -221,6 +222,42 @@ def test_sharding(spark):
     assert sharding.sharded(table(spark, [])).count() == 0
 
 
+def test_repeated_rows_are_dealt_over_all_shards(spark):
+    rng = random.Random(16)
+    for again in ((7, "one row that comes again and again"), (None, "one row that comes again and again"), (7, None)):
+        rows = [(i, text(rng, rng.randrange(1, 60)), "x") for i in range(3000)] + [(*again, "x")] * 6000
+        got = sharding.sharded(table(spark, rows).repartition(5)).collect()
+        load, slots = collections.Counter(), collections.defaultdict(list)
+        for r in got:
+            load[r["shard"]] += r["size"]
+            slots[r["shard"]].append(r["slot"])
+        mean = sum(load.values()) / 8
+        assert len(got) == 9000 and len(load) == 8 and max(load.values()) < 1.01 * mean and min(load.values()) > 0.98 * mean
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        assert sorted(map(str, got)) == sorted(map(str, sharding.sharded(table(spark, rows).repartition(3)).collect()))
+
+
+def test_equal_texts_share_a_shard_where_it_has_room(spark):
+    rng = random.Random(17)
+    rows = [(i, text(rng, 20), "x") for i in range(4000)] + [(5000 + i, f"text {i % 200} held by five documents", "x") for i in range(1000)]
+    shards = collections.defaultdict(set)
+    for r in sharding.sharded(table(spark, rows)).collect():
+        shards[r["text_crc32"]].add(r["shard"])
+    assert sum(len(s) > 1 for s in shards.values()) <= 8
+
+
+def test_rows_of_one_labelled_id_are_learned_from_once(spark):
+    rows = [(1, f"one labelled text {i % 60} of an id") for i in range(50_000)] + [(i, f"text {i} " * 9) for i in range(2, 40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    seen, real = [], quality.BagModel.fit
+    try:
+        quality.BagModel.fit = lambda self, x, bounds, y, **k: seen.append(len(y)) or real(self, x, bounds, y, **k)
+        quality.fitted(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), labels, sample=30)
+    finally:
+        quality.BagModel.fit = real
+    assert 20 <= seen[0] <= 30
+
+
 def test_ring_moves_few_keys():
     sizes = [(c, 0, 1) for c in range(sharding.CELLS)]
     a, b = (sharding.place_cells(sizes, n, 64, 0.3) for n in (8, 9))
@@ -362,7 +399,7 @@ def test_pipeline(spark):
 
 
 def test_queries_and_oracles_name_each_other():
-    assert set(queries.ORACLE) <= set(queries.QUERIES) and [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert set(queries.ORACLE) <= set(queries.QUERIES) and [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_long_secrets_are_replaced(spark):
@@ -404,11 +441,9 @@ def twin_permuted(values, counts, tweak):
     for i in range(pii.ROUNDS):
         moves = [(p < half) == (i % 2 == 0) for p in range(len(values))]
         other = ",".join(str(x) for x, m in zip(values, moves, strict=True) if not m)
-        key = hashlib.sha256("|".join((tweak, str(i), other)).encode()).hexdigest()
-        for p, m in enumerate(moves):
-            if m:
-                at = p * 4 % 60
-                values[p] = (values[p] + int(key[at : at + 4], 16)) % counts[p]
+        for nth, p in enumerate(p for p, m in enumerate(moves) if m):
+            key = hashlib.sha256("|".join((tweak, str(i), str(nth // 5), other)).encode()).hexdigest()
+            values[p] = (values[p] + int(key[nth % 5 * 12 :][:12], 16)) % counts[p]
     return values
 
 
@@ -421,8 +456,48 @@ def twin_spaced(like, plain):
     return "".join(next(it) if c.isalnum() else c for c in like)
 
 
+def twin_characters(chars, tweak, letters=26):
+    """Letters and digits permuted in their kinds, other characters kept."""
+    kinds = [next(((a, n) for a, n in (("0", 10), ("A", letters), ("a", letters)) if 0 <= ord(c) - ord(a) < n), (c, 1)) for c in chars]
+    moved = twin_permuted([ord(c) - ord(a) for c, (a, _) in zip(chars, kinds, strict=True)], [n for _, n in kinds], tweak)
+    return "".join(chr(ord(a) + x) for x, (a, _) in zip(moved, kinds, strict=True))
+
+
+def twin_date(m, tweak):
+    """A day's place in its block of 28 years, as 21 rows of 487 days, permuted."""
+    year_first, mark = m[4] in "-/.", m[4] if m[4] in "-/." else m[2]
+    a, b, c = m.split(mark)
+    orders = ["ymd"] if year_first else ["dmy", "mdy"]
+    for order in orders:
+        part = dict(zip(order, (a, b, c), strict=True))
+        try:
+            day = datetime.date(int(part["y"]), int(part["m"]), int(part["d"]))
+        except ValueError:
+            continue
+        start = datetime.date(day.year - (day.year - 1904) % 28, 1, 1)
+        nr = (day - start).days
+        x, y = twin_permuted([nr // 487, nr % 487], [21, 487], f"{tweak}|{start}")
+        new = start + datetime.timedelta(days=x * 487 + y)
+        return mark.join({"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}[k] for k in order)
+    return m
+
+
+def mod97(x):
+    return int("".join(str(int(c, 36)) for c in x)) % 97
+
+
 def twin(kind, m):
     """The pseudonym of a valid value of a kind, by brute force."""
+    if kind == "email":
+        name, host = m.split("@")
+        return f"{twin_characters(name, f'{KEY}|email|@{host}')}@{host}"
+    if kind == "secret":
+        return twin_characters(m, f"{KEY}|secret", 6)
+    if kind == "iban":
+        land, bank = m[:2], twin_characters(m.replace(" ", "")[4:], f"{KEY}|iban")
+        return twin_spaced(m, f"{land}{98 - mod97(bank + land + '00'):02d}{bank}")
+    if kind == "date":
+        return twin_date(m, f"{KEY}|date")
     digits, tweak = "".join(c for c in m if c.isdigit()), f"{KEY}|{kind}"
     if kind == "ssn":
         valid = [[a for a in range(1, 900) if a != 666], list(range(1, 100)), list(range(1, 10000))]
@@ -441,26 +516,55 @@ def twin(kind, m):
 def test_pii_against_a_plain_twin(spark):
     rng = random.Random(12)
     number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    values = [("ssn", f"{rng.choice([a for a in range(1, 900) if a != 666]):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}") for _ in range(2000)]
-    for _ in range(150):
+    values = [("ssn", f"{rng.choice([a for a in range(1, 900) if a != 666]):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}") for _ in range(500)]
+    for _ in range(25):
         card = number(15)
         card = next(card + c for c in "0123456789" if luhn(card + c))
         values += [("card", card), ("card", " ".join(card[i : i + 4] for i in range(0, 16, 4))), ("ip", ".".join(str(rng.randrange(256)) for _ in range(4)))]
         n = number(9)
         values += [("phone", f"+49 {n[:2]} {n[2:6]} {n[6:]}"), ("phone", f"+49{n}"), ("phone", f"+1 ({n[:3]}) {n[3:6]}-{number(4)}"), ("phone", f"+353 {n[:2]} {n[2:5]} {n[5:]}")]
+        values += [("email", rng.choice(["ann.Lee-7", "x", "A" * 40 + "9" * 20, "q_1+z%2"]) + number(2) + "@mail.example.org"), ("secret", "".join(rng.choice("0123456789abcdefABCDEF") for _ in range(rng.choice([32, 40, 64, 65, 128]))) + "0a")]
+        day = datetime.date(1904, 1, 1) + datetime.timedelta(days=rng.randrange(71_000))
+        values += [("date", day.isoformat()), ("date", day.strftime("%d.%m.%Y")), ("date", day.strftime("%m/%d/%Y"))]
+        bank = "".join(rng.choice("0123456789ABCXYZ") for _ in range(16)) + number(2)
+        account = f"DE{98 - mod97(bank + 'DE00'):02d}{bank}"
+        values += [("iban", account), ("iban", " ".join(account[i : i + 4] for i in range(0, 22, 4)))]
     docs = spark.createDataFrame([(i, f"was {v} there") for i, (_, v) in enumerate(values)], "doc_id long, text string")
     out = pii.pseudonymised(docs, KEY)
     got = [r["text"][4:-6] for r in out.orderBy("doc_id").collect()]
     assert got == [twin(*v) for v in values]
     ssns = [g for g, (k, _) in zip(got, values, strict=True) if k == "ssn"]
     assert not [x for x in ssns if x[:3] in ("000", "666") or x[0] == "9" or x[4:6] == "00" or x[7:] == "0000"]
-    assert [r["text"][4:-6] for r in pii.pseudonymised(out, KEY, undo=True).orderBy("doc_id").collect()] == [v for _, v in values]
+    back = [r["text"][4:-6] for r in pii.pseudonymised(out, KEY, undo=True).orderBy("doc_id").collect()]
+    assert all(b == v for b, (_, v) in zip(back, values, strict=True) if "/" not in v)  # month first, its pseudonym may read day first
     phones = [g for g, (k, v) in zip(got, values, strict=True) if k == "phone" and v.startswith("+49")]
     assert all(a.replace(" ", "") == b for a, b in zip(phones[::2], phones[1::2], strict=True))
     with pytest.raises(ValueError, match="key"):
         pii.pseudonymised(docs, "")
 
 
+def test_no_two_places_of_a_half_move_alike(spark):
+    """Differences of places 15 apart, and of all others of a half, are not kept."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(400).select(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: (F.xxhash64(p, "id") % 5 + 5).cast("int")).alias("v"))
+    got = rows.select("v", pii.permuted(F.col("v"), F.array_repeat(F.lit(10), 64), F.lit("k")).alias("w")).collect()
+    v, w = (np.array([r[c] for r in got]) for c in "vw")
+    moved = (w - v) % 10
+    for half in (moved[:, :32], moved[:, 32:]):
+        same = (half[:, :, None] == half[:, None, :]).mean(axis=0)
+        assert same[~np.eye(32, dtype=bool)].max() < 0.2
+    assert abs(np.bincount(moved.ravel(), minlength=10) / moved.size - 0.1).max() < 0.01
+
+
+def test_no_plan_shows_the_key(spark):
+    docs = spark.createDataFrame([(1, "x a1@b.example.com 1990-02-28")], "doc_id long, text string")
+    out = pii.pseudonymised(docs, "hide this key of mine")
+    out.collect()
+    execution = out._jdf.queryExecution()
+    assert not any("hide this key" in str(x) for x in (execution.toString(), execution.executedPlan().toString(), execution.analyzed().toString(), execution.optimizedPlan().toJSON()))
+
+
 def test_columns_of_an_operators_names_are_kept(spark):
     docs = spark.createDataFrame([(1, "a b", 9, 8, 7, 6, 5)], "doc_id long, text string, score int, n_lines int, n_dropped int, n_replaced int, score_in int")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
@@ -527,7 +631,7 @@ def test_mixing_rows_that_repeat(spark):
     docs = table(spark, rows)
     got = sorted(map(str, mixing.mixed(docs).collect()))
     assert got == sorted(map(str, mixing.mixed(docs.repartition(7)).collect()))
-    numbers = mixing._numbered(docs.select("doc_id", "source").repartition(5), ["doc_id", "source"], "nr").collect()
+    numbers = common.numbered(docs.select("doc_id", "source").repartition(5), ["doc_id", "source"], "nr").collect()
     by = collections.defaultdict(list)
     for r in numbers:
         by[r["doc_id"], r["source"]].append(r["nr"])
@@ -584,13 +688,21 @@ def test_best_region_against_brute_force():
         assert abs(sum(scores[a:b]) - best) < 1e-9
 
 
-def test_html_takes_linear_time():
+@pytest.mark.parametrize("page", [lambda n: "<b>" * n + "</i>" * n, lambda n: "<div><span>" * n, lambda n: "<b>" * n + "<p>x" * n, lambda n: "".join(f"<div class=c{i}>" for i in range(2 * n))])
+def test_html_takes_linear_time(page):
+    """Four times the page takes less than six times the time, whatever the machine's speed."""
     import time
 
-    for page in ("<b>" * 50000 + "</i>" * 50000, "<div><span>" * 50000, "<b>" * 50000 + "<p>x" * 50000, "".join(f"<div class=c{i}>" for i in range(100000))):
-        began = time.perf_counter()
-        html_extract.extract(page)
-        assert time.perf_counter() - began < 2
+    def least(n):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            html_extract.extract(page(n))
+            took.append(time.process_time() - began)
+        return min(took)
+
+    small = least(10_000)
+    assert least(40_000) < 6 * small + 0.05
 
 
 def test_bpe_odd_rows(spark):
