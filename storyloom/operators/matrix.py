@@ -110,6 +110,26 @@ def compare(aggregates: DataFrame, pairs: list[tuple[str, str]], metric: str = "
     return out.select("arm", "other", metric, diff.alias("diff"), spread.alias("spread"), decided.alias("decided"))
 
 
+def run_results(matrix: DataFrame, runs: DataFrame, exam: str) -> DataFrame:
+    """(run, arm, seed, accuracy, forgetting, lost, gpu_hours) of runs (run, arm, seed, gpu_hours) on an exam; null where it has no such score.
+
+    lost: the share of its peak on the first phase that a run lost.
+    """
+    own = matrix.where(F.col("exam") == exam)
+    parts = [average_accuracy(own).select("run", F.col("value").alias("accuracy")), average_forgetting(own).select("run", F.col("value").alias("forgetting")), peak_lost(own).where("j = 0").select("run", "lost")]
+    out = runs.select("run", "arm", "seed", "gpu_hours")
+    for part in parts:
+        out = out.join(part, "run", "left")
+    return out.select("run", "arm", "seed", "accuracy", "forgetting", "lost", "gpu_hours")
+
+
+def verdict_table(matrix: DataFrame, runs: DataFrame, headline: str = DECIDING[0], second: str = DECIDING[1]) -> DataFrame:
+    """(exam, hypothesis, verdict): the verdicts by each of the two deciding exams, and by `both`: shared, or split."""
+    both = [verdicts(run_results(matrix, runs, exam)) for exam in (headline, second)]
+    named = [b.select(F.lit(exam).alias("exam"), "hypothesis", "verdict") for b, exam in zip(both, (headline, second), strict=True)]
+    return named[0].unionByName(named[1]).unionByName(split_verdicts(*both).select(F.lit("both").alias("exam"), "hypothesis", "verdict"))
+
+
 def verdicts(runs: DataFrame) -> DataFrame:
     """(hypothesis, verdict) from per-run rows (arm, seed, accuracy, forgetting, lost, gpu_hours).
 

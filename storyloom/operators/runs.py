@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
-from storyloom.operators import guard
+from storyloom.operators import guard, matrix
+from storyloom.sources import corpus
 
 #: What a run id looks like, and what its commit record must hold, none of it empty.
 RUN_ID = r"^([A-Za-z0-9-]+)_s(\d+)_([0-9a-fA-F]{7})_(\d{8}T\d{6}Z)$"
@@ -198,6 +199,13 @@ def consistent(runs: DataFrame) -> DataFrame:
     return guard.majority(same, "_hashes", "run_id", ["arm"]).drop("_phases", "_hashes", "_all")
 
 
+def folder_verdicts(folders: DataFrame, pilot: bool = False) -> DataFrame:
+    """(exam, hypothesis, verdict) from run folders as texts: usable runs of a kind that agree in phases and hashes, their scores, the verdicts."""
+    used = consistent(of_kind(loaded(folders), pilot)).select(F.col("run_id").alias("run"), "arm", "seed", "gpu_hours")
+    cells = corpus.matrix_cells(folders.join(used.select(F.col("run").alias("run_id")), "run_id", "left_semi"))
+    return matrix.verdict_table(cells, used)
+
+
 def arm_hours(runs: DataFrame) -> DataFrame:
     """(arm, mean, sd, n, problem): hours over the seeds of an arm; more than one GPU's name is a problem, and gives no mean."""
     names = F.array_join(F.array_sort(F.collect_set("gpu_name")), ",")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from storyloom.plans import contract_oracles
-from storyloom.plans.views import GRIDS
 
 ORACLES: dict[str, str] = dict(contract_oracles.ORACLES)
 
@@ -231,8 +230,10 @@ ORACLES["seed_aggregate"] = f"WITH {_ARMS} SELECT arm, metric, round(mean, 9) AS
 ORACLES["arm_compare"] = f"""WITH {_ARMS}, p(arm, other) AS (VALUES ('A', 'B'), ('D', 'C'), ('D', 'E'), ('D-nr', 'D'))
 SELECT x.arm, y.arm AS other, x.metric, round(x.mean - y.mean, 9) AS diff, round(greatest(x.sd, y.sd), 6) AS spread, abs(x.mean - y.mean) > greatest(x.sd, y.sd) AS decided FROM p JOIN g x ON x.arm = p.arm JOIN g y ON y.arm = p.other"""
 
-_GRID = ", ".join(f"('{k}', '{a}', {s}, {acc + (s - 1) * 0.005!r}, {f + (s - 1) * 0.004!r}, {f / (acc + f)!r}, {h!r})" for k, g in GRIDS.items() for a, (acc, f, h) in g.items() for s in range(3))
-ORACLES["hypothesis_verdicts"] = f"""WITH r(grid, arm, seed, acc, forg, lost, hours) AS (VALUES {_GRID}),
+ORACLES["hypothesis_verdicts"] = f"""WITH s AS (SELECT (user_id % 21)::INTEGER AS run, CASE WHEN event_id % 2 = 0 THEN 'continuation' ELSE 'cloze' END AS exam, ((event_id // 2) % 8)::INTEGER - 1 AS i, ((event_id // 16) % 7)::INTEGER AS j, sum(floor(value * 100)::BIGINT) / count(value) / 100 AS score FROM events GROUP BY ALL),
+{_ACCURACY}, {_FORGET}, hh AS (SELECT (user_id % 21)::INTEGER AS run, sum(floor(value * 100)::BIGINT) / 100 AS hours FROM events GROUP BY 1),
+af AS (SELECT run, exam, avg(forgetting) AS forg FROM f WHERE j < (SELECT max(g.j) FROM f g WHERE g.run = f.run AND g.exam = f.exam) GROUP BY run, exam),
+r AS (SELECT a.exam AS grid, ['phase0', 'A', 'B', 'C', 'D', 'D-nr', 'E'][a.run % 7 + 1] AS arm, a.run // 7 AS seed, a.value AS acc, af.forg, p.forgetting / p.peak AS lost, hh.hours FROM acc a LEFT JOIN af ON af.run = a.run AND af.exam = a.exam LEFT JOIN f p ON p.run = a.run AND p.exam = a.exam AND p.j = 0 AND p.peak > 0 JOIN hh ON hh.run = a.run),
 g AS (SELECT grid, arm, avg(acc::DOUBLE) AS acc, stddev_samp(acc::DOUBLE) AS acc_sd, avg(forg::DOUBLE) AS forg, stddev_samp(forg::DOUBLE) AS forg_sd, avg(lost::DOUBLE) AS lost, avg(hours::DOUBLE) AS hours FROM r GROUP BY ALL),
 h AS (SELECT d.grid, avg(d.hours::DOUBLE / b.hours) AS ratio FROM r d JOIN r b ON b.grid = d.grid AND b.seed = d.seed AND b.arm = 'B' WHERE d.arm = 'D' GROUP BY d.grid),
 v AS (
@@ -241,7 +242,7 @@ v AS (
   UNION ALL SELECT grid, 'H2b', CASE WHEN ratio <= 1.5 THEN 'low' WHEN ratio <= 2 THEN 'middle' ELSE 'high' END FROM h
   UNION ALL SELECT d.grid, 'H3', CASE WHEN NOT abs(d.acc - c.acc) > greatest(d.acc_sd, c.acc_sd) THEN 'killed' WHEN (d.acc - c.acc) * 100 >= 5 THEN 'confirmed' ELSE 'neither' END FROM g d JOIN g c ON c.grid = d.grid AND c.arm = 'C' WHERE d.arm = 'D'
   UNION ALL SELECT d.grid, 'H4', CASE WHEN NOT abs(n.forg - d.forg) > greatest(n.forg_sd, d.forg_sd) THEN 'killed' WHEN n.forg > d.forg THEN 'confirmed' ELSE 'neither' END FROM g d JOIN g n ON n.grid = d.grid AND n.arm = 'D-nr' WHERE d.arm = 'D')
-SELECT grid, hypothesis, verdict FROM v UNION ALL SELECT 'both', a.hypothesis, CASE WHEN a.verdict = b.verdict THEN a.verdict ELSE 'split' END FROM v a JOIN v b ON b.hypothesis = a.hypothesis AND a.grid = 'confirming' AND b.grid = 'killing'"""
+SELECT grid AS exam, hypothesis, verdict FROM v UNION ALL SELECT 'both', a.hypothesis, CASE WHEN a.verdict = b.verdict THEN a.verdict ELSE 'split' END FROM v a JOIN v b ON b.hypothesis = a.hypothesis AND a.grid = 'continuation' AND b.grid = 'cloze'"""
 
 _LEDGER = "led AS (SELECT ['phase0', 'A', 'B', 'C', 'D', 'D-nr', 'E'][user_id % 7 + 1] AS arm, (user_id % 3)::INTEGER AS seed, event_type AS status, value AS gpu_hours, 'gpu' || (user_id % 2) AS gpu_name FROM events)"
 ORACLES["gpu_ratio"] = f"WITH {_LEDGER}, h AS (SELECT arm, seed, sum(floor(gpu_hours * 100)::BIGINT) / 100 AS h FROM led GROUP BY ALL) SELECT a.seed, round(a.h / b.h, 9) AS ratio FROM h a JOIN h b ON b.seed = a.seed WHERE a.arm = 'D' AND b.arm = 'B' AND b.h <> 0"

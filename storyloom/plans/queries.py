@@ -287,9 +287,8 @@ def arm_compare(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def hypothesis_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    both = [matrix.verdicts(V.grid(spark, kind)).withColumn("grid", F.lit(kind)) for kind in V.GRIDS]
-    split = matrix.split_verdicts(*[b.drop("grid") for b in both]).withColumn("grid", F.lit("both"))
-    return both[0].unionByName(both[1]).unionByName(split)
+    """Verdicts by either deciding exam and by both, over the runs that the events make."""
+    return matrix.verdict_table(*V.two_exams(spark, sf))
 
 
 @query

@@ -46,14 +46,13 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("run", F.when(F.col("run") % 2 == 0, "continuation").otherwise("perplexity").alias("exam"), "i", "j", (F.col("s") / F.col("n") / 100).alias("value"))
 
 
-#: Fixed values: (arm, seed, accuracy, forgetting, lost, hours) of a grid that confirms every hypothesis and one that kills them.
-def grid(spark: SparkSession, kind: str) -> DataFrame:
-    means = GRIDS[kind]
-    rows = [(arm, seed, acc + (seed - 1) * 0.005, forg + (seed - 1) * 0.004, forg / (acc + forg), hours) for arm, (acc, forg, hours) in means.items() for seed in range(3)]
-    return spark.createDataFrame(rows, "arm string, seed int, accuracy double, forgetting double, lost double, gpu_hours double")
-
-
-GRIDS = {
-    "confirming": {"A": (0.30, 0.30, 1.0), "B": (0.40, 0.30, 1.0), "C": (0.50, 0.20, 1.1), "D": (0.60, 0.10, 1.4), "D-nr": (0.45, 0.25, 1.4), "E": (0.62, 0.02, 1.0)},
-    "killing": {"A": (0.48, 0.02, 1.0), "B": (0.55, 0.10, 1.0), "C": (0.55, 0.30, 1.0), "D": (0.55, 0.30, 2.1), "D-nr": (0.55, 0.30, 1.0), "E": (0.60, 0.05, 1.0)},
-}
+def two_exams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events as scores of three runs of each arm on two exams, by the event's parity, and the runs with their hours."""
+    e = table(spark, sf_dir, "events").withColumn("run", F.pmod("user_id", F.lit(21)).cast("int"))
+    exam = F.when(F.col("event_id") % 2 == 0, "continuation").otherwise("cloze").alias("exam")
+    keys = ["run", exam, (F.pmod(F.floor(F.col("event_id") / 2), F.lit(8)) - 1).cast("int").alias("i"), F.pmod(F.floor(F.col("event_id") / 16), F.lit(7)).cast("int").alias("j")]
+    cents = F.floor(F.col("value") * 100).cast("long")
+    cells = e.groupBy(*keys).agg((F.sum(cents) / F.count("value") / 100).alias("value"))
+    arm = F.element_at(F.array(*map(F.lit, ("phase0", "A", "B", "C", "D", "D-nr", "E"))), F.col("run") % 7 + 1)
+    runs = e.groupBy("run").agg((F.sum(cents) / 100).alias("gpu_hours")).select("run", arm.alias("arm"), F.floor(F.col("run") / 7).cast("int").alias("seed"), "gpu_hours")
+    return cells, runs
