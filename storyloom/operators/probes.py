@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
+from storyloom.operators import guard
 
 #: Candidates of a cloze item, options of a continuation item, and their length by the answer's.
 N_CANDIDATES, N_OPTIONS, LENGTH_LOW, LENGTH_HIGH = 20, 4, 0.5, 2.0
@@ -254,6 +255,20 @@ def continuation_contract(items: DataFrame, manifest: DataFrame, training: DataF
     return out
 
 
+def shortfalls(items: DataFrame, asked: int, phases: list[int]) -> DataFrame:
+    """(rule, entity, detail) of phases that have fewer items than are asked of each, phases without any included."""
+    every = items.sparkSession.createDataFrame([(k,) for k in phases], "phase int")
+    counts = every.join(items.groupBy("phase").agg(F.count("*").alias("n")), "phase", "left").select("phase", F.coalesce("n", F.lit(0)).alias("n"))
+    return counts.where(F.col("n") < asked).select(F.lit("too few items").alias("rule"), F.col("phase").cast("string").alias("entity"), F.concat(F.col("n").cast("string"), F.lit(f" of {asked}")).alias("detail"))
+
+
+def asked_items(items: DataFrame, asked: int, phases: list[int]) -> DataFrame:
+    """The first `asked` items of each phase by id; ContractViolation if a phase has fewer: a short exam is refused, not given."""
+    guard.enforce(shortfalls(items, asked, phases))
+    turn = Window.partitionBy("phase").orderBy("id")
+    return items.where(F.col("phase").isin(phases)).withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= asked).drop("_turn")
+
+
 def phase_row_violations(stories: DataFrame, filed: str = "phase") -> DataFrame:
     """(phase, id, rule) of stories that are not of the phase they are filed under, or hold the mask."""
     rules = {"phase": ~F.col("phase").eqNullSafe(F.col(filed)), "holds the mask": F.coalesce(F.contains("story", F.lit(T.MASK)), F.lit(False))}

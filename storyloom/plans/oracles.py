@@ -206,6 +206,7 @@ p AS (SELECT phase, story_id, answer, word, prev, next, count(*) AS k FROM b GRO
 s AS (SELECT p.phase, p.story_id, p.answer, p.word, round(sum(p.k * {_LOGP}), 6) AS s FROM p LEFT JOIN counts m ON m.prev = p.prev AND m.next = p.next LEFT JOIN totals o ON o.prev = p.prev GROUP BY ALL),
 r AS (SELECT phase, story_id, max(s) FILTER (WHERE word = answer) > max(s) FILTER (WHERE word <> answer) AS ok, count(*) AS k FROM s GROUP BY ALL)
 SELECT phase, count(*)::BIGINT AS n, (count(*) FILTER (WHERE ok))::BIGINT AS n_correct, round(avg(ok::INTEGER::DOUBLE), 6) AS accuracy, round(avg(1 / k), 6) AS chance FROM r GROUP BY phase"""
+ORACLES["item_shortfalls"] = f"""SELECT 'too few items' AS rule, p.phase::VARCHAR AS entity, coalesce(c.n, 0) || ' of 1000' AS detail FROM range(7) p(phase) LEFT JOIN (SELECT phase, n FROM ({ORACLES["cloze_accuracy"]})) c ON c.phase = p.phase WHERE coalesce(c.n, 0) < 1000"""
 ORACLES["windowed_perplexity"] = f"""WITH {_TRAIN}, {_EXAM}, grams AS ({_unnested("", "story", "exam")}), {_MODEL},
 p AS (SELECT phase, prev, next, count(*) AS c FROM ({_unnested("phase, ", "story", "train")}) WHERE (pos - 1) % 1024 <> 0 GROUP BY ALL)
 SELECT phase, sum(p.c)::BIGINT AS n_tokens, round(-sum(p.c * {_LOGP}) / sum(p.c), 6) AS loss FROM p LEFT JOIN counts m ON m.prev = p.prev AND m.next = p.next LEFT JOIN totals o ON o.prev = p.prev GROUP BY phase"""

@@ -190,6 +190,12 @@ def cloze_items_all(spark: SparkSession, sf: str) -> DataFrame:
     return _cloze_all(spark, sf).select("phase", "item", "story_id", "answer", F.sha2("text_with_mask", 256).alias("text_sha256"), F.array_join("candidates", ",").alias("candidates"))
 
 
+@query
+def item_shortfalls(spark: SparkSession, sf: str) -> DataFrame:
+    """Phases that can't give a thousand cloze items."""
+    return probes.shortfalls(_cloze_all(spark, sf), 1000, list(range(7)))
+
+
 @query
 def probe_violations_all(spark: SparkSession, sf: str) -> DataFrame:
     return probes.cloze_violations(_cloze_all(spark, sf)).groupBy("rule").agg(F.count("*").alias("n"))

@@ -143,3 +143,14 @@ def test_folders_that_are_refused(spark, folder, name, change, rule):
     edit(path / f"{name}.jsonl", change)
     with pytest.raises(guard.ContractViolation, match=rule):
         exam.evaluate_folder(spark, str(path), after("q", "x"), [0], frozen)
+
+
+def test_a_short_exam_is_refused(spark):
+    from storyloom.operators import probes
+
+    items = spark.createDataFrame([(k, f"i{k}{n}") for k in (0, 2) for n in range(3 + k)], "phase int, id string")
+    short = {(r["entity"], r["detail"]) for r in probes.shortfalls(items, 4, [0, 1, 2]).collect()}
+    assert short == {("0", "3 of 4"), ("1", "0 of 4")}
+    with pytest.raises(guard.ContractViolation, match="too few items: 0"):
+        probes.asked_items(items, 4, [0, 2])
+    assert sorted(r["id"] for r in probes.asked_items(items, 3, [0, 2]).collect()) == ["i00", "i01", "i02", "i20", "i21", "i22"]
