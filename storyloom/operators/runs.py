@@ -201,8 +201,10 @@ def consistent(runs: DataFrame) -> DataFrame:
 
 def folder_verdicts(folders: DataFrame, pilot: bool = False) -> DataFrame:
     """(exam, hypothesis, verdict) from run folders as texts: usable runs of a kind that agree in phases and hashes, their scores, the verdicts."""
-    used = consistent(of_kind(loaded(folders), pilot)).select(F.col("run_id").alias("run"), "arm", "seed", "gpu_hours")
-    cells = corpus.matrix_cells(folders.join(used.select(F.col("run").alias("run_id")), "run_id", "left_semi"))
+    # Kept: a dozen parts of the verdicts read both, and reading a folder's documents is what takes the time.
+    read = loaded(folders).persist()
+    used = consistent(of_kind(read, pilot)).select(F.col("run_id").alias("run"), "arm", "seed", "gpu_hours").persist()
+    cells = corpus.matrix_cells(folders.join(used.select(F.col("run").alias("run_id")), "run_id", "left_semi")).persist()
     return matrix.verdict_table(cells, used)
 
 
