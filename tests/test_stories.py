@@ -54,6 +54,40 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(exam, train, max_postings=0).where("rule = 'shingle'").count() == 0
 
 
+def test_near_duplicate_scores_by_counts(spark):
+    # 70 exam stories share a passage, so its shingles are rare for none; copies are one class, whatever their number.
+    shared = " ".join(f"s{i}" for i in range(20))
+    exam = [(i, i % 3, " ".join(f"e{i}w{k}" for k in range(i % 30 + 2)) + " " + shared) for i in range(70)] + [(100 + i, i % 3, "copy " * 3 + shared + " of its own") for i in range(5)]
+    train = [(1000 + i, i % 3, f"t{i} " * 70 + exam[i][2]) for i in range(40)] + [(2000 + i, 1, exam[70][2]) for i in range(9)] + [(None, 1, exam[3][2]), (3000, 2, "!"), (3001, 2, None)]
+
+    def grams(text):
+        w = (text or "").replace("!", "").split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    held = {}
+    for _, _, text in exam:
+        for g in grams(text):
+            held[g] = held.get(g, 0) + 1
+    for cap in (64, None):
+        want, best = {}, {}
+        for i, phase, a in exam:
+            for j, _, b in train:
+                both = grams(a) & grams(b)
+                opens = b is not None and a[:200] == b[:200]
+                if j is not None and (opens or any(cap is None or held[g] <= cap for g in both)):
+                    c = len(both) / len(grams(a))
+                    best[phase] = max(best.get(phase, 0), c)
+                    if opens or c >= 0.5:
+                        want[i, j] = (round(c, 4), round(len(both) / len(grams(a) | grams(b)), 4))
+        e, t = stories(spark, exam), stories(spark, train)
+        got = [((r["exam_id"], r["train_id"]), (r["containment"], r["jaccard"])) for r in neardup.near_duplicates(e, t, max_postings=cap).collect()]
+        assert dict(got) == want and len(got) == len(want)
+        assert {r["exam_id"] for r in neardup.flagged(e, t, max_postings=cap).collect()} == {i for i, _ in want}
+        assert {r["phase"]: r["max_containment"] for r in neardup.by_phase(e, t, max_postings=cap).collect()} == {p: round(c, 4) for p, c in best.items()}
+    copies = neardup.class_pairs(stories(spark, exam[70:]), stories(spark, train[40:49]))
+    assert [r["containment"] for r in copies.collect()] == [1.0]
+
+
 def test_guard(spark):
     exam = stories(spark, [(1, 0, "The  story\nheld out"), (2, 1, "another")])
     manifest = guard.manifest_of(exam)
