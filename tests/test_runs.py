@@ -88,3 +88,13 @@ def test_verdicts_from_run_folders(spark):
     assert got["continuation", "H2b"] == got["cloze", "H2b"] == got["both", "H2b"] == "low"
     none = {r["verdict"] for r in runs.folder_verdicts(spark.createDataFrame(rows[:3], SCHEMA)).where("exam = 'continuation' and hypothesis <> 'H1'").collect()}
     assert none == {"undetermined"}
+
+
+def test_run_rows_are_dealt_and_their_records_read_once(spark):
+    from storyloom.plans import contracts
+    from storyloom.plans import queries as plans
+
+    for rows in (plans._folders(spark, "/root/testdata/sf0.001"), contracts.folders(spark, "/root/testdata/sf0.001")):
+        assert rows.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    plan = runs.exclusions(plans._folders(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
