@@ -236,3 +236,18 @@ def test_reconcile_reads_every_source(spark, tmp_path):
     off, gone = {i for i in range(1, 101) if i % 17 == 3}, {i for i in range(1, 101) if i % 11 == 4}
     moved = {i for i in range(1, 101) if i % 13 == 5}
     assert got == {"not in manifest": len(off - gone), "missing": len(gone - off), "wrong phase": len(moved - off - gone)}
+
+
+def test_cloze_answers_do_not_hang_on_how_many_words_are_looked_up_first(spark, monkeypatch):
+    rows = views.train(spark, SMALL)
+    lexicon = probes.share_lexicon(rows, 2, 28)
+
+    def items(first):
+        monkeypatch.setattr(probes, "FIRST", first)
+        got = sorted(map(tuple, probes.cloze_items(rows, lexicon, 7).select("phase", "item", "story_id", "answer", "candidates").collect()))
+        spark.catalog.clearCache()
+        return got
+
+    assert items(16) == items(1) == items(100_000)
+    few = probes._lookups(rows, lexicon.withColumn("stem", F.col("word")), 7, 16).groupBy("story_id").count()
+    assert few.agg(F.max("count")).first()[0] == 16
