@@ -251,3 +251,21 @@ def test_cloze_answers_do_not_hang_on_how_many_words_are_looked_up_first(spark,
     assert items(16) == items(1) == items(100_000)
     few = probes._lookups(rows, lexicon.withColumn("stem", F.col("word")), 7, 16).groupBy("story_id").count()
     assert few.agg(F.max("count")).first()[0] == 16
+
+
+def test_drawn_items_of_ids_that_repeat_or_lack(spark):
+    text = lambda k: "\n\n".join(f"part {k} {j} " + "w" * (k % 5) for j in range(3))
+    rows = [(k if k < 30 else 3 if k < 32 else None, 0, text(k)) for k in range(34)]
+    out = probes.drawn_items(spark.createDataFrame(rows, "id long, phase int, story string"), 1).collect()
+    assert len(out) == 34 and sorted(int(r["id"][-4:]) for r in out) == list(range(1, 35))
+    assert {r["answer_index"] for r in out} == {0, 1, 2, 3} and sum(r["options"] is None for r in out) == 2
+    assert all(r["options"][r["answer_index"]] == r["answer"] for r in out if r["options"])
+
+
+def test_a_text_is_hashed_and_moved_but_not_kept_with_its_item(spark):
+    probes.drawn_items(views.train(spark, SMALL), 1)
+    plans_kept = spark._jsparkSession.sharedState().cacheManager()
+    df = probes.drawn_items(views.train(spark, SMALL), 1)
+    kept = df._jdf.queryExecution().withCachedData().toString()
+    assert not plans_kept.isEmpty() and "prefix" not in "".join(x for x in kept.splitlines() if "InMemoryRelation" in x)
+    spark.catalog.clearCache()
