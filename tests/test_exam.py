@@ -154,3 +154,15 @@ def test_a_short_exam_is_refused(spark):
     with pytest.raises(guard.ContractViolation, match="too few items: 0"):
         probes.asked_items(items, 4, [0, 2])
     assert sorted(r["id"] for r in probes.asked_items(items, 3, [0, 2]).collect()) == ["i00", "i01", "i02", "i20", "i21", "i22"]
+
+
+def test_items_are_made_and_scored_once(spark):
+    items = spark.createDataFrame([("a", 0, "x [MASK] y", ["one", "two"], "two", "p", ["q", "r"], 1)], "story_id string, phase int, text_with_mask string, candidates array<string>, answer string, prefix string, options array<string>, answer_index int")
+    score = lambda ids, starts, given: np.add.reduceat(ids, starts).astype(float)
+    for out in (scoring.option_results(items, score), scoring.cloze_results(items, score)):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        assert out.first()["n"] == 1
+    rows = [(f"{'é' * 700} [MASK] {'b' * n}", c) for n in (0, 1017, 1018, 1019, 1024, 3000) for c in ("", "word", "é")]
+    for text, c in rows:
+        assert scoring._tail(text, 1024).replace("[MASK]", c).encode()[-1024:] == text.replace("[MASK]", c).encode()[-1024:]
+    assert len(scoring._tail(rows[-1][0], 1024)) < 1100
