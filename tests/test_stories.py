@@ -269,3 +269,12 @@ def test_a_text_is_hashed_and_moved_but_not_kept_with_its_item(spark):
     kept = df._jdf.queryExecution().withCachedData().toString()
     assert not plans_kept.isEmpty() and "prefix" not in "".join(x for x in kept.splitlines() if "InMemoryRelation" in x)
     spark.catalog.clearCache()
+
+
+def test_normal_forms_hold_one_text_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(T, "NORMAL_BYTES", 4)
+    texts = ["café", "café", None, "", "plain", "각"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+    got = rows.select("id", T.normalizer("NFD")(F.col("t")).alias("apart"), T.nfc(F.col("t")).alias("one")).orderBy("id").collect()
+    assert [r["apart"] for r in got] == ["café", "café", None, "", "plain", "각"]
+    assert [r["one"] for r in got] == ["café", "café", None, "", "plain", "각"]
