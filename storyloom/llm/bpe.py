@@ -26,6 +26,8 @@ from storyloom.llm.common import by_bytes, shipped, text_bytes
 
 #: Bytes above which a word takes the query for long ones;  words encoded by one query.
 LONG, WORDS = 48, 30_000
+#: Words of at most LONG bytes whose ids and bytes a worker keeps for its next slices; all others are encoded anew.
+KNOWN = 200_000
 #: White space beyond ASCII as its last three UTF-8 bytes (0: any), and the range of the last one.
 WIDE_SPACES = ((0, 0xC2, 0x85, 0x85), (0, 0xC2, 0xA0, 0xA0), (0xE1, 0x9A, 0x80, 0x80), (0xE2, 0x80, 0x80, 0x8A), (0xE2, 0x80, 0xA8, 0xA9), (0xE2, 0x80, 0xAF, 0xAF), (0xE2, 0x81, 0x9F, 0x9F), (0xE3, 0x80, 0x80, 0x80))
 
@@ -101,6 +103,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = regex.compile(pattern)
+        self.known: dict[str, tuple[int, bytes, bytes]] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
         a, b, token = [], [], []
         for word, rank in ranks.items():
@@ -194,10 +197,21 @@ class Codec:
 
     def pieces(self, words: list[str]) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """For each word: how many ids, the ids in decimal joined by spaces, and the bytes that its ids decode to."""
-        self._encode([w.encode() for w in words])
-        n, ids = self._all(IDS, len(words), n=pa.scalar(0, pa.int64()), ids=pa.scalar("", pa.string()))
-        (decoded,) = self._all(DECODE, len(words), bytes=pa.scalar(b"", pa.binary()))
-        return n.to_numpy(zero_copy_only=False), ids.cast(pa.binary()), decoded
+        new = [w for w in words if w not in self.known]
+        found = self.known
+        if new:
+            self._encode([w.encode() for w in new])
+            n, ids = self._all(IDS, len(new), n=pa.scalar(0, pa.int64()), ids=pa.scalar("", pa.string()))
+            (decoded,) = self._all(DECODE, len(new), bytes=pa.scalar(b"", pa.binary()))
+            made = dict(zip(new, zip(n.to_pylist(), ids.cast(pa.binary()).to_pylist(), decoded.to_pylist(), strict=True), strict=True))
+            found = {w: made.get(w) or self.known[w] for w in words}
+            for w, x in made.items():
+                if len(self.known) >= KNOWN:
+                    break
+                if len(x[2]) <= LONG:
+                    self.known[w] = x
+        n, ids, decoded = zip(*(found[w] for w in words), strict=True) if words else ((), (), ())
+        return np.array(n, np.int64), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())
 
 
 def chunk_starts(body: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -714,3 +714,16 @@ def test_bpe_odd_rows(spark):
     assert bpe.encode_digests(empty).count() == bpe.encode_texts(empty).count() == bpe.decode_ids(out.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, None)], "doc_id long, ids array<int>")
     assert [bytes(r["bytes"]) for r in bpe.decode_ids(nulls).collect()] == [b""]
+
+
+def test_words_known_from_a_slice_before_are_not_encoded_again(monkeypatch):
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"abc": 257}
+    codec = bpe.Codec(ranks, r"\w+|\W+")
+    monkeypatch.setattr(bpe, "KNOWN", 3)
+    encode, seen = codec._encode, []
+    monkeypatch.setattr(codec, "_encode", lambda words: (seen.extend(words), encode(words))[1])
+    for words in (["abc", "", "ab", "abcab", "é"], ["é", "abc", "abcab", "z" * 60], []):
+        n, ids, decoded = codec.pieces(words)
+        assert decoded.to_pylist() == [w.encode() for w in words]
+        assert [len(x.split()) for x in ids.to_pylist()] == n.tolist()
+    assert seen == [b"abc", b"", b"ab", b"abcab", "é".encode(), "é".encode(), b"abcab", b"z" * 60]
