@@ -278,3 +278,14 @@ def test_normal_forms_hold_one_text_at_a_time(spark, monkeypatch):
     got = rows.select("id", T.normalizer("NFD")(F.col("t")).alias("apart"), T.nfc(F.col("t")).alias("one")).orderBy("id").collect()
     assert [r["apart"] for r in got] == ["café", "café", None, "", "plain", "각"]
     assert [r["one"] for r in got] == ["café", "café", None, "", "plain", "각"]
+
+
+def test_ngram_overlap_makes_only_exam_grams_distinct(spark):
+    words = [f"w{i}" for i in range(12)]
+    exam = stories(spark, [(1, 0, " ".join(words)), (2, 1, " ".join(words[:8]).upper()), (3, 2, None), (4, 2, "too short"), (5, 3, " ".join(words[:8] * 2))])
+    train = stories(spark, [(1, 0, " ".join(words[1:10])), (2, 0, " ".join(words[1:10])), (3, 1, None), (4, 1, ""), (5, 2, "x " + " ".join(words[:8]) + ", y " + " ".join(words[:8]))])
+    out = neardup.ngram_overlap(exam, train)
+    got = {(r["exam_phase"], r["train_phase"]): (r["n_exam_ngrams"], r["n_shared"]) for r in out.collect()}
+    assert len(got) == 12 and {k: v for k, v in got.items() if v[1]} == {(0, 0): (5, 2), (0, 2): (5, 1), (1, 2): (1, 1), (3, 2): (8, 1)}
+    assert got[2, 0] == (0, 0) and got[1, 0] == (1, 0)
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
