@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
 from storyloom.operators import guard, matrix, neardup, packing, probes, runs, scoring
+from storyloom.plans import contracts, oracles
 from storyloom.sources import corpus, files
 from storyloom.streaming import ledger as stream
 
@@ -27,6 +28,16 @@ def test_decomposed_copies_are_found(spark):
     assert guard.story_duplicates(exam.unionByName(copies)).first()["n"] == 2
 
 
+def test_decomposed_pairs_are_whole(spark, tmp_path):
+    # 70 exam stories share a passage, each of whose shingles more than 64 of them hold.
+    shared = " ".join(f"été{k}" for k in range(30))
+    rows = [(i, f"own{i} {shared}", "en", "src1") for i in range(70)] + [(100 + i, f"other{i} {shared} end", "en", "src3") for i in range(2)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["exam_id"], r["train_id"]) for r in contracts.QUERIES["near_duplicate_pairs_decomposed"](spark, str(tmp_path)).collect()}
+    assert got == {(i, j) for i in range(70) for j in (100, 101)}
+    assert oracles.ORACLES["near_duplicate_pairs_decomposed"] == oracles.ORACLES["near_duplicate_pairs_uncapped"]
+
+
 def test_normal_forms_equal_pythons(spark):
     marks = [c for c in map(chr, range(0x300, 0x2FFFF)) if not 0xD800 <= ord(c) < 0xE000 and (unicodedata.normalize("NFC", c) != c or unicodedata.category(c)[0] == "M")]
     folds = [c for c in map(chr, range(0x20000)) if not 0xD800 <= ord(c) < 0xE000 and c.casefold() != c and c.lower() != "i̇"]
