@@ -84,6 +84,12 @@ def test_near_duplicate_scores_by_counts(spark):
         assert dict(got) == want and len(got) == len(want)
         assert {r["exam_id"] for r in neardup.flagged(e, t, max_postings=cap).collect()} == {i for i, _ in want}
         assert {r["phase"]: r["max_containment"] for r in neardup.by_phase(e, t, max_postings=cap).collect()} == {p: round(c, 4) for p, c in best.items()}
+    # Of the training side no more is dealt than the screen of the exam's shingles lets pass: all that is shared, and little else.
+    e, t = stories(spark, exam[:1]), stories(spark, train)
+    held = neardup._entries(e, "exam")
+    passed, every = neardup._entries(t, "train", neardup._screen(held)), neardup._entries(t, "train")
+    shared = lambda df: df.join(held.select("gram", "opening"), ["gram", "opening"]).count()
+    assert shared(passed) == shared(every) > 0 and passed.count() <= shared(every) + 5 < every.count()
     copies = neardup.class_pairs(stories(spark, exam[70:]), stories(spark, train[40:49]))
     assert [r["containment"] for r in copies.collect()] == [1.0]
 
