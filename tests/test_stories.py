@@ -54,6 +54,15 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(exam, train, max_postings=0).where("rule = 'shingle'").count() == 0
 
 
+def test_best_of_a_phase_without_flagged_pairs(spark):
+    text = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    exam = stories(spark, [(1, 0, text("a", 14) + " " + text("b", 24)), (2, 1, text("c", 30)), (3, 2, text("d", 30))])
+    train = stories(spark, [(10, 0, "x " + text("a", 14)), (11, 0, text("c", 30))])
+    # The first shares 10 of its 34 shingles, the second all, the third none.
+    got = {r["phase"]: (r["n_dropped"], r["max_containment"]) for r in neardup.by_phase(exam, train).collect()}
+    assert got == {0: (0, 0.2941), 1: (1, 1.0), 2: (0, 0.0)}
+
+
 def test_near_duplicate_scores_by_counts(spark):
     # 70 exam stories share a passage, so its shingles are rare for none; copies are one class, whatever their number.
     shared = " ".join(f"s{i}" for i in range(20))
