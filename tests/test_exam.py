@@ -5,9 +5,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
-from storyloom.operators import exam, guard, scoring
+from storyloom.operators import exam, guard, probes, scoring
 
 C = math.log(254 + math.e**3 + math.e)
 
@@ -166,3 +167,21 @@ def test_items_are_made_and_scored_once(spark):
     for text, c in rows:
         assert scoring._tail(text, 1024).replace("[MASK]", c).encode()[-1024:] == text.replace("[MASK]", c).encode()[-1024:]
     assert len(scoring._tail(rows[-1][0], 1024)) < 1100
+
+
+def test_ends_of_texts_score_as_whole_texts(spark):
+    words = ["amber", "birch", "cedar", "delta", "ember", "flint", "grove", "heath", "inlet", "jetty", "knoll", "larch", "marsh", "north", "ocean", "plume", "quill", "ridge", "shoal", "thorn", "umber", "vale1"]
+    rows = [(i, 0, f"{'é' * (i % 7)} start{words[i % 22]} of it\n\n{'x' * (5 * i)} {words[i % 22]} {'tail ' * (3 * i % 17)}[MASK]"[: -6 if i % 5 else None]) for i in range(60)]
+    stories = spark.createDataFrame(rows, "id long, phase int, story string")
+    lexicon = spark.createDataFrame([(0, w) for w in words], "phase int, word string")
+    scorer = scoring.bigram_scorer(scoring.bigram_model(stories, "story"))
+    scores = lambda tail: {(r["story_id"], r["at"]): r["score"] for r in scoring.cloze_scores(probes.cloze_items(stories, lexicon, 7, tail=tail), scorer, 12).collect()}
+    whole, ends = scores(None), scores(12)
+    assert len(whole) == 60 * probes.N_CANDIDATES and ends == whole
+    moved = lambda tail: probes.cloze_items(stories, lexicon, 7, tail=tail).agg(F.sum(F.length("text_with_mask"))).first()[0]
+    assert moved(12) < moved(None)
+    both = [{(r["story_id"], r["at"]): (r["conditional"], r["baseline"]) for r in scoring.option_scores(probes.drawn_items(stories, 7, tail), scorer, 12).collect()} for tail in (None, 12)]
+    assert both[0] == both[1] and both[0]
+    # No more stories and paragraphs are moved than are wanted.
+    some = stories.where("id % 20 = 3").select("phase", "id")
+    assert {r["id"] for r in probes._screened(stories, some, ["phase", "id"]).collect()} == {3, 23, 43}
